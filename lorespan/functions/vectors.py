@@ -1,0 +1,15 @@
+"""Column functions on dense vectors stored as arrays; arithmetic is in double."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
