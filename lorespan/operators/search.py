@@ -12,6 +12,9 @@ spread over the calls of the line, so the work follows the text and not its squa
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ SYMBOL_TEXT = ("name", "kind", "file", "signature")
 SYMBOL_KEY = ("file", "no")
 CALL_KEY = ("file", "line", "no")
 LINE_KEY = ("file", "line")
+_FOLD = str.maketrans(text.FOLD_FROM, text.FOLD_TO)
 # Ranks are compared after rounding, so that the order of additions cannot change a result.
 RANK_DIGITS = 9
 
@@ -73,11 +77,49 @@ def query_terms(queries: DataFrame, strict_syntax: bool = False) -> DataFrame:
     )
 
 
-def one_query(spark: SparkSession, query: str) -> DataFrame:
-    return spark.range(1).select(F.lit(0).cast("bigint").alias("query_id"), F.lit(query).alias("query"))
+@dataclass(frozen=True)
+class Term:
+    """One token of a term of a query text."""
+
+    term_no: int
+    n_toks: int
+    tok_no: int
+    tok: str
+    is_prefix: bool
+
+
+def parse_query(query: str) -> list[Term]:
+    """Terms of one query text, by the rules of ``query_terms``."""
+    out: list[Term] = []
+    words = [w.strip(".,;:!?\"'()[]{}").lower() for w in query.split()]
+    for no, word in enumerate(w for w in words if w):
+        exact = regex.fullmatch(r"[0-9]+", word) is not None
+        toks = regex.findall(r"[\p{L}\p{N}]+", word.translate(_FOLD))
+        out += [Term(no, len(toks), i, t, not exact and i == len(toks) - 1) for i, t in enumerate(toks)]
+    return out
+
+
+def literal_terms(spark: SparkSession, query: str) -> DataFrame:
+    """Terms of one query text as a constant table, which the optimizer sees through."""
+    rows = parse_query(query)
+    columns = "query_id, term_no, n_toks, tok_no, tok, is_prefix"
+    types = "CAST(0 AS BIGINT), CAST(%d AS INT), CAST(%d AS INT), CAST(%d AS INT), '%s', %s"
+    if not rows:
+        empty = types % (0, 0, 0, "", "false")
+        return spark.sql(f"SELECT * FROM VALUES ({empty}) AS t({columns}) WHERE false")
+    values = ", ".join("(" + types % (t.term_no, t.n_toks, t.tok_no, t.tok, str(t.is_prefix).lower()) + ")" for t in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
 
+def token_filter(query: str) -> Column:
+    """Predicate on ``tok`` for the tokens a query can match. On stored postings it reaches the scan."""
+    keep = F.lit(False)
+    for t in parse_query(query):
+        keep = keep | (F.startswith(F.col("tok"), F.lit(t.tok)) if t.is_prefix else F.col("tok") == t.tok)
+    return keep
 
-# ---------------------------------------------------------------- postings
+
+# ---------------------------------------------------------------- index
 
 def _size(c: Column | str) -> Column:
     return F.size(text.index_tokens(F.col(c) if isinstance(c, str) else c))
@@ -90,31 +132,78 @@ def _row_length(columns) -> Column:
     return total
 
 
-def _explode_tokens(rows: DataFrame, key, columns, dl: Column) -> DataFrame:
+def _explode_tokens(rows: DataFrame, key, columns) -> DataFrame:
     per_col = F.array(*[F.struct(F.lit(i).alias("col"), text.index_tokens(F.col(c)).alias("toks")) for i, c in enumerate(columns)])
-    return (
-        rows.select(*key, dl.alias("dl"), F.inline(per_col))
-        .select(*key, "dl", "col", F.posexplode("toks").alias("pos", "tok"))
-    )
+    return rows.select(*key, "dl", F.inline(per_col)).select(*key, "dl", "col", F.posexplode("toks").alias("pos", "tok"))
+
+
+def measured_symbols(symbols: DataFrame) -> DataFrame:
+    """Definitions with ``dl``, their number of tokens."""
+    return symbols.withColumn("dl", _row_length(SYMBOL_TEXT))
+
+
+def measured_lines(call_lines: DataFrame) -> DataFrame:
+    """Call lines with ``dl``, the tokens all calls of a line share, and ``own``, those of each name."""
+    return call_lines.select("*", _row_length(("file", "context")).alias("dl"), F.transform("refs", lambda r: _size(r["name"])).alias("own"))
 
 
-def symbol_postings(symbols: DataFrame) -> DataFrame:
+def symbol_postings(measured: DataFrame) -> DataFrame:
     """One row per token of the four text columns of a definition."""
-    return _explode_tokens(symbols, SYMBOL_KEY, SYMBOL_TEXT, _row_length(SYMBOL_TEXT))
+    return _explode_tokens(measured, SYMBOL_KEY, SYMBOL_TEXT)
 
 
-def line_postings(call_lines: DataFrame) -> DataFrame:
+def line_postings(measured: DataFrame) -> DataFrame:
     """Tokens that all calls of a line share: its file and its context."""
-    rows = call_lines.withColumn("_path", F.col("file"))
-    return _explode_tokens(rows, LINE_KEY, ("_path", "context"), _row_length(("file", "context")))
+    return _explode_tokens(measured.withColumn("_path", F.col("file")), LINE_KEY, ("_path", "context"))
 
 
-def name_postings(call_lines: DataFrame) -> DataFrame:
+def name_postings(measured: DataFrame) -> DataFrame:
     """Tokens of the called names; ``dl`` is that of the whole call."""
-    named = call_lines.select("file", "line", _row_length(("file", "context")).alias("_shared"), F.posexplode("refs").alias("no", "r")).select(
-        "file", "line", "no", "_shared", F.col("r.name").alias("name")
+    named = measured.select("file", "line", "dl", F.posexplode(F.arrays_zip("refs", "own")).alias("no", "r")).select(
+        "file", "line", "no", (F.col("dl") + F.col("r.own")).alias("dl"), F.col("r.refs.name").alias("name")
     )
-    return _explode_tokens(named, CALL_KEY, ("name",), F.col("_shared") + _size("name"))
+    return _explode_tokens(named, CALL_KEY, ("name",))
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """The five tables a search reads."""
+
+    symbols: DataFrame
+    call_lines: DataFrame
+    symbol_postings: DataFrame
+    line_postings: DataFrame
+    name_postings: DataFrame
+
+    @staticmethod
+    def of(symbols: DataFrame, call_lines: DataFrame) -> TextIndex:
+        s, c = measured_symbols(symbols), measured_lines(call_lines)
+        return TextIndex(s, c, symbol_postings(s), line_postings(c), name_postings(c))
+
+    @staticmethod
+    def build(spark: SparkSession, symbols: DataFrame, call_lines: DataFrame, path: str) -> TextIndex:
+        """Writes the index. The texts are extracted once; postings are made from what was written.
+
+        Postings are laid out by token, so that a query reads the row groups of its tokens only. The
+        range is over token and file: a token that holds much of the corpus fills several files.
+        """
+        measured_symbols(symbols).write.mode("overwrite").parquet(f"{path}/symbols")
+        measured_lines(call_lines).write.mode("overwrite").parquet(f"{path}/call_lines")
+        s, c = spark.read.parquet(f"{path}/symbols"), spark.read.parquet(f"{path}/call_lines")
+        posted = {"symbol_postings": symbol_postings(s), "line_postings": line_postings(c), "name_postings": name_postings(c)}
+        for name, df in posted.items():
+            df.repartitionByRange("tok", "file").sortWithinPartitions("tok", "file").write.mode("overwrite").parquet(f"{path}/{name}")
+        return TextIndex.read(spark, path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> TextIndex:
+        return TextIndex(*[spark.read.parquet(f"{path}/{f.name}") for f in fields(TextIndex)])
+
+    def only(self, prune: Column | None) -> TextIndex:
+        """The index with postings cut down to some tokens (``token_filter``)."""
+        if prune is None:
+            return self
+        return TextIndex(self.symbols, self.call_lines, self.symbol_postings.filter(prune), self.line_postings.filter(prune), self.name_postings.filter(prune))
 
 
 # ---------------------------------------------------------------- matching
@@ -148,16 +237,15 @@ def term_counts(posted: DataFrame, terms: DataFrame, key) -> DataFrame:
     return single.unionByName(phrase)
 
 
-def call_counts(call_lines: DataFrame, terms: DataFrame) -> DataFrame:
+def call_counts(index: TextIndex, terms: DataFrame) -> DataFrame:
     """Term counts of calls: those of the line, given to each of its calls, plus those of the name."""
-    shared = term_counts(line_postings(call_lines), terms, LINE_KEY)
-    names = call_lines.select("file", "line", F.transform("refs", lambda r: _size(r["name"])).alias("name_len"))
+    shared = term_counts(index.line_postings, terms, LINE_KEY)
     spread = (
-        shared.join(names, list(LINE_KEY))
-        .select("query_id", "term_no", "file", "line", "f", "dl", F.posexplode("name_len").alias("no", "own"))
+        shared.join(index.call_lines.select("file", "line", "own"), list(LINE_KEY))
+        .select("query_id", "term_no", "file", "line", "f", "dl", F.posexplode("own").alias("no", "own"))
         .select("query_id", "term_no", "file", "line", "no", (F.col("dl") + F.col("own")).alias("dl"), "f")
     )
-    own = term_counts(name_postings(call_lines), terms, CALL_KEY)
+    own = term_counts(index.name_postings, terms, CALL_KEY)
     return (
         spread.unionByName(own)
         .groupBy("query_id", "term_no", *CALL_KEY)
@@ -165,16 +253,15 @@ def call_counts(call_lines: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def _symbol_lengths(symbols: DataFrame) -> DataFrame:
-    return symbols.agg(F.struct(F.count("*").alias("rows"), F.sum(_row_length(SYMBOL_TEXT)).alias("tokens")))
+def _symbol_lengths(index: TextIndex) -> DataFrame:
+    return index.symbols.agg(F.struct(F.count("*").alias("rows"), F.sum("dl").alias("tokens")))
 
 
-def _call_lengths(call_lines: DataFrame) -> DataFrame:
+def _call_lengths(index: TextIndex) -> DataFrame:
     """Rows and tokens of all calls, summed line by line without listing the calls."""
-    n = F.size("refs")
-    shared = _row_length(("file", "context"))
-    own = F.aggregate(F.transform("refs", lambda r: _size(r["name"])), F.lit(0), lambda a, x: a + x)
-    return call_lines.agg(F.struct(F.sum(n).alias("rows"), F.sum(n * shared + own).alias("tokens")))
+    n = F.size("own")
+    names = F.aggregate("own", F.lit(0), lambda a, x: a + x)
+    return index.call_lines.agg(F.struct(F.sum(n).alias("rows"), F.sum(n * F.col("dl") + names).alias("tokens")))
 
 
 def _best(counts: DataFrame, lengths: DataFrame, key, limit: int) -> DataFrame:
@@ -199,31 +286,31 @@ def _best(counts: DataFrame, lengths: DataFrame, key, limit: int) -> DataFrame:
     return scored.withColumn("place", place).filter(F.col("place") <= limit)
 
 
-def search_symbols(symbols: DataFrame, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
+def search_symbols(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Best definitions per query; ties by file and position in the file."""
-    counts = term_counts(symbol_postings(symbols), terms, SYMBOL_KEY)
-    top = _best(counts, _symbol_lengths(symbols), SYMBOL_KEY, limit)
-    return top.join(symbols, list(SYMBOL_KEY))
+    counts = term_counts(index.symbol_postings, terms, SYMBOL_KEY)
+    top = _best(counts, _symbol_lengths(index), SYMBOL_KEY, limit)
+    return top.join(index.symbols, list(SYMBOL_KEY))
 
 
-def search_calls(call_lines: DataFrame, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
+def search_calls(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Best call sites per query; ties by file, line and position in the line."""
-    top = _best(call_counts(call_lines, terms), _call_lengths(call_lines), CALL_KEY, limit)
-    found = top.join(call_lines, list(LINE_KEY))
+    top = _best(call_counts(index, terms), _call_lengths(index), CALL_KEY, limit)
+    found = top.join(index.call_lines, list(LINE_KEY))
     return found.select("query_id", "file", "line", "no", "rank", "place", "context", F.get("refs", F.col("no"))["name"].alias("symbol_name"))
 
 
-def search(symbols: DataFrame, call_lines: DataFrame, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
+def search(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Definitions and call sites merged: one row per definition, or per call without one.
 
     A definition found directly keeps its rank and takes the context of its best call; one found
     through calls takes the rank of the best call. The limit holds for both passes and the result.
     """
-    direct = search_symbols(symbols, terms, limit)
-    calls = search_calls(call_lines, terms, limit)
+    direct = search_symbols(index, terms, limit)
+    calls = search_calls(index, terms, limit)
     called = calls.select(F.col("symbol_name").alias("name")).distinct()
     first_def = (
-        symbols.join(called, "name", "left_semi")
+        index.symbols.join(called, "name", "left_semi")
         .groupBy("name")
         .agg(F.min(F.struct("file", "start_line", "no", "end_line", "kind", "signature", "language")).alias("d"))
     )

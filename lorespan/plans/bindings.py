@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lorespan.functions import text
 from lorespan.operators import prose, telemetry
+from lorespan.operators.search import TextIndex
+from lorespan.session import scratch_dir
 from lorespan.sources import corpus as corpus_source
 
 # Roles of event types and the instant "now" stands for.
@@ -25,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table, spread over the cores when it is stored as fewer pieces than there are."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _path(doc_id, folder: str = "source"):
     prefix = F.when(F.col("doc_id") % 20 == 0, F.lit("test_")).otherwise(F.lit(""))
     return F.concat_ws("/", F.col(folder), F.col("lang"), F.concat(prefix, F.col(doc_id).cast("string"), F.lit(".txt")))
@@ -32,7 +41,7 @@ def _path(doc_id, folder: str = "source"):
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files <source>/<lang>/<id>.txt, every twentieth one named as a test."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         _path("doc_id").alias("file"),
         F.col("lang").alias("language"),
@@ -53,7 +62,7 @@ def indexable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def previous_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An earlier state of the corpus: some files had other text, some did not exist, some are gone now."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     older = F.when(
         F.col("doc_id") % 10 == 3, F.concat(F.lit("Older version.\n"), F.replace("text", F.lit(" an "), F.lit(" one ")))
     ).otherwise(F.col("text"))
@@ -64,16 +73,40 @@ def previous_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(gone).withColumn("content_hash", F.sha2(F.col("content"), 256))
 
 
+def build_index(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Index run over the whole corpus: definitions, references, imports and their postings."""
+    docs = indexable(spark, sf_dir)
+    TextIndex.build(spark, prose.definitions(docs), prose.call_lines(docs), path)
+    prose.imports(docs).write.mode("overwrite").parquet(f"{path}/imports")
+
+
+_built: dict[tuple[str, str], str] = {}
+
+
+def index_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the index of a data folder lies; the first query of an application builds it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        path = scratch_dir(spark, "index")
+        build_index(spark, sf_dir, path)
+        _built[key] = path
+    return _built[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    return TextIndex.read(spark, index_path(spark, sf_dir))
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.definitions(indexable(spark, sf_dir))
+    return index(spark, sf_dir).symbols.drop("dl")
 
 
 def call_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.call_lines(indexable(spark, sf_dir))
+    return index(spark, sf_dir).call_lines.select("file", "line", "context", "refs")
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.imports(indexable(spark, sf_dir))
+    return spark.read.parquet(f"{index_path(spark, sf_dir)}/imports")
 
 
 def file_meta(spark: SparkSession, sf_dir: str) -> DataFrame:

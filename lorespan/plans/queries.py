@@ -81,42 +81,47 @@ def line_table(spark, d):
 
 @query
 def definitions(spark, d):
-    return b.symbols(spark, d)
+    return prose.definitions(b.indexable(spark, d))
 
 
 @query
 def references(spark, d):
-    return extract.explode_calls(b.call_lines(spark, d)).select(
+    return extract.explode_calls(prose.call_lines(b.indexable(spark, d))).select(
         "symbol_name", "caller_file", "line", "no", F.length("context").alias("context_chars")
     )
 
 
 @query
 def import_refs(spark, d):
-    return b.imports(spark, d)
+    return prose.imports(b.indexable(spark, d))
 
 
 # ---------------------------------------------------------------- search
 
 @query
 def postings(spark, d):
-    return search.symbol_postings(b.symbols(spark, d))
+    return search.symbol_postings(search.measured_symbols(prose.definitions(b.indexable(spark, d))))
+
+
+def _one(spark, d):
+    index = b.index(spark, d).only(search.token_filter(b.QUERY))
+    return index, search.literal_terms(spark, b.QUERY)
 
 
 @query
 def symbol_search(spark, d):
-    hits = search.search_symbols(b.symbols(spark, d), search.query_terms(search.one_query(spark, b.QUERY)))
+    hits = search.search_symbols(*_one(spark, d))
     return hits.select("file", "name", "kind", "start_line", F.round("rank", 6).alias("rank"), "place")
 
 
 @query
 def call_search(spark, d):
-    hits = search.search_calls(b.call_lines(spark, d), search.query_terms(search.one_query(spark, b.QUERY)))
+    hits = search.search_calls(*_one(spark, d))
     return hits.select("file", "line", "no", "symbol_name", "context", F.round("rank", 6).alias("rank"), "place")
 
 
 def _merged(spark, d):
-    return search.search(b.symbols(spark, d), b.call_lines(spark, d), search.query_terms(search.one_query(spark, b.QUERY)))
+    return search.search(*_one(spark, d))
 
 
 _HIT = ["file", "name", "start_line", "end_line", "kind", "signature", "language", "call_context", "call_line"]
@@ -128,7 +133,7 @@ def merged_search(spark, d):
 
 
 def _batch(spark, d):
-    return search.search(b.symbols(spark, d), b.call_lines(spark, d), search.query_terms(b.queries(spark, d)))
+    return search.search(b.index(spark, d), search.query_terms(b.queries(spark, d)))
 
 
 @query
@@ -430,7 +435,7 @@ def read_state(spark, d):
 
 @query
 def read_ref_turn(spark, d):
-    return _states(spark, d).select("session", "id", "file", "turn", "state", "ref_turn")
+    return _states(spark, d).select("session", "id", "file", "turn", "state", F.coalesce("ref_turn", F.lit(0)).alias("ref_turn"))
 
 
 def _pairs(spark, d):
@@ -596,7 +601,9 @@ def stream_reads(spark, d):
     _numbered(spark, d).select("session", "file", "turn", "hash").write.parquet(f"{work}/in")
     source = spark.readStream.schema("session bigint, file string, turn bigint, hash string").parquet(f"{work}/in")
     flows.drain(flows.read_states(source), flows.parquet_sink(f"{work}/out"), f"{work}/ckpt")
-    return spark.read.schema("session bigint, file string, turn bigint, state string, ref_turn bigint").parquet(f"{work}/out").drop("batch")
+    return spark.read.schema("session bigint, file string, turn bigint, state string, ref_turn bigint").parquet(f"{work}/out").select(
+        "session", "file", "turn", "state", F.coalesce("ref_turn", F.lit(0)).alias("ref_turn")
+    )
 
 
 @query
