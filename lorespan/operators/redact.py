@@ -22,6 +22,15 @@ DETECTORS = {
     "private_url": r"https?://[^ \t\"'<>]+",
     "private_date": r"(?:^|[^0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?:[^0-9]|$)",
 }
+# A line without any of these pieces cannot match its detector; looking for them is cheap.
+NEEDS = {
+    "secret": ('"', "'", "gho_", "ghp_", "ghs_", "ghu_", "sk-", "AKIA", "-----BEGIN "),
+    "private_email": ("@",),
+    "account_number": tuple("0123456789"),
+    "private_phone": ("(", "+"),
+    "private_url": ("://",),
+    "private_date": ("-", "/"),
+}
 # Types that only a caller's classifier finds.
 CLASSIFIER_ONLY = ("private_person", "private_address")
 ENV_ACTIVE = ("secret", "account_number", "private_email")
@@ -67,10 +76,17 @@ def tag(entity: Column) -> Column:
     return F.regexp_replace(F.upper(entity), "^PRIVATE_", "")
 
 
+def _may_match(line: Column, entity: str) -> Column:
+    out = F.lit(False)
+    for piece in NEEDS[entity]:
+        out = out | F.contains(line, F.lit(piece))
+    return out
+
+
 def detect(line: Column, policy: Policy) -> Column:
     """First active entity type on the line, by position; null when there is none."""
     found = [
-        F.when(F.rlike(line, F.lit(p)), F.struct(F.regexp_instr(line, F.lit(p)).alias("at"), F.lit(i).alias("i"), F.lit(e).alias("e")))
+        F.when(_may_match(line, e) & F.rlike(line, F.lit(p)), F.struct(F.regexp_instr(line, F.lit(p)).alias("at"), F.lit(i).alias("i"), F.lit(e).alias("e")))
         for i, (e, p) in enumerate(DETECTORS.items())
         if e in policy.entity_types
     ]
@@ -82,7 +98,7 @@ def detect(line: Column, policy: Policy) -> Column:
 def entity_counts(lines: DataFrame, text_col: str, keys: list[str], policy: Policy) -> DataFrame:
     """Matches of each active detector per group and entity type."""
     counts = [
-        F.struct(F.lit(e).alias("entity"), F.regexp_count(F.col(text_col), F.lit(p)).alias("n"))
+        F.struct(F.lit(e).alias("entity"), F.when(_may_match(F.col(text_col), e), F.regexp_count(F.col(text_col), F.lit(p))).otherwise(0).alias("n"))
         for e, p in DETECTORS.items()
         if e in policy.entity_types
     ]

@@ -114,13 +114,20 @@ def with_source(defs: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def callers(defs: DataFrame, calls: DataFrame) -> DataFrame:
-    """Call sites of each request's definition. A name that most calls use stays on the calls' side
-    of a broadcast join while requests are few; AQE splits it when they are not."""
+def callers(defs: DataFrame, call_lines: DataFrame) -> DataFrame:
+    """Call sites (request_id, file, line, no) of each request's definition.
+
+    Lines are unfolded into calls without their text, which ``with_context`` adds to the sites that are
+    shown. A name that most calls use stays on the calls' side of a broadcast join while requests are
+    few; AQE splits it when they are not.
+    """
     asked = found(defs).select("request_id", F.col("name").alias("symbol_name"))
-    return calls.join(asked, "symbol_name").select(
-        "request_id", F.col("caller_file").alias("file"), "line", "no", "context", "symbol_name"
-    )
+    calls = call_lines.select("file", "line", F.posexplode(F.transform("refs", lambda r: r["name"])).alias("no", "symbol_name"))
+    return calls.join(asked, "symbol_name").select("request_id", "file", "line", "no")
+
+
+def with_context(sites: DataFrame, call_lines: DataFrame) -> DataFrame:
+    return sites.join(call_lines.select("file", "line", "context"), ["file", "line"])
 
 
 def with_enclosing_test(sites: DataFrame, symbols: DataFrame, language: Column, prefix: str = "test") -> DataFrame:
@@ -154,20 +161,18 @@ def last_commits(commits: DataFrame) -> DataFrame:
     )
 
 
-def _first(rows: DataFrame, n: int, order: list[str], value: Column, name: str) -> DataFrame:
-    """First n rows per request as a list, with the count of all of them."""
-    counted = rows.groupBy("request_id").agg(F.count("*").alias(f"n_{name}"))
-    w = W.partitionBy("request_id").orderBy(*order)
-    top = (
-        rows.withColumn("_p", F.row_number().over(w))
-        .filter(F.col("_p") <= n)
-        .groupBy("request_id")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", value.alias("v")))), lambda x: x["v"]).alias(name))
+def _top(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """First n rows per request, numbered ``_p``."""
+    return rows.withColumn("_p", F.row_number().over(W.partitionBy("request_id").orderBy(*order))).filter(F.col("_p") <= n)
+
+
+def _listed(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    return rows.groupBy("request_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_p", value.alias("v")))), lambda x: x["v"]).alias(name)
     )
-    return counted.join(top, "request_id")
 
 
-def resolve(requests: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, corpus: DataFrame,
+def resolve(requests: DataFrame, symbols: DataFrame, call_lines: DataFrame, imports: DataFrame, corpus: DataFrame,
             git_info: DataFrame, language: Column | None = None, test_prefix: str = "test") -> DataFrame:
     """One row per request for display: the lists hold the first entries, the counts all of them.
 
@@ -176,17 +181,21 @@ def resolve(requests: DataFrame, symbols: DataFrame, calls: DataFrame, imports:
     """
     defs = definitions(requests, symbols)
     lang = paths.language_of(F.col("file")) if language is None else language
-    sites = with_enclosing_test(callers(defs, calls), symbols, lang, test_prefix)
+    sites = with_enclosing_test(callers(defs, call_lines), symbols, lang, test_prefix)
     is_test = F.col("enclosing_test") != ""
     order = ["file", "line", "no"]
-    plain = _first(sites.filter(~is_test), SHOWN_CALLERS, order, F.struct("file", "line", "context"), "callers")
-    tests = _first(sites.filter(is_test), SHOWN_TESTS, order, F.struct("file", "line", "context", "enclosing_test"), "tests")
-    imported = _first(importers(defs, imports), SHOWN_IMPORTERS, ["file"], F.col("file"), "importers")
+    imported_from = importers(defs, imports)
+    counts = sites.groupBy("request_id").agg(F.count_if(~is_test).alias("n_callers"), F.count_if(is_test).alias("n_tests"))
+    n_imports = imported_from.groupBy("request_id").agg(F.count("*").alias("n_importers"))
+    shown = with_context(_top(sites.filter(~is_test), SHOWN_CALLERS, order).unionByName(_top(sites.filter(is_test), SHOWN_TESTS, order)), call_lines)
+    plain = _listed(shown.filter(~is_test), F.struct("file", "line", "context"), "callers")
+    tests = _listed(shown.filter(is_test), F.struct("file", "line", "context", "enclosing_test"), "tests")
+    imported = _listed(_top(imported_from, SHOWN_IMPORTERS, ["file"]), F.col("file"), "importers")
     full = with_source(defs, corpus).join(git_info, "file", "left")
-    for part in (plain, tests, imported):
+    for part in (counts, n_imports, plain, tests, imported):
         full = full.join(part, "request_id", "left")
-    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_callers", "n_tests", "n_importers")]
-    return full.select(*defs.columns, "source_code", "last_commit_hash", "last_modified", *counts, "callers", "tests", "importers")
+    totals = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_callers", "n_tests", "n_importers")]
+    return full.select(*defs.columns, "source_code", "last_commit_hash", "last_modified", *totals, "callers", "tests", "importers")
 
 
 def list_files(file_meta: DataFrame) -> DataFrame:

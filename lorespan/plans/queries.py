@@ -86,9 +86,8 @@ def definitions(spark, d):
 
 @query
 def references(spark, d):
-    return extract.explode_calls(prose.call_lines(b.indexable(spark, d))).select(
-        "symbol_name", "caller_file", "line", "no", F.length("context").alias("context_chars")
-    )
+    lines = prose.call_lines(b.indexable(spark, d)).withColumn("context", F.length("context"))
+    return extract.explode_calls(lines).select("symbol_name", "caller_file", "line", "no", F.col("context").alias("context_chars"))
 
 
 @query
@@ -110,18 +109,18 @@ def _one(spark, d):
 
 @query
 def symbol_search(spark, d):
-    hits = search.search_symbols(*_one(spark, d))
+    hits = search.search_symbols(*_one(spark, d), n_queries=1)
     return hits.select("file", "name", "kind", "start_line", F.round("rank", 6).alias("rank"), "place")
 
 
 @query
 def call_search(spark, d):
-    hits = search.search_calls(*_one(spark, d))
+    hits = search.search_calls(*_one(spark, d), n_queries=1)
     return hits.select("file", "line", "no", "symbol_name", "context", F.round("rank", 6).alias("rank"), "place")
 
 
 def _merged(spark, d):
-    return search.search(*_one(spark, d))
+    return search.search(*_one(spark, d), n_queries=1)
 
 
 _HIT = ["file", "name", "start_line", "end_line", "kind", "signature", "language", "call_context", "call_line"]
@@ -133,7 +132,8 @@ def merged_search(spark, d):
 
 
 def _batch(spark, d):
-    return search.search(b.index(spark, d), search.query_terms(b.queries(spark, d)))
+    asked = b.queries(spark, d)
+    return search.search(b.index(spark, d), search.query_terms(asked), n_queries=asked.count())
 
 
 @query
@@ -189,12 +189,13 @@ def source_slice(spark, d):
 
 def _sites(spark, d):
     defs = resolve.definitions(b.requests(spark, d), b.symbols(spark, d))
-    return resolve.callers(defs, extract.explode_calls(b.call_lines(spark, d)))
+    return resolve.callers(defs, b.call_lines(spark, d))
 
 
 @query
 def callers(spark, d):
-    return _sites(spark, d).select("request_id", "file", "line", "no", F.length("context").alias("context_chars"))
+    sites = resolve.with_context(_sites(spark, d), b.call_lines(spark, d))
+    return sites.select("request_id", "file", "line", "no", F.length("context").alias("context_chars"))
 
 
 def _tested(spark, d):
@@ -227,7 +228,7 @@ def last_commit(spark, d):
 @query
 def resolve_full(spark, d):
     out = resolve.resolve(
-        b.requests(spark, d), b.symbols(spark, d), extract.explode_calls(b.call_lines(spark, d)), b.imports(spark, d),
+        b.requests(spark, d), b.symbols(spark, d), b.call_lines(spark, d), b.imports(spark, d),
         b.indexable(spark, d), resolve.last_commits(b.commits(spark, d)), F.lit("python"), b.TEST_PREFIX,
     )
     at = lambda x: F.concat(x["file"], F.lit(":"), x["line"])
@@ -390,7 +391,7 @@ def naive_search_cost(spark, d):
 @query
 def naive_resolve_cost(spark, d):
     defs = resolve.definitions(b.requests(spark, d), b.symbols(spark, d))
-    sites = resolve.callers(defs, extract.explode_calls(b.call_lines(spark, d)))
+    sites = resolve.callers(defs, b.call_lines(spark, d))
     return economy.naive_resolve_cost(defs, sites, resolve.importers(defs, b.imports(spark, d)), economy.file_tokens(b.corpus(spark, d)))
 
 

@@ -20,8 +20,7 @@ def code(spark, tmp_path_factory):
         return spark.read.parquet(path)
 
     corpus = spark.createDataFrame(list(FILES.items()), "file string, content string").withColumn("language", paths.language_of(F.col("file")))
-    calls = extract.explode_calls(extract.call_lines(corpus))
-    return corpus, stored(extract.definitions(corpus), "symbols"), stored(calls, "calls"), stored(extract.imports(corpus), "imports")
+    return corpus, stored(extract.definitions(corpus), "symbols"), stored(extract.call_lines(corpus), "calls"), stored(extract.imports(corpus), "imports")
 
 
 def ask(spark, *names):
@@ -95,8 +94,8 @@ def test_patterns_keep_wildcards(spark, asked, expected):
 def test_enclosing_test_ignores_case_and_kind(spark):
     symbols = symbol(spark, ("TestAll", "class", "test_x.py", 1, 20), ("testOne", "method", "test_x.py", 2, 5), ("other", "function", "test_x.py", 3, 4))
     sites = spark.createDataFrame(
-        [(0, "test_x.py", 3, 0, "", ""), (0, "test_x.py", 9, 0, "", ""), (0, "x.py", 3, 0, "", "")],
-        "request_id bigint, file string, line int, no int, context string, symbol_name string",
+        [(0, "test_x.py", 3, 0), (0, "test_x.py", 9, 0), (0, "x.py", 3, 0)],
+        "request_id bigint, file string, line int, no int",
     )
     got = {(r.file, r.line): r.enclosing_test for r in resolve.with_enclosing_test(sites, symbols, F.lit("python")).collect()}
     assert got == {("test_x.py", 3): "testOne", ("test_x.py", 9): "TestAll", ("x.py", 3): ""}
