@@ -10,6 +10,7 @@ from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorespan.functions import text
 from lorespan.functions.vectors import dot, norm
@@ -33,7 +34,7 @@ def hashed_embedding(df: DataFrame, text_col: str, out: str = "embedding", dim:
 
 def encode(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], np.ndarray]], out: str = "embedding") -> DataFrame:
     """Embeds a text column with the caller's model: ``load`` runs once per task, the model per batch."""
-    schema = df.schema.add(out, "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorespan.functions import paths, text
 
@@ -203,4 +204,4 @@ def classify_lines(lines: DataFrame, text_col: str, load: Callable[[], Callable[
         for batch in batches:
             yield batch.assign(entity=model(batch[text_col].tolist()))
 
-    return lines.mapInPandas(run, lines.schema.add("entity", "string"))
+    return lines.mapInPandas(run, T.StructType([*lines.schema.fields, T.StructField("entity", T.StringType())]))

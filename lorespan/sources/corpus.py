@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +21,51 @@ IGNORED_DIRS = (
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder as (file, bytes, size); paths are relative to the folder."""
+    """Files below a folder as (file, bytes, size); paths are relative to the folder.
+
+    Works on any file system Spark reads. Spark's listing leaves out empty files and names that start
+    with '.' or '_'; ``walk_tree`` finds those too where the folder is mounted on every machine.
+    """
     base = "file:" + root.rstrip("/") if root.startswith("/") else root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^" + base.replace(".", r"\.") + "/+", "")
     return raw.select(rel.alias("file"), F.col("content").alias("bytes"), F.col("length").alias("size"))
 
 
+def walk_tree(spark: SparkSession, root: str, extra_ignore=()) -> DataFrame:
+    """All files below a mounted folder, walked and read by tasks.
+
+    Each first-level folder is one task of the walk, which lists names and sizes only; then the files
+    are spread evenly and read. Ignored folders are not entered, files over the limit not read.
+    """
+    skip = {*IGNORED_DIRS, *extra_ignore}
+
+    def entered(name: str) -> bool:
+        return not name.startswith(".") and name not in skip
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for top in batch["top"]:
+                for folder, dirs, names in os.walk(os.path.join(root, top)):
+                    dirs[:] = [] if top == "" else [d for d in dirs if entered(d)]
+                    paths_ = [os.path.join(folder, n) for n in names]
+                    kept = [p for p in paths_ if os.path.isfile(p)]
+                    yield pd.DataFrame({"file": [os.path.relpath(p, root) for p in kept], "size": [os.path.getsize(p) for p in kept]}, dtype=object)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, size in zip(batch["file"], batch["size"]):
+                data = None
+                if size <= MAX_FILE_BYTES:
+                    with open(os.path.join(root, file), "rb") as f:
+                        data = f.read()
+                yield pd.DataFrame({"file": [file], "bytes": [data], "size": [size]}, dtype=object)
+
+    tops = ["", *sorted(e.name for e in os.scandir(root) if e.is_dir() and entered(e.name))]
+    found = spark.createDataFrame([(t,) for t in tops], "top string").repartition(len(tops), "top").mapInPandas(walk, "file string, size bigint")
+    return found.repartition("file").mapInPandas(read, "file string, bytes binary, size bigint")
+
+
 def ignore_names(ignore_file_text: str) -> set[str]:
     """Extra directory names from the text of an ignore file: one per line, '#' starts a comment line."""
     return {ln.strip() for ln in ignore_file_text.splitlines() if ln.strip() and not ln.startswith("#")}

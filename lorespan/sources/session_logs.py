@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines (session, project, mtime, pos, raw). The position is a line's number in its file, so
-    a log is read as one row and split in place."""
-    whole = spark.read.option("wholetext", "true").text(path).select(
+    a log file is read as one row and split in place. Larger logs come as a table of such rows instead."""
+    whole = spark.read.text(path, wholetext=True).select(
         "value",
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").alias("mtime"),
