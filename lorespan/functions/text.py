@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Every character that ends a line for Python's str.splitlines.
@@ -65,3 +65,12 @@ def rtrim_space(text: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """Four characters per token, rounded down."""
     return F.floor(F.length(text) / 4).cast("bigint")
+
+
+def unfold(df: DataFrame, keep: list, array: Column | str, pos: str, value: str) -> DataFrame:
+    """One row per element of an array, numbered from 0.
+
+    The outer form with a check of the number does what ``posexplode`` does, but keeps Spark from
+    inferring a filter on the array's size, which would compute the array a second time.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())

@@ -18,9 +18,8 @@ def _lines(corpus: DataFrame, *carried: str) -> DataFrame:
 
 
 def line_table(corpus: DataFrame, *carried: str) -> DataFrame:
-    return _lines(corpus, *carried).select(
-        "file", *carried, F.posexplode("_lines").alias("_pos", "text")
-    ).select("file", *carried, (F.col("_pos") + 1).alias("line"), "text")
+    rows = text.unfold(_lines(corpus, *carried), ["file", *carried], "_lines", "_pos", "text")
+    return rows.select("file", *carried, (F.col("_pos") + 1).alias("line"), "text")
 
 
 def definitions(corpus: DataFrame) -> DataFrame:
@@ -37,7 +36,7 @@ def definitions(corpus: DataFrame) -> DataFrame:
     spans = F.zip_with(
         "_defs", F.slice(next_start, 1, F.size("_defs")), lambda d, nxt: F.struct(d["name"].alias("name"), d["line"].alias("start_line"), (nxt - 1).alias("end_line"), d["text"].alias("text"))
     )
-    rows = found.select("file", "language", F.posexplode(spans).alias("no", "d"))
+    rows = text.unfold(found, ["file", "language"], spans, "no", "d")
     first = F.substring(F.col("d.name"), 1, 1)
     return rows.select(
         F.col("d.name").alias("name"),
@@ -68,8 +67,5 @@ def call_lines(corpus: DataFrame) -> DataFrame:
 
 def imports(corpus: DataFrame) -> DataFrame:
     first = F.get(F.col("_lines"), 0)
-    return (
-        _lines(corpus)
-        .select("file", F.trim(first).alias("import_line"), text.words(first).alias("w"))
-        .select(F.explode("w").alias("symbol_name"), "file", "import_line")
-    )
+    heads = _lines(corpus).select("file", F.trim(first).alias("import_line"), text.words(first).alias("w"))
+    return text.unfold(heads, ["file", "import_line"], "w", "_pos", "symbol_name").select("symbol_name", "file", "import_line")

@@ -122,7 +122,7 @@ def callers(defs: DataFrame, call_lines: DataFrame) -> DataFrame:
     few; AQE splits it when they are not.
     """
     asked = found(defs).select("request_id", F.col("name").alias("symbol_name"))
-    calls = call_lines.select("file", "line", F.posexplode(F.transform("refs", lambda r: r["name"])).alias("no", "symbol_name"))
+    calls = text.unfold(call_lines, ["file", "line"], F.transform("refs", lambda r: r["name"]), "no", "symbol_name")
     return calls.join(asked, "symbol_name").select("request_id", "file", "line", "no")
 
 

@@ -136,7 +136,7 @@ def _row_length(columns) -> Column:
 
 def _explode_tokens(rows: DataFrame, key, columns) -> DataFrame:
     per_col = F.array(*[F.struct(F.lit(i).alias("col"), text.index_tokens(F.col(c)).alias("toks")) for i, c in enumerate(columns)])
-    return rows.select(*key, "dl", F.inline(per_col)).select(*key, "dl", "col", F.posexplode("toks").alias("pos", "tok"))
+    return text.unfold(rows.select(*key, "dl", F.inline(per_col)), [*key, "dl", "col"], "toks", "pos", "tok")
 
 
 def measured_symbols(symbols: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.functions import carry
+from lorespan.functions import carry, text
 from lorespan.sources.session_logs import blocks, is_text, text_field, truthy
 
 # Tool names of the file reader, and default names of the indexed tools.
@@ -57,7 +57,7 @@ def session_digest(records: DataFrame, read_tool: str = READ_TOOL, indexed_read:
         F.min_by("task", F.when(F.col("task").isNotNull(), F.col("pos"))).alias("task_text"),
         F.min_by("sid", F.when(F.col("sid").isNotNull(), F.col("pos"))).alias("session_id"),
     )
-    uses = records.filter(kind == "assistant").select("session", "pos", F.posexplode(_typed_blocks("tool_use")).alias("i", "b"))
+    uses = text.unfold(records.filter(kind == "assistant"), ["session", "pos"], _typed_blocks("tool_use"), "i", "b")
     tool = text_field(F.col("b"), "$.name")
     touched = (
         uses.select(

@@ -99,7 +99,7 @@ def decode(scanned: DataFrame) -> DataFrame:
         "file",
         "language",
         "is_test",
-        F.decode("bytes", F.lit("UTF-8")).alias("content"),
+        F.make_valid_utf8(F.col("bytes").cast("string")).alias("content"),
         F.sha2("bytes", 256).alias("content_hash"),
     )
 
