@@ -118,12 +118,15 @@ def _allowed(value: Column, policy: Policy) -> Column:
     return out
 
 
-def _redact_line(line: Column, lang: str, policy: Policy) -> Column:
-    """One logical line: its literals are cut out, judged by the whole line and put back."""
+def _redact_line(line: Column, lang: str, policy: Policy, found: Column | None = None) -> Column:
+    """One logical line: its literals are cut out, judged by the whole line and put back.
+
+    ``found`` is the line's entity type when something else than the detectors decided it.
+    """
     pattern = LITERAL[lang]
     if lang == "python":
         pattern = pattern.replace(_PREFIX_PY, "(?:[rRbBuUfF]{0,2})", 1)
-    entity = detect(line, policy)
+    entity = detect(line, policy) if found is None else found
     literals = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
     between = F.split(line, pattern)
 
@@ -205,3 +208,17 @@ def classify_lines(lines: DataFrame, text_col: str, load: Callable[[], Callable[
             yield batch.assign(entity=model(batch[text_col].tolist()))
 
     return lines.mapInPandas(run, T.StructType([*lines.schema.fields, T.StructField("entity", T.StringType())]))
+
+
+def redact_classified(corpus: DataFrame, lang: str, load: Callable[[], Callable[[list[str]], list[str | None]]], policy: Policy) -> DataFrame:
+    """(file, content) with literals redacted where a caller's model finds an active type on their line.
+
+    Lines go through the model in batches over all files and are put together again per file, which
+    is at most as large as an indexable file. A literal over several lines is left alone.
+    """
+    lines = text.unfold(corpus, ["file"], F.split("content", "\n"), "pos", "line")
+    judged = classify_lines(lines, "line", load)
+    active = F.when(F.col("entity").isin(*policy.entity_types), F.col("entity"))
+    out = judged.select("file", "pos", _redact_line(F.col("line"), lang, policy, active).alias("line"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "line")))
+    return out.groupBy("file").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("content"))
