@@ -39,7 +39,7 @@ def read_states(reads: DataFrame, idle_ms: int | None = None) -> DataFrame:
     ``turn`` is a column because a key sees only its own file. Without reads for ``idle_ms`` the
     session is forgotten and its next read is a first one.
     """
-    out = "session bigint, file string, turn bigint, state string, ref_turn bigint"
+    out = f"session {dict(reads.dtypes)['session']}, file string, turn bigint, state string, ref_turn bigint"
     mode = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
