@@ -590,7 +590,8 @@ def adhoc_sql(spark, d):
 @query
 def stream_timeline(spark, d):
     source = spark.readStream.schema(b.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    log = source.select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").try_cast("double").alias("tokens_saved"))
+    utc = F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts))")
+    log = source.select("event_type", utc.alias("ts"), F.get_json_object("props", "$.k").try_cast("double").alias("tokens_saved"))
     work = scratch_dir(spark, "stream_timeline")
     flows.drain(flows.timeline(log, index_events=b.INDEX_EVENTS), flows.parquet_sink(f"{work}/out"), f"{work}/ckpt", "update")
     return flows.latest(spark, f"{work}/out", "date string, tool string, call_count bigint, tokens_saved bigint", ["date", "tool"])

@@ -22,7 +22,7 @@ def timeline(events: DataFrame, watermark: str = "1 day", index_events=("init",
         .withWatermark("ts", watermark)
         .groupBy(F.window("ts", "1 day").alias("w"), F.col("event_type").alias("tool"))
         .agg(F.count("*").alias("call_count"), F.coalesce(F.sum(F.col("tokens_saved").cast("bigint")), F.lit(0)).alias("tokens_saved"))
-        .select(F.date_format("w.start", "yyyy-MM-dd").alias("date"), "tool", "call_count", "tokens_saved")
+        .select(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("w.start") / 86400).cast("int")), "yyyy-MM-dd").alias("date"), "tool", "call_count", "tokens_saved")
     )
 
 
