@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import decontaminate, mixing, quality, simhash, token_files
+from lorespan.llm import decontaminate, html_text, licenses, mixing, privacy, quality, secrets, simhash, token_files, topk
 from lorespan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,34 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_main_text")
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), name="found").select("doc_id", "found.*")
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; each source is an owner, each document a repository."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_personal_data")
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and terms that disclose it."""
+    return privacy.report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_cover_tree_top_k")
+def op8_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of the highest inner product for every twentieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
