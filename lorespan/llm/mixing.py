@@ -48,10 +48,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to add so that their words come as near to ``budget`` from below as
-    possible: bounded knapsack over lengths, by first reaching item.
+    """How many documents of each length to add so that their words come nearest to ``budget``, below it in ties:
+    bounded knapsack over lengths, by first reaching item.
 
-    Lengths are distinct and positive. A budget beyond ``KNAPSACK_WORDS`` is lowered first, longest first.
+    Lengths are distinct and positive. A sum that is nearer than none at all is below twice the budget, so the
+    table ends there. A budget beyond ``KNAPSACK_WORDS`` is lowered first by whole documents, longest first.
     """
     taken = np.zeros(len(lengths), dtype=np.int64)
     for k in np.argsort(-lengths):
@@ -59,26 +60,28 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             break
         n = min(int(counts[k]), int(budget // lengths[k]))
         taken[k], budget = n, budget - n * int(lengths[k])
-    budget = int(min(budget, KNAPSACK_WORDS))
-    if budget <= 0:
+    if budget <= 0 or budget > KNAPSACK_WORDS:
         return taken
-    reached = np.full(budget + 1, -1, dtype=np.int64)
+    budget = int(budget)
+    most = 2 * budget
+    reached = np.full(most + 1, -1, dtype=np.int64)
     reached[0] = 0
     items: list[tuple[int, int]] = [(0, 0)]
     for k in np.argsort(lengths, kind="stable"):
-        left, batch = int(min(counts[k] - taken[k], budget // lengths[k])), 1
+        left, batch = int(min(counts[k] - taken[k], most // lengths[k])), 1
         # numbers of copies as powers of two, so that any count up to ``left`` is a sum of them
         while left > 0 and reached[budget] < 0:
             copies = min(batch, left)
             step = copies * int(lengths[k])
-            if step <= budget:
-                new = np.flatnonzero((reached[: budget + 1 - step] >= 0) & (reached[step:] < 0)) + step
+            if step <= most:
+                new = np.flatnonzero((reached[: most + 1 - step] >= 0) & (reached[step:] < 0)) + step
                 reached[new] = len(items)
                 items.append((int(k), copies))
             left, batch = left - copies, batch * 2
         if reached[budget] >= 0:
             break
-    at = int(np.flatnonzero(reached >= 0)[-1])
+    sums = np.flatnonzero(reached >= 0)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         k, copies = items[reached[at]]
         taken[k] += copies
@@ -92,8 +95,8 @@ def _plan(lengths: DataFrame) -> DataFrame:
     ``lengths``: ``(source, size, n, source_size, target)``, a row per distinct length of a source.
     """
     rest = F.col("target") - F.col("passes") * F.col("source_size")
-    based = lengths.withColumn("passes", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
-    based = based.withColumn("rest", F.round(rest).cast("long")).withColumn("whole", F.floor(F.col("n") * (rest / F.col("source_size"))).cast("long"))
+    based = lengths.withColumn("passes", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
+    based = based.withColumn("rest", F.round(rest).cast("long")).withColumn("whole", F.floor(F.col("n") * F.coalesce(F.try_divide(rest, "source_size"), F.lit(0.0))).cast("long"))
     per = Window.partitionBy("source")
     down = per.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     based = based.withColumn("open", F.col("rest") - F.sum(F.col("whole") * F.col("size")).over(per))
@@ -103,7 +106,7 @@ def _plan(lengths: DataFrame) -> DataFrame:
     based = based.withColumn("open", F.col("open") - F.sum(F.when(F.col("one"), F.col("size")).otherwise(0)).over(per))
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        free = ((rows["size"] > 0) & (rows["size"] <= rows["open"]) & (rows["whole"] < rows["n"])).to_numpy()
+        free = ((rows["size"] > 0) & (rows["size"] <= 2 * rows["open"]) & (rows["whole"] < rows["n"])).to_numpy()
         if free.any():
             part = rows[free]
             added = fit_budget(part["size"].to_numpy(), (part["n"] - part["whole"]).to_numpy(), int(part["open"].iloc[0]))
@@ -120,8 +123,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Size: words ``[^\\x20\\x09-\\x0D]+`` (null: 0). ``n`` is how often the same id, source and text came; ``taken``
     and ``repeats`` (copies of the document in the mix) are of all ``n`` together. Null ids and sources are
     values like others; texts of no words are taken zero times. The same rows give the same mix. No document
-    is taken more than ``most`` times, and taken words differ from the target by less than one document of the
-    lengths that are left.
+    is taken more than ``most`` times; taken words are as near to the target as documents of the lengths that
+    are still open allow, above it too.
     """
     words = F.size(F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\x0B\f\r]+", " ")), " "))
     size = F.when(F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]"), words).otherwise(0).cast("long")
