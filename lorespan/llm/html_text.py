@@ -55,6 +55,7 @@ STOPS_LOW, STOPS_HIGH = 0.10, 0.20
 MOST_LINKED = 0.4
 
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?--!?>)|<!--.*\Z|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>""", re.S)
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -109,7 +110,8 @@ def blocks(page: str) -> list[Block]:
     opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = regions = 0
-    heading, at, size = False, 0, len(page)
+    # no tag ends after the last bracket; one that is open there is dropped
+    heading, at, size, last = False, 0, len(page), page.rfind(">") + 1
 
     def end_block() -> None:
         nonlocal linked, heading
@@ -133,11 +135,13 @@ def blocks(page: str) -> list[Block]:
         del stack[depth:]
 
     while at < size:
-        found = _TOKEN.search(page, at)
+        found = _TOKEN.search(page, at, last)
         if found is None:
-            add(page[at:])
+            add(_OPEN.split(page[at:], maxsplit=1)[0])
             break
         add(page[at : found.start()])
+        if found[0].startswith("<!--") and not found[0].endswith(">"):
+            break
         at, tag = found.end(), (found[2] or "").lower()
         if not tag:
             continue

@@ -1,0 +1,138 @@
+import hashlib
+import random
+import re
+
+from llm_rows import documents, empty, odd_rows, sentence
+
+from lorespan.llm import licenses, privacy, secrets
+
+# ------------------------------------------------------------------ secrets
+ASSIGN = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+
+
+def base_secrets(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def line(spans, kinds):
+    return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+
+
+HEX, KEY, SHARED = "0123456789abcdef" * 3, "Abcdefgh12345678IJKLmnop90", "Zyxwvuts12345678IJKLmnop90"
+SECRETS = [
+    (900, f"😀 Password = '{HEX}' x token=abc token=secret:abcdefgh API_KEY:\"q1w2e3r4\"", "s0"),
+    (901, f"AKIA{'A1' * 8} AKIASHORT é{HEX}g AKIAAKIA1234567890", "s1"),
+    (902, f"a live {KEY} and {SHARED}", "s1"),
+    (903, f"copied {SHARED}", "s2"),
+    (904, "-----BEGIN RSA PRIVATE KEY----- abc", None),
+    (905, "passwd: ==aaaaaaa' token==abcdefgh tokenapikey=12345678 apikey  :  abcdefgh", "s2"),
+]
+
+
+def test_secrets_equal_brute_force(spark):
+    rows = odd_rows() + SECRETS + [SECRETS[0], (906, SECRETS[0][1], "s3")]
+    found = secrets.scan(documents(spark, rows)).collect()
+    want = []
+    for i, text, _ in rows:
+        spans = base_secrets(text)
+        counts = [sum(k == n for _, k, _ in spans) for n in range(3)]
+        want.append((i, *counts, hashlib.sha256(line(spans, secrets.KINDS).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in found), key=repr) == sorted(want, key=repr)
+    spans = {r.doc_id: r.spans for r in found}
+    at = SECRETS[2][1].index(KEY)
+    assert spans[902] == f"key:{at}:{at + len(KEY)}"  # the value of two owners is an example
+    assert spans[903] == "" and spans[904] == "pem:0:31"
+    assert spans[900] == line(base_secrets(SECRETS[0][1]), secrets.KINDS)
+
+
+def test_secrets_of_an_empty_table(spark):
+    assert secrets.scan(empty(spark)).collect() == []
+
+
+# ------------------------------------------------------------------ licences
+def test_licences(spark):
+    rows = odd_rows() + [
+        (900, "Foo. Licensed under the Apache License, Version 2.0.", "s"), (901, "Released under the MIT License. All rights reserved.", "s"),
+        (902, "x CC-BY y; CC BY-NC 4.0. Licensed under CC BY-NC 4.0.", "s"), (903, "This work is licensed under the GNU General Public License, version 3.", "s"),
+        (904, "the general license of public mit apache by cc", "s"), (905, "ALL RIGHTS RESERVED " * 3, "s"), (906, "mit", "s"),
+    ]
+    found = {r.doc_id: r for r in licenses.scan(documents(spark, rows), name="found").select("doc_id", "found.*").collect()}
+    assert len(rows) == licenses.scan(documents(spark, rows)).count()
+    assert (found[900].labels, found[900].n_base, found[900].first_word) == ("apache-2.0", 0, None)
+    assert (found[901].labels, found[901].base_labels, found[901].first_word) == ("mit,reserved", "reserved", 5)
+    assert (found[902].n_base, found[902].first_word, found[902].last_word, found[902].base_labels) == (3, 1, 11, "cc-by")
+    assert "cc-by-nc" in found[902].labels.split(",")
+    assert found[903].labels == "gpl,gpl-3.0" and found[903].score == 1.0
+    assert found[904].labels == "" and found[904].score == 0.0 and found[906].labels == ""
+    assert (found[905].n_base, found[905].first_word, found[905].last_word) == (3, 0, 6)
+    assert found[100].n_words == 0 and found[101].n_words == 0 and found[103].n_words == 60_000
+
+
+def test_base_places_equal_brute_force(spark):
+    rng = random.Random(2)
+    pool = "cc by all rights reserved general public license x".split()
+    rows = [(n, " ".join(rng.choice(pool) for _ in range(200)), "s") for n in range(20)]
+    for r in licenses.scan(documents(spark, rows), name="found").select("text", "found.*").collect():
+        words = r.text.split()
+        places = [k for phrase in licenses.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        assert (r.n_base, r.first_word, r.last_word) == (len(places), min(places, default=None), max(places, default=None))
+
+
+# ------------------------------------------------------------------ personal data
+PATTERNS = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]",
+)
+
+
+def luhn(digits):
+    values = [int(d) for d in digits[::-1]]
+    return sum(values[::2], sum(sum(divmod(2 * v, 10)) for v in values[1::2])) % 10 == 0
+
+
+def base_personal(text):
+    out = []
+    for kind, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text or "", re.A):
+            digits = re.sub("[^0-9]", "", m[0])
+            if (
+                kind == 0 or kind == 1 and all(int(x) <= 255 for x in m[0].split("."))
+                or kind == 2 and 12 <= len(digits) <= 19 and luhn(digits) or kind == 3 and 9 <= len(digits) <= 15
+            ):
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(7)
+    parts = ["a@b.co", "a.b+c@x-y.z.com", "@", "a@b", ".", "..", "1.2.3.4", "1.2.3.400.5", "0001.2.3.4", "4111 1111 1111 1111", "4111111111111111", "+49 (30) 1234567", "+1", "-", " ", "12", "é", "x" * 80, "%", "+", "(", "7" * 40, "a@b.c@d.e"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        assert privacy.base_spans(text) == base_personal(text), text
+
+
+def test_report_and_disclosing_terms(spark):
+    rng = random.Random(3)
+    rows = odd_rows() + [(700 + n, f"{sentence(rng, 6)} zorblax met jo@ex.org at 10.0.0.1 {sentence(rng, 6)}", "s") for n in range(6)]
+    rows += [(800, "a zorblax alone", "s"), (801, "mail é jo@ex.org", "s")]
+    docs = documents(spark, rows)
+    found = privacy.report(docs).collect()
+    want = []
+    for i, text, _ in rows:
+        spans = base_personal(text)
+        want.append((i, *(sum(k == n for _, k, _ in spans) for n in range(4)), hashlib.sha256(line(spans, privacy.KINDS).encode()).hexdigest()))
+    assert sorted((tuple(r)[:6] for r in found), key=repr) == sorted(want, key=repr)
+    spans = {r.doc_id: r.spans for r in found}
+    assert "2:9" in spans[800] and spans[801] == "email:7:16"
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs).collect()}
+    assert "zorblax" not in clean[800] and "jo@" not in clean[700] and clean[801] == "mail é [EMAIL]"
+    assert privacy.sanitise(docs).columns == docs.columns and len(found) == len(rows) == privacy.sanitise(docs).count()
+
+
+def test_personal_data_of_an_empty_table(spark):
+    assert privacy.report(empty(spark)).collect() == []
+    assert privacy.sanitise(empty(spark)).collect() == []
