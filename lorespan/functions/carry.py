@@ -3,8 +3,8 @@
 A plain window puts a whole group in one task. Here each group is cut into buckets that follow
 the order (a day, an hour, a block of sequence numbers). The window runs per (group, bucket), one
 small row per bucket is carried forward, and the two are added. A group that holds a third of all
-rows is then spread over as many tasks as it has buckets, and the rows are shuffled once. Group
-keys must not be null.
+rows is then spread over as many tasks as it has buckets, and the rows are shuffled once. Null keys
+are a group and a null bucket comes first.
 """
 
 from __future__ import annotations
@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 BUCKET = "_bucket"
 
 
+def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on group and bucket that takes nulls for equal."""
+    named = carry.withColumnsRenamed({c: f"_k_{c}" for c in (*keys, BUCKET)})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, BUCKET)]
+    return rows.join(named, same, "left").drop(*(f"_k_{c}" for c in (*keys, BUCKET)))
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, sums: dict[str, Column]) -> DataFrame:
     """Adds one inclusive running sum per entry of ``sums``."""
     df = df.withColumn(BUCKET, bucket)
@@ -26,7 +33,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column
     carry = totals.select(
         *keys, BUCKET, *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_c_{n}") for n in sums]
     )
-    joined = inner.join(carry, [*keys, BUCKET], "left")
+    joined = _with_carry(inner, carry, keys)
     return joined.select(
         *[c for c in df.columns if c != BUCKET],
         *[(F.coalesce(F.col(f"_in_{n}"), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums],
@@ -54,6 +61,6 @@ def last_before(df: DataFrame, keys: list[str], order: list[str], bucket: Column
     )
     across = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     carry = ends.select(*keys, BUCKET, *[F.last(f"_e_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in values])
-    joined = inner.join(carry, [*keys, BUCKET], "left")
+    joined = _with_carry(inner, carry, keys)
     keep = [c for c in df.columns if c != BUCKET and not c.startswith("_v_")]
     return joined.select(*keep, *[F.coalesce(f"_in_{n}", f"_c_{n}").alias(n) for n in values])

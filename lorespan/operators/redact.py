@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespan.functions import paths, text
+from lorespan.operators.extract import NOT_CODE, pieces
 
 MIN_LITERAL = 6
+# Stands for a line break inside a string or comment while lines are cut.
+_HIDDEN = "\u0004"
 
 # Rule detectors, in the subset Java and RE2 regular expressions share. The order breaks ties.
 DETECTORS = {
@@ -55,7 +58,7 @@ INTERPOLATED = {"python": r"^[rRbBuU]*[fF]", "javascript": r"^`(?:[^`]*)\$\{"}
 class Policy:
     """What is redacted. ``watch`` / ``ignore`` / ``allow`` return a changed copy."""
 
-    enabled: bool = True
+    enabled: bool = False
     entity_types: tuple[str, ...] = DEFAULT_ENTITIES
     allow_patterns: tuple[str, ...] = ()
     env_passthrough_keys: tuple[str, ...] = field(default=DEFAULT_PASSTHROUGH)
@@ -126,7 +129,7 @@ def _redact_line(line: Column, lang: str, policy: Policy, found: Column | None =
     pattern = LITERAL[lang]
     if lang == "python":
         pattern = pattern.replace(_PREFIX_PY, "(?:[rRbBuUfF]{0,2})", 1)
-    entity = detect(line, policy) if found is None else found
+    entity = detect(F.substring_index(line, _HIDDEN, 1), policy) if found is None else found
     literals = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
     between = F.split(line, pattern)
 
@@ -143,23 +146,13 @@ def _redact_line(line: Column, lang: str, policy: Policy, found: Column | None =
 def redact_code(content: Column, lang: str, policy: Policy) -> Column:
     """Replaces detected string literals; all other text stays as it is.
 
-    Line breaks inside multi-line literals are hidden while lines are cut, so such a literal is
-    judged and replaced as a whole.
+    Line breaks inside strings and comments are hidden while lines are cut, so a literal of several lines is
+    replaced as a whole; it is judged by the line it begins in.
     """
-    hidden = "\u0004"
-    marks = {"python": "\"\"\"|'''", "javascript": "`", "go": "`"}
-    if lang in marks:
-        mark = marks[lang]
-        pieces = F.split(content, mark)
-        quotes = F.concat(F.regexp_extract_all(content, F.lit(mark), F.lit(0)), F.array(F.lit("")))
-        joined = F.zip_with(
-            F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit("\n"), F.lit(hidden))).otherwise(p)),
-            quotes,
-            lambda p, q: F.concat(p, q),
-        )
-        content = F.array_join(joined, "")
+    if lang in NOT_CODE:
+        content = pieces(content, lang, lambda p: F.replace(p, F.lit("\n"), F.lit(_HIDDEN)))
     out = F.array_join(F.transform(F.split(content, "\n"), lambda t: _redact_line(t, lang, policy)), "\n")
-    return F.replace(out, F.lit(hidden), F.lit("\n"))
+    return F.replace(out, F.lit(_HIDDEN), F.lit("\n"))
 
 
 def redact_env(content: Column, policy: Policy) -> Column:

@@ -173,11 +173,12 @@ def _listed(rows: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def resolve(requests: DataFrame, symbols: DataFrame, call_lines: DataFrame, imports: DataFrame, corpus: DataFrame,
-            git_info: DataFrame, language: Column | None = None, test_prefix: str = "test") -> DataFrame:
-    """One row per request for display: the lists hold the first entries, the counts all of them.
+            git_info: DataFrame, language: Column | None = None, test_prefix: str = "test",
+            shown_callers: int = SHOWN_CALLERS, shown_tests: int = SHOWN_TESTS, shown_importers: int = SHOWN_IMPORTERS) -> DataFrame:
+    """One row per request for display: the lists hold the first entries, as many as asked for, the counts all.
 
-    The whole lists are the relations ``callers``, ``importers`` and ``candidates``: a name used by a
-    third of all calls must not become one row.
+    The whole lists are the relations ``callers``, ``importers`` and ``candidates``, a row per entry: a name used
+    by a third of all calls must not become one row.
     """
     defs = definitions(requests, symbols)
     lang = paths.language_of(F.col("file")) if language is None else language
@@ -187,10 +188,10 @@ def resolve(requests: DataFrame, symbols: DataFrame, call_lines: DataFrame, impo
     imported_from = importers(defs, imports)
     counts = sites.groupBy("request_id").agg(F.count_if(~is_test).alias("n_callers"), F.count_if(is_test).alias("n_tests"))
     n_imports = imported_from.groupBy("request_id").agg(F.count("*").alias("n_importers"))
-    shown = with_context(_top(sites.filter(~is_test), SHOWN_CALLERS, order).unionByName(_top(sites.filter(is_test), SHOWN_TESTS, order)), call_lines)
+    shown = with_context(_top(sites.filter(~is_test), shown_callers, order).unionByName(_top(sites.filter(is_test), shown_tests, order)), call_lines)
     plain = _listed(shown.filter(~is_test), F.struct("file", "line", "context"), "callers")
     tests = _listed(shown.filter(is_test), F.struct("file", "line", "context", "enclosing_test"), "tests")
-    imported = _listed(_top(imported_from, SHOWN_IMPORTERS, ["file"]), F.col("file"), "importers")
+    imported = _listed(_top(imported_from, shown_importers, ["file"]), F.col("file"), "importers")
     full = with_source(defs, corpus).join(git_info, "file", "left")
     for part in (counts, n_imports, plain, tests, imported):
         full = full.join(part, "request_id", "left")

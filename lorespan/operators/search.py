@@ -31,8 +31,6 @@ SYMBOL_TEXT = ("name", "kind", "file", "signature")
 SYMBOL_KEY = ("file", "no")
 CALL_KEY = ("file", "line", "no")
 LINE_KEY = ("file", "line")
-# Hits (at most about 1 KB each with their strings) that may be broadcast.
-BROADCAST_HITS = 20_000
 _FOLD = str.maketrans(text.FOLD_FROM, text.FOLD_TO)
 # Ranks are compared after rounding, so that the order of additions cannot change a result.
 RANK_DIGITS = 9
@@ -289,45 +287,35 @@ def _best(counts: DataFrame, lengths: DataFrame, key, limit: int) -> DataFrame:
     return scored.withColumn("place", place).filter(F.col("place") <= limit)
 
 
-def _small(hits: DataFrame, limit: int, n_queries: int | None) -> DataFrame:
-    """Marks hits for broadcast when their number is known to be small."""
-    known = n_queries is not None and n_queries * limit <= BROADCAST_HITS
-    return F.broadcast(hits) if known else hits
-
-
-def search_symbols(index: TextIndex, terms: DataFrame, limit: int = LIMIT, n_queries: int | None = None) -> DataFrame:
-    """Best definitions per query; ties by file and position in the file.
-
-    With ``n_queries``, the number of queries in ``terms``, the hits are known to be few and are
-    broadcast to the rows they name; without it Spark decides by size.
-    """
+def search_symbols(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Best definitions per query; ties by file and position in the file."""
     counts = term_counts(index.symbol_postings, terms, SYMBOL_KEY)
     top = _best(counts, _symbol_lengths(index), SYMBOL_KEY, limit)
-    return index.symbols.join(_small(top, limit, n_queries), list(SYMBOL_KEY))
+    return index.symbols.join(top, list(SYMBOL_KEY))
 
 
-def search_calls(index: TextIndex, terms: DataFrame, limit: int = LIMIT, n_queries: int | None = None) -> DataFrame:
+def search_calls(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Best call sites per query; ties by file, line and position in the line."""
     top = _best(call_counts(index, terms), _call_lengths(index), CALL_KEY, limit)
-    found = index.call_lines.select("file", "line", "context", "refs").join(_small(top, limit, n_queries), list(LINE_KEY))
+    found = index.call_lines.select("file", "line", "context", "refs").join(top, list(LINE_KEY))
     return found.select("query_id", "file", "line", "no", "rank", "place", "context", F.get("refs", F.col("no"))["name"].alias("symbol_name"))
 
 
-def search(index: TextIndex, terms: DataFrame, limit: int = LIMIT, n_queries: int | None = None) -> DataFrame:
+def search(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Definitions and call sites merged: one row per definition, or per call without one.
 
     A definition found directly keeps its rank and takes the context of its best call; one found
     through calls takes the rank of the best call. The limit holds for both passes and the result.
     """
-    direct = search_symbols(index, terms, limit, n_queries)
-    calls = search_calls(index, terms, limit, n_queries)
+    direct = search_symbols(index, terms, limit)
+    calls = search_calls(index, terms, limit)
     called = calls.select(F.col("symbol_name").alias("name")).distinct()
     first_def = (
-        index.symbols.join(_small(called, limit, n_queries), "name", "left_semi")
+        index.symbols.join(called, "name", "left_semi")
         .groupBy("name")
         .agg(F.min(F.struct("file", "start_line", "no", "end_line", "kind", "signature", "language")).alias("d"))
     )
-    linked = calls.join(_small(first_def, limit, n_queries), calls["symbol_name"] == first_def["name"], "left")
+    linked = calls.join(first_def, calls["symbol_name"] == first_def["name"], "left")
     known = F.col("d").isNotNull()
     own = F.coalesce("context", F.lit(""))
     by_call = linked.select(

@@ -19,7 +19,7 @@ from lorespan.streaming import flows
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-POLICY = redact.Policy(entity_types=tuple(redact.DETECTORS))
+POLICY = redact.Policy(enabled=True, entity_types=tuple(redact.DETECTORS))
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -109,18 +109,18 @@ def _one(spark, d):
 
 @query
 def symbol_search(spark, d):
-    hits = search.search_symbols(*_one(spark, d), n_queries=1)
+    hits = search.search_symbols(*_one(spark, d))
     return hits.select("file", "name", "kind", "start_line", F.round("rank", 6).alias("rank"), "place")
 
 
 @query
 def call_search(spark, d):
-    hits = search.search_calls(*_one(spark, d), n_queries=1)
+    hits = search.search_calls(*_one(spark, d))
     return hits.select("file", "line", "no", "symbol_name", "context", F.round("rank", 6).alias("rank"), "place")
 
 
 def _merged(spark, d):
-    return search.search(*_one(spark, d), n_queries=1)
+    return search.search(*_one(spark, d))
 
 
 _HIT = ["file", "name", "start_line", "end_line", "kind", "signature", "language", "call_context", "call_line"]
@@ -132,8 +132,7 @@ def merged_search(spark, d):
 
 
 def _batch(spark, d):
-    asked = b.queries(spark, d)
-    return search.search(b.index(spark, d), search.query_terms(asked), n_queries=asked.count())
+    return search.search(b.index(spark, d), search.query_terms(b.queries(spark, d)))
 
 
 @query
@@ -589,7 +588,7 @@ def adhoc_sql(spark, d):
 
 @query
 def stream_timeline(spark, d):
-    source = spark.readStream.schema(b.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    source = spark.readStream.schema(b.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     utc = F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts))")
     log = source.select("event_type", utc.alias("ts"), F.get_json_object("props", "$.k").try_cast("double").alias("tokens_saved"))
     work = scratch_dir(spark, "stream_timeline")
@@ -631,7 +630,7 @@ def stream_index(spark, d):
 
 @query
 def stream_savings(spark, d):
-    source = spark.readStream.schema(b.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    source = spark.readStream.schema(b.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     calls = source.select(F.col("user_id").alias("session"), economy.saved(k, F.floor("value").cast("bigint")).alias("saved"))
     work = scratch_dir(spark, "stream_savings")

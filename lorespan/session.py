@@ -16,6 +16,8 @@ def local_session(app: str = "lorespan", cores: int = 8, memory: str = "8g") ->
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.minPartitionNum", str(cores))
+        .config("spark.sql.files.openCostInBytes", "128k")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespan.functions import paths, text
+from lorespan.session import scratch_dir
 
 MAX_FILE_BYTES = 1_000_000
 
@@ -20,66 +21,80 @@ IGNORED_DIRS = (
 )
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder as (file, bytes, size); paths are relative to the folder.
+def list_tree(spark: SparkSession, root: str, extra_ignore=()) -> DataFrame:
+    """``(file, size)`` of all files below a folder of any store that ``pyarrow.fs`` opens, whatever their names.
 
-    Works on any file system Spark reads. Spark's listing leaves out empty files and names that start
-    with '.' or '_'; ``walk_tree`` finds those too where the folder is mounted on every machine.
+    Folders are listed level by level, each folder by the task it falls to, so a tree of one long branch is as
+    many small jobs as it is deep and a wide one is spread. Ignored folders and those with a leading dot are not
+    entered. ``file`` is relative to ``root``.
     """
-    base = "file:" + root.rstrip("/") if root.startswith("/") else root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace("path", "^" + base.replace(".", r"\.") + "/+", "")
-    return raw.select(rel.alias("file"), F.col("content").alias("bytes"), F.col("length").alias("size"))
+    skip = frozenset((*IGNORED_DIRS, *extra_ignore))
 
-
-def walk_tree(spark: SparkSession, root: str, extra_ignore=()) -> DataFrame:
-    """All files below a mounted folder, walked and read by tasks.
-
-    Each first-level folder is one task of the walk, which lists names and sizes only; then the files
-    are spread evenly and read. Ignored folders are not entered, files over the limit not read.
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column("file").to_pylist():
+                found = store.get_file_info(pafs.FileSelector(f"{top.rstrip('/')}/{folder}".rstrip("/"), recursive=False))
+                kept = [x for x in found if x.type == pafs.FileType.File or x.type == pafs.FileType.Directory and not x.base_name.startswith(".") and x.base_name not in skip]
+                names = [f"{folder}/{x.base_name}".lstrip("/") for x in kept]
+                yield pa.record_batch(
+                    [pa.array(names, pa.string()), pa.array([x.size for x in kept], pa.int64()), pa.array([x.type == pafs.FileType.Directory for x in kept], pa.bool_())],
+                    names=["file", "size", "folder"],
+                )
+
+    level, parts = spark.createDataFrame([("",)], "file string"), []
+    while not level.isEmpty():
+        path = scratch_dir(spark, "listing")
+        level.repartition(spark.sparkContext.defaultParallelism).mapInArrow(listed, "file string, size long, folder boolean").write.parquet(path)
+        parts.append(spark.read.schema("file string, size long, folder boolean").parquet(path))
+        level = parts[-1].filter("folder").select("file")
+    files = parts[0]
+    for part in parts[1:]:
+        files = files.union(part)
+    return files.filter("not folder").select("file", "size")
+
+
+def read_tree(spark: SparkSession, root: str, extra_ignore=(), max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """``(file, bytes, size, unreadable)`` of all files below a folder, read by tasks.
+
+    Files over ``max_bytes`` are not read; one that can't be read is marked and the others go on.
     """
-    skip = {*IGNORED_DIRS, *extra_ignore}
 
-    def entered(name: str) -> bool:
-        return not name.startswith(".") and name not in skip
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for top in batch["top"]:
-                for folder, dirs, names in os.walk(os.path.join(root, top)):
-                    dirs[:] = [] if top == "" else [d for d in dirs if entered(d)]
-                    paths_ = [os.path.join(folder, n) for n in names]
-                    kept = [p for p in paths_ if os.path.isfile(p)]
-                    yield pd.DataFrame({"file": [os.path.relpath(p, root) for p in kept], "size": [os.path.getsize(p) for p in kept]}, dtype=object)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = pafs.FileSystem.from_uri(root)
         for batch in batches:
-            for file, size in zip(batch["file"], batch["size"]):
-                data = None
-                if size <= MAX_FILE_BYTES:
-                    with open(os.path.join(root, file), "rb") as f:
-                        data = f.read()
-                yield pd.DataFrame({"file": [file], "bytes": [data], "size": [size]}, dtype=object)
+            for file, size in zip(batch.column("file").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                data, failed = None, False
+                if size <= max_bytes:
+                    try:
+                        with store.open_input_stream(f"{top.rstrip('/')}/{file}") as stream:
+                            data = stream.read()
+                    except OSError:
+                        failed = True
+                yield pa.record_batch(
+                    [pa.array([file]), pa.array([data], pa.binary()), pa.array([size], pa.int64()), pa.array([failed], pa.bool_())],
+                    names=["file", "bytes", "size", "unreadable"],
+                )
 
-    tops = ["", *sorted(e.name for e in os.scandir(root) if e.is_dir() and entered(e.name))]
-    found = spark.createDataFrame([(t,) for t in tops], "top string").repartition(len(tops), "top").mapInPandas(walk, "file string, size bigint")
-    return found.repartition("file").mapInPandas(read, "file string, bytes binary, size bigint")
+    return list_tree(spark, root, extra_ignore).repartition("file").mapInArrow(read, "file string, bytes binary, size long, unreadable boolean")
 
 
-def ignore_names(ignore_file_text: str) -> set[str]:
-    """Extra directory names from the text of an ignore file: one per line, '#' starts a comment line."""
-    return {ln.strip() for ln in ignore_file_text.splitlines() if ln.strip() and not ln.startswith("#")}
+def ignore_names(lines: DataFrame, line: str = "value") -> DataFrame:
+    """``name``: extra directory names from the lines of an ignore file, without blank and ``#`` lines."""
+    name = F.regexp_replace(line, r"^\s+|\s+$", "")
+    return lines.filter(~F.startswith(line, F.lit("#"))).select(name.alias("name")).filter("name <> ''").distinct()
 
 
 def scan_corpus(files: DataFrame, language: Column | None = None, extra_ignore=(), max_bytes: int = MAX_FILE_BYTES,
                 test_rules: Column | None = None) -> DataFrame:
     """Adds language, test flag and ``too_big``; drops other languages and ignored directories.
 
-    Files over the size limit stay, flagged: run statistics count them as skipped. ``test_rules`` is the
+    Files over the size limit, or that could not be read, stay, flagged: run statistics count them as skipped. ``test_rules`` is the
     language whose test file names apply, by default that of the file.
     """
     lang = paths.language_of(F.col("file")) if language is None else language
     names = {*IGNORED_DIRS, *extra_ignore}
+    unreadable = F.col("unreadable") if "unreadable" in files.columns else F.lit(False)
     return (
         files.filter(~paths.in_ignored_dir(F.col("file"), names))
         .withColumn("language", lang)
@@ -88,7 +103,7 @@ def scan_corpus(files: DataFrame, language: Column | None = None, extra_ignore=(
             *[c for c in files.columns if c != "language"],
             "language",
             paths.is_test_file(F.col("file"), F.col("language") if test_rules is None else test_rules).alias("is_test"),
-            (F.col("size") > max_bytes).alias("too_big"),
+            ((F.col("size") > max_bytes) | unreadable).alias("too_big"),
         )
     )
 

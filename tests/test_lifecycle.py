@@ -25,22 +25,34 @@ def test_scan_rules(spark, tmp_path):
     for name, data in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    ignore = corpus_source.ignore_names("# comment\n gen \n\nother\n")
+    lines = spark.createDataFrame([("# comment",), (" gen ",), ("",), ("other",)], "value string")
+    ignore = {r.name for r in corpus_source.ignore_names(lines).collect()}
     assert ignore == {"gen", "other"}
-    scanned = corpus_source.scan_corpus(corpus_source.walk_tree(spark, str(tmp_path), ignore), extra_ignore=ignore)
+    scanned = corpus_source.scan_corpus(corpus_source.read_tree(spark, str(tmp_path), ignore), extra_ignore=ignore)
     got = {r.file: (r.language, r.is_test, r.too_big) for r in scanned.collect()}
     assert got == {
         "a.py": ("python", False, False), "pkg/B.PY": ("python", False, False), ".env.py": ("python", False, False),
         "big.go": ("go", False, False), "bigger.go": ("go", False, True), "src/tests/g.rs": ("rust", True, False),
         "bad.py": ("python", False, False), "__init__.py": ("python", False, False), "pkg/_x.py": ("python", False, False),
     }
-    listed = corpus_source.scan_corpus(corpus_source.read_tree(spark, str(tmp_path)), extra_ignore=ignore)
-    assert {r.file for r in listed.collect()} == {f for f in got if len(files[f]) and not f.split("/")[-1].startswith((".", "_"))}
+    larger = corpus_source.scan_corpus(corpus_source.read_tree(spark, str(tmp_path), ignore, max_bytes=2_000_000), extra_ignore=ignore, max_bytes=2_000_000)
+    assert corpus_source.decode(larger).filter("file = 'bigger.go'").first().content == "a" * 1_000_001
     text = {r.file: r for r in corpus_source.decode(scanned).collect()}
     assert "bigger.go" not in text and text["bad.py"].content == "caf�\n"
     assert text["a.py"].content_hash == hashlib.sha256(b"x = 1\n").hexdigest()
 
 
+def test_unreadable_files_are_skipped(spark, tmp_path):
+    (tmp_path / "deep/er/and/deeper").mkdir(parents=True)
+    (tmp_path / "deep/er/and/deeper/a.py").write_bytes(b"x = 1\n")
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nowhere")
+    found = {r.file: r.unreadable for r in corpus_source.read_tree(spark, f"file://{tmp_path}").collect()}
+    assert found["deep/er/and/deeper/a.py"] is False and found.get("gone.py", True) is True
+    files = spark.createDataFrame([("a.py", None, 3, True), ("b.py", b"y", 1, False)], "file string, bytes binary, size long, unreadable boolean")
+    assert {r.file: r.too_big for r in corpus_source.scan_corpus(files).collect()} == {"a.py": True, "b.py": False}
+    assert [r.file for r in corpus_source.decode(corpus_source.scan_corpus(files)).collect()] == ["b.py"]
+
+
 @pytest.mark.parametrize(
     "file, language, expected",
     [
