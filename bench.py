@@ -12,7 +12,7 @@ from lorespan.session import local_session, scratch_dir
 
 HEADLINES = [
     "tool_summary", "heatmap", "savings_cumulative", "response_trend", "session_running_saved", "read_ref_turn",
-    "change_class", "snapshot_upsert", "definitions", "references",
+    "change_class", "snapshot_upsert", "definitions", "references", "code_definitions", "code_calls",
     "symbol_search", "call_search", "merged_search", "batch_search",
     "resolve_chain", "callers", "resolve_full", "module_summary",
     "similarity_rank", "best_match", "turn_classes", "session_digest", "line_delta",

@@ -132,6 +132,52 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), variant.alias("name"))
 
 
+# Code made of the documents, a file each: languages by the text's language, a first line that imports, then a block of
+# seven lines per line of text that defines a function and calls one named after the line's first word (in place of
+# {w}; {n} is the number of the line). The blocks are full of marks that must not count: quotes in comments, comment
+# marks in strings, declarations and calls in both.
+CODE = {
+    "en": ("py", "from lib import tool", (
+        "def f{n}(a):", "    # it's a ` and @@@ mark", "    q = '@@@' + \"/* no(\"", "    @@@doc", "    def no(): {w}(1)", "    @@@", "    return {w}_(q, \"x(\")",
+    )),
+    "fr": ("js", "import { tool } from 'lib/*x'", (
+        "function f{n}(a) {", "  // it's a ` mark /* here", "  const q = '/*' + `no( ${a} \"`;", "  /* function no() {", "  no(1) */", "  return {w}_(q, \"x(\");", "}",
+    )),
+    "de": ("go", "import \"lib/*/tool\"", (
+        "func f{n}(a int) int {", "  // it's a ` mark /* here", "  q := \"/*\" + `no( \"`", "  /* func no() {", "  no(1) */", "  return {w}_(q, \"x(\")", "}",
+    )),
+    "es": ("rs", "use lib::tool;", (
+        "fn f{n}(a: &str) -> i32 {", "  // it's a ` mark /* here", "  let q = \"/*\"; let c = '\"';", "  /* fn no() {", "  no(1) */", "  return {w}_(q, \"x(\");", "}",
+    )),
+}
+
+
+def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of code; every twentieth is named as a test of its language."""
+    def by_lang(make):
+        out = F.lit(None).cast("string")
+        for lang, (ext, head, block) in CODE.items():
+            out = F.when(F.col("lang") == lang, make(ext, head, "\n".join(block).replace("@@@", '"' * 3))).otherwise(out)
+        return out
+
+    def content(_, head, block):
+        def one(line, n):
+            word = F.lower(F.regexp_extract(line, "[A-Za-z]+", 0))
+            named = F.replace(F.lit(block), F.lit("{w}"), F.when(word == "", F.lit("x")).otherwise(word))
+            return F.replace(named, F.lit("{n}"), (n + 1).cast("string"))
+
+        return F.concat(F.lit(head + "\n"), F.array_join(F.transform(F.split("text", "\n"), one), "\n"), F.lit("\n"))
+
+    name = F.col("doc_id").cast("string")
+    test = F.col("doc_id") % 20 == 0
+    folder = F.when(test & (F.col("lang") == "es"), F.concat("source", F.lit("/tests/"))).otherwise(F.concat("source", F.lit("/")))
+    before = F.when(test & (F.col("lang") == "en"), F.lit("test_")).otherwise(F.lit(""))
+    after = F.when(test & (F.col("lang") == "fr"), F.lit(".test")).when(test & (F.col("lang") == "de"), F.lit("_test")).otherwise(F.lit(""))
+    file = F.concat(folder, before, name, after, F.lit("."), by_lang(lambda ext, *_: F.lit(ext)))
+    files = table(spark, sf_dir, "documents").select(file.alias("file"), by_lang(content).alias("content"))
+    return corpus_source.scan_corpus(files.withColumn("size", F.octet_length("content")), max_bytes=1 << 30)
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a commit log of the documents."""
     log = table(spark, sf_dir, "orders").select(

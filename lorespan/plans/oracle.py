@@ -331,3 +331,22 @@ ORACLE["stream_timeline"] = f"WITH {EV} SELECT {DAY} AS date, event_type AS tool
 ORACLE["stream_reads"] = f"WITH {READS} SELECT session, file, turn, state, coalesce(ref_turn, 0) AS ref_turn FROM st3"
 ORACLE["stream_index"] = f"WITH {DEFS}, n AS (SELECT file, count(*) AS n FROM defs GROUP BY 1) SELECT file, content_hash, len({line_list('content')}) AS line_count, coalesce(n, 0) AS symbols FROM corpus LEFT JOIN n USING (file)"
 ORACLE["stream_savings"] = f"WITH {SAVED} SELECT session, sum(saved)::BIGINT AS session_saved, count(*) AS calls FROM sv GROUP BY 1"
+
+
+# ---------------------------------------------------------------- code made of documents
+# What the files hold by the way they are made, without reading any code: a line that imports, then seven lines per line.
+_CODE_FILES = """code AS (SELECT string_split(text, chr(10)) AS l, CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'javascript' WHEN 'de' THEN 'go' WHEN 'es' THEN 'rust' END AS language,
+  doc_id % 20 = 0 AS is_test,
+  source || CASE WHEN lang = 'es' AND doc_id % 20 = 0 THEN '/tests/' ELSE '/' END || CASE WHEN lang = 'en' AND doc_id % 20 = 0 THEN 'test_' ELSE '' END || doc_id
+  || CASE WHEN doc_id % 20 <> 0 THEN '' WHEN lang = 'fr' THEN '.test' WHEN lang = 'de' THEN '_test' ELSE '' END
+  || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.js' WHEN 'de' THEN '.go' WHEN 'es' THEN '.rs' END AS file
+  FROM documents WHERE lang IN ('en', 'fr', 'de', 'es') AND text IS NOT NULL),
+blocks AS (SELECT file, language, n, 2 + 7 * (n - 1) AS start_line, CASE WHEN w = '' THEN 'x' ELSE w END || '_' AS callee
+  FROM (SELECT file, language, unnest(range(1, len(l) + 1)) AS n, lower(regexp_extract(unnest(l), '[A-Za-z]+')) AS w FROM code))"""
+ORACLE["code_definitions"] = f"""WITH {_CODE_FILES} SELECT file, 'f' || n AS name, 'function' AS kind, start_line, start_line + 6 AS end_line,
+  CASE language WHEN 'python' THEN 'def f' || n || '(a):' WHEN 'javascript' THEN 'function f' || n || '(a) {{' WHEN 'go' THEN 'func f' || n || '(a int) int {{' ELSE 'fn f' || n || '(a: &str) -> i32 {{' END AS signature, language FROM blocks"""
+ORACLE["code_calls"] = f"""WITH {_CODE_FILES} SELECT callee AS symbol_name, file AS caller_file, start_line + CASE language WHEN 'python' THEN 6 ELSE 5 END AS line,
+  CASE language WHEN 'python' THEN '    ' ELSE '  ' END || 'return ' || callee || '(q, "x(")' || CASE WHEN language IN ('javascript', 'rust') THEN ';' ELSE '' END AS context, callee AS full_name FROM blocks"""
+ORACLE["code_imports"] = f"""WITH {_CODE_FILES} SELECT CASE language WHEN 'rust' THEN 'use lib::tool;' ELSE 'tool' END AS symbol_name, file,
+  CASE language WHEN 'python' THEN 'from lib import tool' WHEN 'javascript' THEN 'import {{ tool }} from ' || chr(39) || 'lib/*x' || chr(39) WHEN 'go' THEN 'import "lib/*/tool"' ELSE 'use lib::tool;' END AS import_line FROM code"""
+ORACLE["code_test_files"] = f"WITH {_CODE_FILES} SELECT file, language, is_test FROM code"

@@ -95,6 +95,26 @@ def import_refs(spark, d):
     return prose.imports(b.indexable(spark, d))
 
 
+@query
+def code_definitions(spark, d):
+    return extract.definitions(b.code_corpus(spark, d)).select("file", "name", "kind", "start_line", "end_line", "signature", "language")
+
+
+@query
+def code_calls(spark, d):
+    return extract.explode_calls(extract.call_lines(b.code_corpus(spark, d))).select("symbol_name", "caller_file", "line", "context", "full_name")
+
+
+@query
+def code_imports(spark, d):
+    return extract.imports(b.code_corpus(spark, d))
+
+
+@query
+def code_test_files(spark, d):
+    return b.code_corpus(spark, d).select("file", "language", "is_test")
+
+
 # ---------------------------------------------------------------- search
 
 @query
