@@ -383,13 +383,13 @@ def event_metadata(spark, d):
 
 @query
 def event_append(spark, d):
-    """Events appended to a log in two goes and read back for some days, with the folders of others untouched."""
+    """Events appended to a log in two goes and read back."""
     path = scratch_dir(spark, "event_log")
     log = b.table(spark, d, "events").select(
         F.col("event_id").alias("id"), "event_type", "ts", F.col("value").alias("duration_ms"), F.col("props").alias("metadata")
     )
-    event_log.append_events(log.filter(F.col("event_type").isin(*b.INDEX_EVENTS)), path)
-    event_log.append_events(log.filter(~F.col("event_type").isin(*b.INDEX_EVENTS)), path)
+    event_log.append_events(log.filter(F.col("event_type").isin(*b.INDEX_EVENTS)), path, "index")
+    event_log.append_events(log.filter(~F.col("event_type").isin(*b.INDEX_EVENTS)), path, "tools")
     return event_log.read_events(spark, path).groupBy(F.date_format("date", "yyyy-MM-dd").alias("date"), "event_type").agg(
         F.count("*").alias("n"), F.max("id").alias("last_id")
     )

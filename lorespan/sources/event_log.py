@@ -1,4 +1,4 @@
-"""Event log as an append-only Parquet table, one folder per UTC day."""
+"""Event log as an append-only Parquet table, one folder per UTC day and run."""
 
 from __future__ import annotations
 
@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Appends rows (id, event_type, ts, duration_ms, metadata); ``ts`` is UTC.
+def append_events(events: DataFrame, path: str, run: str) -> None:
+    """Appends the rows (id, event_type, ts, duration_ms, metadata) of a run; ``ts`` is UTC.
 
-    Rows of a day are laid together before the write, in as many files as their size asks for: AQE
-    splits a day that is larger than a partition.
+    A run that is appended again replaces its own rows of those days. Rows of a day are laid together before
+    the write, in as many files as their size asks for: AQE splits a day that is larger than a partition.
     """
-    dated = events.withColumn("date", F.to_date("ts"))
-    dated.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
+    dated = events.withColumn("date", F.to_date("ts")).withColumn("run", F.lit(run))
+    dated.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "run").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A filter on ``date`` reads only the folders of those days."""
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("run")

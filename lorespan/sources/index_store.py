@@ -1,16 +1,21 @@
 """The index on disk: relations as versioned Parquet folders under one root.
 
 A refresh writes only the rows of re-indexed files, as a new version, and then the manifest of that
-version, which names each file put or deleted. The manifest is one write job, so readers see all of a
-version or nothing of it, and running a version again replaces it. A row is live when the latest
-manifest entry of its file is a put of the row's own version. ``compact`` rewrites the live rows.
+version, which names each file put or deleted. Every run of a version writes into folders of its own and its
+manifest names that run, so readers see all of a run or nothing of it; of several runs of a version the last
+counts. A row is live when the latest manifest entry of its file is a put of the row's own version and run.
+``compact`` rewrites the live rows as a base: readers skip the folders of versions before it, ``vacuum`` deletes
+them.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,35 +39,48 @@ class IndexStore:
     spark: SparkSession
     root: str
 
-    def _write(self, df: DataFrame, name: str, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
+    def _write(self, df: DataFrame, name: str, version: int, run: str) -> None:
+        df.write.parquet(f"{self.root}/{name}/version={version}/run={run}")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(f"{schema}, version bigint").option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
+        rows = self.spark.read.schema(f"{schema}, version bigint, run string").option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
+        return rows.filter(F.col("version") >= self.base())
+
+    def base(self) -> int:
+        """The version that readers begin at: one small row per compaction is read."""
+        return self.spark.read.schema("base bigint").parquet(f"{self.root}/base").agg(F.max("base")).first()[0]
 
     def create(self) -> IndexStore:
         """Empty version 0 of everything."""
         for name, schema in {**RELATIONS, "manifest": MANIFEST}.items():
-            self._write(self.spark.createDataFrame([], schema), name, 0)
+            self._write(self.spark.createDataFrame([], schema), name, 0, _run())
+        self._begin(0)
         return self
 
+    def _begin(self, version: int) -> None:
+        self.spark.createDataFrame([(version,)], "base bigint").write.mode("append").parquet(f"{self.root}/base")
+
     def write_version(self, version: int, files: DataFrame, deleted: DataFrame, relations: dict[str, DataFrame]) -> None:
         """``files`` are the meta rows of re-indexed files, ``deleted`` has the column file."""
+        run = _run()
         for name, df in relations.items():
-            self._write(df.select(*_COLUMNS[name]), name, version)
+            self._write(df.select(*_COLUMNS[name]), name, version, run)
         gone = deleted.select(
             "file", F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("double").alias("last_indexed"),
             F.lit(None).cast("string").alias("language"), F.lit(None).cast("int").alias("line_count"), F.lit(False).alias("live"),
         )
-        self._write(files.withColumn("live", F.lit(True)).select(*gone.columns).unionByName(gone), "manifest", version)
+        self._write(files.withColumn("live", F.lit(True)).select(*gone.columns).unionByName(gone), "manifest", version, run)
 
     def _latest(self, before: int | None = None) -> DataFrame:
         rows = self._read("manifest", MANIFEST)
         if before is not None:
             rows = rows.filter(F.col("version") < before)
         fields = [c for c in rows.columns if c not in ("file", "version")]
+        # names of runs sort by time; a manifest without rows says nothing, so its version's earlier run would count
+        last = rows.groupBy("version").agg(F.max("run").alias("run"))
         return (
-            rows.groupBy("file")
+            rows.join(last, ["version", "run"], "left_semi")
+            .groupBy("file")
             .agg(F.max_by(F.struct("version", *fields), "version").alias("m"))
             .select("file", "m.*")
             .filter("live")
@@ -70,17 +88,33 @@ class IndexStore:
 
     def file_meta(self, before: int | None = None) -> DataFrame:
         """Live files, of all versions or of those before one."""
-        return self._latest(before).drop("version", "live")
+        return self._latest(before).drop("version", "run", "live")
 
     def relation(self, name: str) -> DataFrame:
-        live = self._latest().select("file", "version")
-        return self._read(name, RELATIONS[name]).join(live, ["file", "version"], "left_semi").drop("version")
+        live = self._latest().select("file", "version", "run")
+        return self._read(name, RELATIONS[name]).join(live, ["file", "version", "run"], "left_semi").drop("version", "run")
 
     def relations(self) -> dict[str, DataFrame]:
         return {name: self.relation(name) for name in RELATIONS}
 
     def compact(self, version: int) -> None:
+        """Writes the live rows as one version and lets readers begin there."""
         self.write_version(version, self.file_meta(), self.spark.createDataFrame([], "file string"), self.relations())
+        self._begin(version)
+
+    def vacuum(self) -> None:
+        """Deletes the folders of versions before the base. No reader may still use an older base."""
+        base = self.base()
+        store, root = pafs.FileSystem.from_uri(self.root)
+        for name in (*RELATIONS, "manifest"):
+            for folder in store.get_file_info(pafs.FileSelector(f"{root}/{name}")):
+                if folder.base_name.startswith("version=") and int(folder.base_name[8:]) < base:
+                    store.delete_dir(folder.path)
+
+
+def _run() -> str:
+    """A name for a run; later ones sort after earlier ones."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
 
 
 def refresh(store: IndexStore, corpus: DataFrame, gone: DataFrame, version: int,

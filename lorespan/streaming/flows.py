@@ -47,23 +47,24 @@ def read_states(reads: DataFrame, idle_ms: int | None = None) -> DataFrame:
             state.remove()
             return
         digest, at = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values("turn")
-        states, refs = [], []
-        for turn, new in zip(rows["turn"], rows["hash"]):
-            if new is None:
-                states.append("missing")
-                refs.append(None)
-                continue
-            states.append("full" if digest is None else "unchanged" if digest == new else "changed")
-            refs.append(at)
-            if digest != new:
-                digest, at = new, int(turn)
+        rows = pd.concat(list(batches)).sort_values("turn", ignore_index=True)
+        seen = rows[rows["hash"].notna()]
+        before = seen["hash"].shift(fill_value=digest)
+        differs = before.isna() | (seen["hash"] != before)
+        # turn of the last read that brought other content, and the one that a row refers back to
+        since = seen["turn"].where(differs).ffill().astype("Int64")
+        since = since if at is None else since.fillna(at)
+        states = pd.Series("missing", index=rows.index, dtype=object)
+        states[seen.index] = pd.Series("changed", index=seen.index).mask(~differs, "unchanged").mask(before.isna(), "full")
+        refs = since.shift(fill_value=pd.NA if at is None else at).reindex(rows.index)
+        if len(seen):
+            digest, at = seen["hash"].iloc[-1], int(since.iloc[-1])
         if digest is not None:
             state.update((digest, at))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(
-            {"session": key[0], "file": key[1], "turn": rows["turn"].to_numpy(), "state": states, "ref_turn": pd.array(refs, dtype="Int64")}
+            {"session": key[0], "file": key[1], "turn": rows["turn"].to_numpy(), "state": states, "ref_turn": refs}
         )
 
     return reads.select("session", "file", "turn", "hash").groupBy("session", "file").applyInPandasWithState(step, out, READ_STATE, "append", mode)
@@ -99,7 +100,12 @@ def _start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint
 
 
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all available input with RocksDB state and waits for the end."""
+    """Runs a stream over all available input with RocksDB state and waits for the end.
+
+    A sink with a ``path`` gets an empty table there first, so that a stream without input has a readable result.
+    """
+    if path := getattr(sink, "path", None):
+        stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
     _start(stream, sink, checkpoint, mode).awaitTermination()
 
 
@@ -109,6 +115,7 @@ def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    write.path = path
     return write
 
 

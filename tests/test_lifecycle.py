@@ -121,6 +121,9 @@ def test_store_refresh(spark, tmp_path):
     assert {r.file for r in written.collect()} == {"a.py"}  # unchanged files are not written again
     assert sorted(r.file for r in store.file_meta().collect()) == ["a.py", "c.py"]
     store.compact(3)
+    assert store.base() == 3
+    store.vacuum()
+    assert [p.name for p in (tmp_path / "index/symbols").glob("version=*")] == ["version=3"]
     assert names(store) == [("a.py", "f2")]
     assert store.relation("call_lines").count() == 0
 
@@ -129,5 +132,5 @@ def test_uncommitted_version_is_invisible(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index")).create()
     refresh(store, corpus(spark, a="def f(): pass\n"), spark.createDataFrame([], "file string"), 1, EXTRACT, meta)
     # A run that stopped before its manifest leaves rows nobody sees.
-    extract.definitions(corpus(spark, a="def broken(): pass\n")).write.parquet(f"{store.root}/symbols/version=2")
+    extract.definitions(corpus(spark, a="def broken(): pass\n")).write.parquet(f"{store.root}/symbols/version=2/run=x")
     assert names(store) == [("a.py", "f")]

@@ -74,3 +74,20 @@ def test_index_feed(spark, tmp_path):
         flows.drain(spark.readStream.schema(schema).parquet(folder), sink, str(tmp_path / "ck"))
     assert [(r.file, r.name) for r in store.relation("symbols").collect()] == [("a", "Five")]
     assert [r.file for r in store.file_meta().collect()] == ["a"]
+
+
+def test_stream_without_input_has_an_empty_result(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("session bigint, saved bigint").parquet(str(tmp_path / "in"))
+    flows.drain(flows.running_savings(source), flows.parquet_sink(str(tmp_path / "out")), str(tmp_path / "c"), "update")
+    assert flows.latest(spark, str(tmp_path / "out"), "session bigint, session_saved bigint, calls bigint", ["session"]).collect() == []
+
+
+def test_events_stored_as_a_folder(spark, tmp_path):
+    from lorespan.plans.queries import QUERIES
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_timeline", "stream_savings"):
+        whole = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(map(tuple, whole.collect()))

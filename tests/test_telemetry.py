@@ -121,8 +121,9 @@ def test_index_run_event(spark):
 def test_event_log_appends_by_day(spark, tmp_path):
     path = str(tmp_path / "log")
     one = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1, 23, 59), 1.0, "{}"), (2, "b", dt.datetime(2024, 1, 2), 1.0, "{}")], "id bigint, event_type string, ts timestamp_ntz, duration_ms double, metadata string")
-    event_log.append_events(one, path)
-    event_log.append_events(one.limit(1), path)
+    event_log.append_events(one, path, "a")
+    event_log.append_events(one.orderBy("ts").limit(1), path, "b")
+    event_log.append_events(one, path, "a")  # a repeated run replaces itself
     got = event_log.read_events(spark, path).groupBy("date").count().orderBy("date").collect()
     assert [(str(r.date), r["count"]) for r in got] == [("2024-01-01", 2), ("2024-01-02", 1)]
 
