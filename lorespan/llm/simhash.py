@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4) -> DataFrame:
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8) -> DataFrame:
     """``(id, fp, w0, w1, ...)``: fp over the distinct words, w* a fingerprint of ``64 * words`` bits over shingles.
 
     The distance of the wide fingerprints estimates the similarity of the shingles; fp moves little when a few
@@ -119,7 +119,7 @@ def pigeonhole_keys(fp: Column, radius: int) -> Column:
     return F.array(*(F.shiftleft(F.lit(n).cast("long"), 56).bitwiseXOR(F.shiftleft(part[a], 27)).bitwiseXOR(part[b]) for n, (a, b) in enumerate(pairs)))
 
 
-def sampled_keys(fp: Column, tables: int = 16, bits: int = 24) -> Column:
+def sampled_keys(fp: Column, tables: int = 24, bits: int = 20) -> Column:
     """Array of keys, each a fixed random choice of bits of the fingerprint: close fingerprints share one likely."""
     rng, keys = random.Random(SEED), []
     for n in range(tables):
@@ -353,17 +353,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity_bits: int = 46) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity_bits: int = 88) -> DataFrame:
     """``(id, group_id)`` per row: groups of texts whose word shingles are about 0.8 similar or more.
 
-    Two texts link if their 256-bit fingerprints over five-word shingles differ in at most 46 bits: an angle of
-    a similarity of 0.77, so that texts of 0.8 pass despite the spread of the estimate. Candidates share one of
-    sixteen 24-bit choices of the fingerprint over distinct words. Rows without any words are one group. Null
+    Two texts link if their 512-bit fingerprints over five-word shingles differ in at most 88 bits: the angle of a
+    similarity of 0.75, so that most texts of 0.8 pass despite the spread of the estimate. Candidates share one of
+    24 choices of 20 bits of the fingerprint over distinct words. Rows without any words are one group. Null
     and repeated ids and repeated rows come back as often as they were given.
     """
-    words = ["w0", "w1", "w2", "w3"]
+    words = [f"w{k}" for k in range(8)]
     prints = wide_fingerprints(docs, id_col, text_col, shingle)
-    prints = stored(prints.select(id_col, F.concat_ws(",", "fp", *words).alias("class"), "fp", *words), "simhash")
+    prints = stored(prints.select(id_col, F.unhex(F.md5(F.concat_ws(",", "fp", *words))).alias("class"), "fp", *words), "simhash")
     classes = stored(prints.groupBy("class").agg(*(F.first(c).alias(c) for c in ("fp", *words))), "simhash_classes")
     found = components(links(classes, "class", sampled_keys(F.col("fp")), words, similarity_bits))
     rooted = found.withColumnRenamed("node", "class")
