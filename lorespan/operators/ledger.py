@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,25 +67,18 @@ def line_delta(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
 
 
 def unified_delta(pairs: DataFrame, key: str, old: str, new: str, label: Column, turn: Column) -> DataFrame:
-    """Unified diff with three context lines for each changed pair, computed pair by pair."""
-
-    @F.pandas_udf("string")
-    def diff(a: pd.Series, b: pd.Series, name: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                "".join(
-                    difflib.unified_diff(
-                        x.splitlines(keepends=True), y.splitlines(keepends=True), f"{n} (turn {t})", f"{n} (current)", n=3
-                    )
-                )
-                for x, y, n, t in zip(a, b, name, at)
-            ]
-        )
-
-    changed = pairs.filter(F.col(old) != F.col(new))
-    return changed.select(key, diff(F.col(old), F.col(new), label, turn).alias("delta"))
+    """``(key, delta)`` for each changed pair: two head lines, then the lines of ``line_delta`` by number, removed
+    before added, without context. A pair that differs in its last line break only has the head alone.
+    """
+    removed = F.col("side") == "removed"
+    order = F.struct("line", (~removed).alias("after"), F.concat(F.when(removed, F.lit("-")).otherwise(F.lit("+")), "text", F.lit("\n")).alias("text"))
+    changes = line_delta(pairs, key, old, new).groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("_changes"))
+    heads = pairs.filter(F.col(old) != F.col(new)).select(key, F.format_string("--- %s (turn %d)\n+++ %s (current)\n", label, turn, label).alias("_head"))
+    body = F.coalesce(F.array_join(F.transform("_changes", lambda x: x["text"]), ""), F.lit(""))
+    return heads.join(changes, key, "left").select(key, F.concat("_head", body).alias("delta"))
 
 
+# The notices that a read gets instead of a file.
 def sent_text(state: Column, file: Column, ref_turn: Column, content: Column, delta: Column) -> Column:
     """Text a read sends: whole file, notice, or notice and delta."""
     return (

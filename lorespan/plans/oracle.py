@@ -258,11 +258,19 @@ READS = f"""{EV}, rd AS (SELECT session, id, ts, event_type AS file, k // 20 AS
  st3 AS (SELECT *, max(CASE WHEN state <> 'unchanged' THEN turn END) OVER (PARTITION BY session, file ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ref_turn FROM st2)"""
 ORACLE["read_state"] = f"WITH {READS} SELECT session, id, file, turn, state FROM st3"
 ORACLE["read_ref_turn"] = f"WITH {READS} SELECT session, id, file, turn, state, coalesce(ref_turn, 0) AS ref_turn FROM st3"
-ORACLE["line_delta"] = f"""WITH {CORPUS}, {PREVIOUS}, pairs AS (SELECT file, p.content AS old, a.content AS new FROM allfiles a JOIN previous p USING (file) WHERE p.content <> a.content),
+_DELTA = f"""{CORPUS}, {PREVIOUS}, pairs AS (SELECT file, p.content AS old, a.content AS new FROM allfiles a JOIN previous p USING (file) WHERE p.content <> a.content),
  sides AS (SELECT file, 'removed' AS side, {line_list('old')} AS ls FROM pairs UNION ALL SELECT file, 'added', {line_list('new')} FROM pairs),
  rows AS (SELECT file, side, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS text FROM sides),
- nth AS (SELECT *, row_number() OVER (PARTITION BY file, side, text ORDER BY line) AS r FROM rows)
- SELECT a.file, a.side, a.line, a.text FROM nth a WHERE NOT EXISTS (SELECT 1 FROM nth b WHERE b.file = a.file AND b.text = a.text AND b.r = a.r AND b.side <> a.side)"""
+ nth AS (SELECT *, row_number() OVER (PARTITION BY file, side, text ORDER BY line) AS r FROM rows),
+ delta AS (SELECT a.file, a.side, a.line, a.text FROM nth a WHERE NOT EXISTS (SELECT 1 FROM nth b WHERE b.file = a.file AND b.text = a.text AND b.r = a.r AND b.side <> a.side)),
+ unified AS (SELECT file, '--- ' || file || ' (turn 1)' || chr(10) || '+++ ' || file || ' (current)' || chr(10) || coalesce(body, '') AS delta
+  FROM pairs LEFT JOIN (SELECT file, string_agg(CASE side WHEN 'removed' THEN '-' ELSE '+' END || text || chr(10), '' ORDER BY line, side DESC) AS body FROM delta GROUP BY file) USING (file))"""
+ORACLE["line_delta"] = f"WITH {_DELTA} SELECT * FROM delta"
+ORACLE["unified_delta"] = f"WITH {_DELTA} SELECT * FROM unified"
+ORACLE["sent_tokens"] = f"""WITH {_DELTA}, states AS (SELECT a.file, a.content, p.file IS NULL AS fresh, p.content = a.content AS same FROM allfiles a LEFT JOIN previous p USING (file))
+ SELECT file, CASE WHEN fresh THEN 'full' WHEN same THEN 'unchanged' ELSE 'changed' END AS state, CAST(floor(length(CASE WHEN fresh THEN content
+  WHEN same THEN '[' || file || ': unchanged since turn 1]' ELSE '[' || file || ': changed since turn 1]' || chr(10) || delta END) / 4) AS BIGINT) AS output_tokens
+ FROM states LEFT JOIN unified USING (file)"""
 
 # ---------------------------------------------------------------- recall and session logs
 SIMS = """cells AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings),

@@ -1,7 +1,5 @@
 """Carry helpers against plain windows, re-read states, deltas."""
 
-import difflib
-
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window as W
@@ -76,7 +74,9 @@ def test_unified_delta_and_sent_text(spark):
     old, new = "a\nb\nc\nd\ne\nf\n", "a\nb\nc\nD\ne\nf\n"
     df = spark.createDataFrame([("f.py", old, new)], "file string, old string, new string")
     d = ledger.unified_delta(df, "file", "old", "new", F.col("file"), F.lit(4)).first().delta
-    assert d == "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), "f.py (turn 4)", "f.py (current)", n=3))
+    assert d == "--- f.py (turn 4)\n+++ f.py (current)\n-d\n+D\n"
+    ends = spark.createDataFrame([("g.py", "a\n", "a"), ("h.py", "same", "same")], "file string, old string, new string")
+    assert [tuple(r) for r in ledger.unified_delta(ends, "file", "old", "new", F.col("file"), F.lit(1)).collect()] == [("g.py", "--- g.py (turn 1)\n+++ g.py (current)\n")]
     states = spark.createDataFrame([("missing",), ("full",), ("unchanged",), ("changed",)], "s string")
     sent = [r.t for r in states.select(ledger.sent_text(F.col("s"), F.lit("f.py"), F.lit(4), F.lit(new), F.lit("D")).alias("t")).collect()]
     assert sent == ["[ERROR: f.py not found]", new, "[f.py: unchanged since turn 4]", "[f.py: changed since turn 4]\nD"]
