@@ -126,7 +126,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     variant = (
         F.when(F.col("item_id") % 4 == 0, word)
         .when(F.col("item_id") % 4 == 1, F.upper(word))
-        .when(F.col("item_id") % 4 == 2, F.substring(word, 2, 100))
+        .when(F.col("item_id") % 4 == 2, F.substr(word, F.lit(2)))
         .otherwise(F.concat(word, F.lit("zzq")))
     )
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), variant.alias("name"))

@@ -153,7 +153,7 @@ ORACLE["hits_by_file"] = f"""WITH {CALLS}, {ONE}, {SEARCH_ALL} SELECT file, min(
  string_agg(name || ':' || start_line, ',' ORDER BY place) AS items FROM merged GROUP BY file"""
 
 # ---------------------------------------------------------------- resolve
-REQUESTS = f"""requests AS (SELECT item_id AS request_id, CASE item_id % 4 WHEN 0 THEN w WHEN 1 THEN upper(w) WHEN 2 THEN substr(w, 2, 100) ELSE w || 'zzq' END AS name
+REQUESTS = f"""requests AS (SELECT item_id AS request_id, CASE item_id % 4 WHEN 0 THEN w WHEN 1 THEN upper(w) WHEN 2 THEN substr(w, 2) ELSE w || 'zzq' END AS name
  FROM (SELECT item_id, {words('text')}[1] AS w FROM benchmark))"""
 LOWER = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TIERS = f"""names AS (SELECT DISTINCT name FROM defs),
