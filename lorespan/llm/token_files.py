@@ -30,7 +30,7 @@ from lorespan.session import scratch_dir
 
 END_ID = 0
 #: Pieces that a task remembers the ids of; beyond it pieces are encoded again.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Words of Latin letters, whose class all Unicode versions agree on, before a run of signs (no apostrophe).
 LATIN_END = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]*)([!-&(-/:-@\[-`{-~]*)")
 #: White space other than single blanks and line ends, where pieces do not part from each other.
