@@ -30,6 +30,8 @@ BUCKET_LIMIT = 8192
 PAIRWISE = 24
 #: Hashes turned into bits at a time.
 CHUNK = 1 << 15
+#: Texts whose hashes a worker holds at a time.
+SLICE = 128
 
 
 def _hashes(words: list[bytes], shingle: int) -> list[int]:
@@ -73,9 +75,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                ids = batch.column(0).slice(start, 512)
-                found = [_hashes(space_words(t), shingle) for t in batch.column(1).slice(start, 512).to_pylist()]
+            for start in range(0, batch.num_rows, SLICE):
+                ids = batch.column(0).slice(start, SLICE)
+                found = [_hashes(space_words(t), shingle) for t in batch.column(1).slice(start, SLICE).to_pylist()]
                 sizes = np.array([len(h) for h in found], dtype=np.int64)
                 fp = _majority(np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint64, count=sizes.sum()), sizes)
                 yield pa.record_batch([ids, pa.array(fp.view(np.int64))], names=[id_col, "fp"])
@@ -94,14 +96,14 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                texts = [space_words(t) for t in batch.column(1).slice(start, 512).to_pylist()]
+            for start in range(0, batch.num_rows, SLICE):
+                texts = [space_words(t) for t in batch.column(1).slice(start, SLICE).to_pylist()]
                 out = []
                 for found in ([_hashes(sorted(set(w)), 1) if w else [] for w in texts], [_hashes(w, shingle) for w in texts]):
                     sizes = np.array([len(h) for h in found], dtype=np.int64)
                     flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint64, count=sizes.sum())
                     out += [_majority(x, sizes).view(np.int64) for x in ([flat] if not out else [_mix(flat, k) for k in range(words)])]
-                yield pa.record_batch([batch.column(0).slice(start, 512), *map(pa.array, out)], names=[id_col, *names])
+                yield pa.record_batch([batch.column(0).slice(start, SLICE), *map(pa.array, out)], names=[id_col, *names])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names)])
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
