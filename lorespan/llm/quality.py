@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,9 +140,15 @@ def fit(training: DataFrame, label: str = "label", trees: int = TREES, depth: in
     rows = VectorAssembler(inputCols=names, outputCol="x").transform(training).select("x", F.col(label).cast("double").alias("y"), *names)
     forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=SEED, maxBins=64, subsamplingRate=0.7, minInstancesPerNode=5).fit(rows)
     rules = list(dict.fromkeys(r for tree in forest.trees for r in tree_rules(tree._call_java("rootNode"), names)))
-    ruled = rows.select("y", *(F.col(n) for n in names), *(r.column().alias(f"r{k}") for k, r in enumerate(rules)))
-    inputs = [f"r{k}" for k in range(len(rules))] + names
-    vectors = VectorAssembler(inputCols=inputs, outputCol="x").transform(ruled).select("x", "y")
+    place = {n: k for k, n in enumerate(names)}
+
+    def fired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            stats = batch[names].to_numpy()
+            found = [np.all([stats[:, place[n]] <= b if u else stats[:, place[n]] > b for n, u, b in r.bounds], axis=0) for r in rules]
+            yield pd.DataFrame({"y": batch["y"], "x": list(np.column_stack([*found, stats]).astype(float))})
+
+    vectors = rows.drop("x").mapInPandas(fired, "y double, x array<double>").select("y", array_to_vector("x").alias("x"))
     model = LogisticRegression(featuresCol="x", labelCol="y", regParam=lasso, elasticNetParam=1.0, maxIter=60, standardization=True).fit(vectors)
     weights = model.coefficients.toArray()
     kept = tuple((r, float(w)) for r, w in zip(rules, weights, strict=False) if w)
