@@ -73,6 +73,10 @@ ORACLE["run_stats"] = f"""WITH {DEFS}, {PREVIOUS},
  SELECT count(*) FILTER (NOT skip) AS files_indexed, count(*) FILTER (skip) AS files_skipped,
  coalesce(sum(n) FILTER (NOT skip), 0)::BIGINT AS symbols FROM seen LEFT JOIN n USING (file)"""
 
+ORACLE["index_run"] = f"""SELECT 'update' AS event_type, {AS_OF_EPOCH}::DOUBLE AS ts, 1500.0::DOUBLE AS duration_ms,
+ '{{"files_indexed":' || files_indexed || ',"files_skipped":' || files_skipped || ',"symbols":' || symbols || ',"incremental":true}}' AS metadata FROM ({ORACLE["run_stats"]})"""
+ORACLE["file_list"] = f"WITH {CORPUS} SELECT file FROM corpus"
+
 # ---------------------------------------------------------------- extraction
 ORACLE["line_table"] = f"WITH {LINES} SELECT file, line, text FROM lines"
 ORACLE["definitions"] = f"WITH {DEFS} SELECT name, kind, file, start_line, end_line, signature, language, no FROM defs"

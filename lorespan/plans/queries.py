@@ -72,6 +72,18 @@ def run_stats(spark, d):
     return lifecycle.run_stats(b.scanned(spark, d), b.previous_corpus(spark, d), b.symbols(spark, d), incremental=True)
 
 
+@query
+def index_run(spark, d):
+    """The event that a refresh of the earlier corpus logs."""
+    stats = lifecycle.run_stats(b.scanned(spark, d), b.previous_corpus(spark, d), b.symbols(spark, d), incremental=True)
+    return telemetry.index_run_event(stats.withColumn("elapsed", F.lit(1.5)), True, F.lit(b.AS_OF_EPOCH))
+
+
+@query
+def file_list(spark, d):
+    return resolve.list_files(b.file_meta(spark, d))
+
+
 # ---------------------------------------------------------------- extraction
 
 @query
