@@ -110,3 +110,50 @@ def test_unlike_texts_stay(spark):
     rng = random.Random(9)
     rows = [(n, sentence(rng, 200), "s0") for n in range(60)]
     assert simhash.one_of_each_group(documents(spark, rows)).count() == 60
+
+
+def shingles(text, n=5):
+    words = text.lower().split()
+    return {" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+
+
+def similarity_groups(texts):
+    """Groups by the exact similarity of distinct five-word shingles, pair by pair."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    groups = {}
+    for k in range(len(texts)):
+        groups.setdefault(top(k), []).append(k)
+    return sorted(groups.values())
+
+
+def found_groups(spark, texts):
+    found = {}
+    for r in simhash.near_duplicate_groups(documents(spark, [(k, t, "s0") for k, t in enumerate(texts)])).collect():
+        found.setdefault(r.group_id, []).append(r.doc_id)
+    return sorted(map(sorted, found.values()))
+
+
+def test_short_cut_and_lengthened_copies_of_080_to_090_are_found(spark):
+    rng = random.Random(12)
+    unique = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for n in range(60):
+        size, share = rng.choice([8, 9, 12, 20, 40, 100, 300]), 0.80 + 0.1 * rng.random()
+        base = unique(size)
+        whole = size - 4
+        cut, longer = base[: -(-whole * share // 1).__int__() + 4], base + unique(int(whole / share) - whole)
+        few = base[:-1] + unique(1)
+        texts += [" ".join(base), " ".join([cut, longer, few][n % 3])]
+    want = similarity_groups(texts)
+    assert sum(len(g) > 1 for g in want) > 30
+    assert found_groups(spark, texts) == want
