@@ -157,3 +157,19 @@ def test_short_cut_and_lengthened_copies_of_080_to_090_are_found(spark):
     want = similarity_groups(texts)
     assert sum(len(g) > 1 for g in want) > 30
     assert found_groups(spark, texts) == want
+
+
+def test_texts_below_080_stay_apart_and_links_of_a_group_are_verified(spark, monkeypatch):
+    rng = random.Random(13)
+    unique = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for size in (30, 80, 200):  # a family that shares 0.6 to 0.95 of one passage
+        base = unique(size)
+        texts += [" ".join(base[: int(size * k / 20)] + unique(size - int(size * k / 20))) for k in range(14, 21)]
+        texts += [" ".join(base[int(size * k / 40) :]) for k in range(8)]
+    line = " ".join(unique(9))
+    texts += [" ".join([*([line] * 40), *unique(12)]) for _ in range(6)]  # mostly one repeated line
+    want = similarity_groups(texts)
+    assert found_groups(spark, texts) == want
+    monkeypatch.setattr(simhash, "BUCKET_LIMIT", 4)
+    assert found_groups(spark, texts) == want
