@@ -8,6 +8,7 @@ rest, which is less than one document. Which documents of a length are taken fol
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_REPEATS = 2
 SEED = 13
-#: Words of a remaining budget that the knapsack resolves; a larger one is first lowered by whole documents.
-KNAPSACK_WORDS = 1 << 18
+#: Up to so many ways of taking documents their sums are listed, else they are marked in a table of words.
+FEW_SUMS = 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
@@ -49,34 +50,34 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to add so that their words come nearest to ``budget``, below it in ties:
-    bounded knapsack over lengths, by first reaching item.
+    bounded knapsack over lengths, by first reaching item, for budgets of any size.
 
     Lengths are distinct and positive. A sum that is nearer than none at all is below twice the budget, so the
-    table ends there. A budget beyond ``KNAPSACK_WORDS`` is lowered first by whole documents, longest first.
+    table ends there. Few long documents have few sums; these are listed instead.
     """
     taken = np.zeros(len(lengths), dtype=np.int64)
-    for k in np.argsort(-lengths):
-        if budget <= KNAPSACK_WORDS:
-            break
-        n = min(int(counts[k]), int(budget // lengths[k]))
-        taken[k], budget = n, budget - n * int(lengths[k])
-    if budget <= 0 or budget > KNAPSACK_WORDS:
-        return taken
     budget = int(budget)
+    if budget <= 0:
+        return taken
     most = 2 * budget
-    reached = np.full(most + 1, -1, dtype=np.int64)
-    reached[0] = 0
+    usable = np.minimum(counts, most // lengths)
+    if math.prod(int(n) + 1 for n in usable) <= FEW_SUMS:
+        return _listed_sums(lengths, usable, budget)
+    reached = np.full(most + 1, -1, dtype=np.int32)
+    reached[0] = top = 0
     items: list[tuple[int, int]] = [(0, 0)]
     for k in np.argsort(lengths, kind="stable"):
-        left, batch = int(min(counts[k] - taken[k], most // lengths[k])), 1
+        left, batch = int(usable[k]), 1
         # numbers of copies as powers of two, so that any count up to ``left`` is a sum of them
         while left > 0 and reached[budget] < 0:
             copies = min(batch, left)
             step = copies * int(lengths[k])
             if step <= most:
-                new = np.flatnonzero((reached[: most + 1 - step] >= 0) & (reached[step:] < 0)) + step
+                end = min(top, most - step) + 1
+                new = np.flatnonzero((reached[:end] >= 0) & (reached[step : step + end] < 0)) + step
                 reached[new] = len(items)
                 items.append((int(k), copies))
+                top = max(top, int(new[-1])) if len(new) else top
             left, batch = left - copies, batch * 2
         if reached[budget] >= 0:
             break
@@ -89,6 +90,20 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     return taken
 
 
+def _listed_sums(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """``fit_budget`` by the sums themselves, length by length."""
+    steps = [np.zeros(1, dtype=np.int64)]
+    for length, n in zip(lengths, counts, strict=True):
+        sums = np.unique(steps[-1][:, None] + np.arange(int(n) + 1, dtype=np.int64) * int(length))
+        steps.append(sums[sums <= 2 * budget])
+    at = int(steps[-1][np.argmin(np.abs(steps[-1] - budget))])
+    taken = np.zeros(len(lengths), dtype=np.int64)
+    for k in reversed(range(len(lengths))):
+        taken[k] = next(n for n in range(int(counts[k]) + 1) if (at - n * int(lengths[k])) in steps[k])
+        at -= int(taken[k]) * int(lengths[k])
+    return taken
+
+
 def _plan(lengths: DataFrame) -> DataFrame:
     """Documents to take per (source, size): whole passes and how many documents one more.
 

@@ -72,3 +72,28 @@ def test_knapsack_is_the_nearest_sum():
         taken = mixing.fit_budget(lengths, counts, budget)
         best = min(sums, key=lambda x: (abs(x - budget), x))
         assert (taken <= counts).all() and int((taken * lengths).sum()) == best
+
+
+def test_knapsack_is_the_nearest_sum_of_very_long_documents():
+    three = mixing.fit_budget(np.array([1_000_000]), np.array([3]), 1_800_000)
+    assert three.tolist() == [2]
+    rng = random.Random(6)
+    for _ in range(20):
+        lengths = np.array(sorted(rng.sample(range(300_000, 2_000_000), 4)))
+        counts = np.array([rng.randrange(1, 4) for _ in lengths])
+        budget = rng.randrange(300_000, 8_000_000)
+        sums = {sum(int(a) * b for a, b in zip(lengths, c, strict=True)) for c in itertools.product(*(range(n + 1) for n in counts))}
+        best = min(sums, key=lambda x: (abs(x - budget), x))
+        taken = mixing.fit_budget(lengths, counts, budget)
+        assert (taken <= counts).all() and int((taken * lengths).sum()) == best
+    # many short documents beside long ones fill the budget to the word
+    lengths = np.array([*range(100, 1100), 900_000])
+    taken = mixing.fit_budget(lengths, np.array([2] * 1000 + [3]), 850_001)
+    assert (taken * lengths).sum() == 850_001
+
+
+def test_source_of_a_few_very_long_documents(spark):
+    docs = documents(spark, [(n, "w " * 400_000, "a") for n in range(3)])
+    # 1.5 times 1,200,000 words are 1,800,000: one whole pass and the nearer of one and two more documents
+    taken = sorted(r.taken for r in mixing.mixed_rows(docs).collect())
+    assert abs(sum(taken) - 1_800_000) == 200_000 and max(taken) <= 800_000
