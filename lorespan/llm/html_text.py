@@ -25,7 +25,7 @@ BLOCK_TAGS = frozenset(
 # Elements whose content is no text of the page, and those without content.
 RAW_TAGS = frozenset("script style template noscript iframe svg math canvas object audio video map textarea title noframes noembed xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUTSIDE_TAGS = frozenset("head nav aside footer form button select option dialog menu fieldset label datalist".split())
+OUTSIDE_TAGS = frozenset("head nav aside footer button select option dialog menu fieldset label datalist".split())
 #: A closing tag is implied by the next of these.
 SELF_CLOSING = {"p": BLOCK_TAGS - {"body", "html", "head"}, "li": frozenset({"li"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option"})}
 # Words of class, id and role names of parts that are not the article.
@@ -64,13 +64,16 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @dataclass(slots=True)
 class Block:
-    """Text of one block, characters of it inside links, and where it stands."""
+    """Text of one block, characters of it inside links, and where it stands; ``marks`` are the elements around it
+    whose names (or a form) speak against them."""
 
     text: str
     linked: int
     outside: bool
     region: int
     heading: bool
+    marks: tuple[int, ...] = ()
+    title: bool = False
 
 
 @dataclass(slots=True)
@@ -79,12 +82,14 @@ class _Open:
     outside: bool
     region: int
     link: bool
+    marks: tuple[int, ...] = ()
 
 
-def _place(tag: str, attributes: str, parent: _Open, regions: int) -> _Open:
+def _place(tag: str, attributes: str, parent: _Open, regions: int, place: int) -> _Open:
     outside, region = parent.outside or tag in OUTSIDE_TAGS, parent.region
     outside = outside or (tag == "header" and not region)
     names: set[str] = set()
+    marked = tag == "form"
     if attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             value, key = "".join(values), key.lower()
@@ -95,12 +100,34 @@ def _place(tag: str, attributes: str, parent: _Open, regions: int) -> _Open:
             elif (key == "hidden" and "hidden" in attributes.lower().split()) or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
                 outside = True
         if tag not in ("body", "html") and tag not in MAIN_TAGS | MAIN_NAMES and names & OUTSIDE_NAMES or tag in MAIN_TAGS and names & {"comment", "comments", "teaser", "related", "ad", "advert", "promo", "sponsored"}:
-            outside = True
+            marked = True
         if not region and names & HEADER_NAMES and tag not in ("body", "html", "h1", "h2", "h3"):
-            outside = True
+            marked = True
     if tag in MAIN_TAGS or names & MAIN_NAMES or "main" in names and "role" in attributes.lower():
         region = regions + 1
-    return _Open(tag, outside, region, parent.link or tag == "a")
+    marks = () if tag == "main" else parent.marks
+    return _Open(tag, outside, region, parent.link or tag == "a", (*marks, place) if marked else marks)
+
+
+def _settle(found: list[Block]) -> None:
+    """Marked blocks are outside, unless the marked element is a wrapper of the page: it holds most of the unlinked
+    text and either the title or all text that looks good, or it holds the title and an article."""
+    unlinked = [0 if b.outside else max(0, len(b.text.replace(" ", "")) - b.linked) for b in found]
+    held: dict[int, list[int]] = {}
+    for k, block in enumerate(found):
+        for mark in block.marks if not block.outside else ():
+            held.setdefault(mark, []).append(k)
+    good = {k for k, b in enumerate(found) if not b.outside and not b.marks and first_pass(b, False) == GOOD} if held else set()
+    void: set[int] = set()
+    for mark in sorted(held):
+        inside = held[mark]
+        most = 2 * sum(unlinked[k] for k in inside) > sum(unlinked)
+        title = any(found[k].title for k in inside)
+        if most and (title or not good) or title and any(found[k].region for k in inside):
+            void.add(mark)
+            good |= {k for k in inside if void.issuperset(found[k].marks) and first_pass(found[k], False) == GOOD}
+    for block in found:
+        block.outside = block.outside or not void.issuperset(block.marks)
 
 
 def blocks(page: str) -> list[Block]:
@@ -111,15 +138,15 @@ def blocks(page: str) -> list[Block]:
     pieces: list[str] = []
     linked = regions = 0
     # no tag ends after the last bracket; one that is open there is dropped
-    heading, at, size, last = False, 0, len(page), page.rfind(">") + 1
+    heading, title, at, size, last, places = False, False, 0, len(page), page.rfind(">") + 1, 0
 
     def end_block() -> None:
-        nonlocal linked, heading
+        nonlocal linked, heading, title
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, linked, stack[-1].outside, stack[-1].region, heading))
+            out.append(Block(text, linked, stack[-1].outside, stack[-1].region, heading, stack[-1].marks, title))
         pieces.clear()
-        linked, heading = 0, False
+        linked, heading, title = 0, False, False
 
     def add(text: str) -> None:
         nonlocal linked
@@ -164,14 +191,17 @@ def blocks(page: str) -> list[Block]:
             if depth and stack[depth].tag == "p" and tag in SELF_CLOSING["p"]:
                 close_to(depth)
             heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+            title = tag == "h1"
         if tag in RAW_TAGS:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else size
         elif tag not in VOID_TAGS and not (found[3] or "").endswith("/"):
-            stack.append(_place(tag, found[3] or "", stack[-1], regions))
+            stack.append(_place(tag, found[3] or "", stack[-1], regions, places))
+            places += 1
             opened[tag] += 1
             regions = max(regions, stack[-1].region)
     end_block()
+    _settle(out)
     return out
 
 

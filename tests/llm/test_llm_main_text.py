@@ -45,3 +45,21 @@ def test_odd_pages(spark):
     found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), name="text").collect()
     assert sorted((r.page_id or 0, len(r.text)) for r in found) == [(0, 15), (1, 0), (2, 0), (3, 0), (3, 0), (4, len(LONG)), (5, 16 * 30_000 - 1), (6, 0)]
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+_PARAGRAPH = "The river was high in the spring and the people of the town had to take the boat to the other side for their bread. " * 3
+
+
+def test_names_of_wrappers_and_page_wide_forms_lose_no_article():
+    asides = '<div class="sidebar"><p>' + "This is a note of the sidebar that is not a part of the text and was set here by the editor. " * 2 + "</p></div>"
+    for opened, closed in (
+        ('<div class="layout has-sidebar">', "</div>"), ('<div class="no-sidebar"><article>', "</article></div>"), ('<div id="content-with-toc">', "</div>"),
+        ('<div class="legal-article">', "</div>"), ('<form method="post" action="/">', "</form>"), ('<div class="has-sidebar"><main>', "</main></div>"),
+    ):
+        text = html_text.main_text(f"<html><body>{opened}<h1>Of the river</h1><p>{_PARAGRAPH}</p><p>{_PARAGRAPH}</p>{asides}{closed}</body></html>")
+        assert text.count("The river was high") == 6 and "note of the sidebar" not in text, opened
+
+
+def test_long_comments_beside_an_article_stay_outside():
+    text = html_text.main_text(f'<body><div><h1>Of the river</h1><p>{_PARAGRAPH}</p></div><div class="comments">' + f"<p>I was there and {_PARAGRAPH}</p>" * 4 + "</div></body>")
+    assert text.count("The river was high") == 3 and "I was there" not in text
