@@ -2,7 +2,8 @@
 
 The first pass cuts a page into blocks at block-level tags and decides each by where it stands, its length, its
 share of stop words and its share of linked characters. Short blocks stay open; the second pass gives them the
-label of the nearest decided block beside them.
+label of the nearest decided block beside them, and so do long ones of few stop words. Where no block of a page has its
+share of stop words, the language is another and length and links decide.
 """
 
 from __future__ import annotations
@@ -117,7 +118,8 @@ def _settle(found: list[Block]) -> None:
     for k, block in enumerate(found):
         for mark in block.marks if not block.outside else ():
             held.setdefault(mark, []).append(k)
-    good = {k for k, b in enumerate(found) if not b.outside and not b.marks and first_pass(b, False) == GOOD} if held else set()
+    stop_words = knows_stop_words(found)
+    good = {k for k, b in enumerate(found) if not b.outside and not b.marks and first_pass(b, False, stop_words) == GOOD} if held else set()
     void: set[int] = set()
     for mark in sorted(held):
         inside = held[mark]
@@ -125,7 +127,7 @@ def _settle(found: list[Block]) -> None:
         title = any(found[k].title for k in inside)
         if most and (title or not good) or title and any(found[k].region for k in inside):
             void.add(mark)
-            good |= {k for k in inside if void.issuperset(found[k].marks) and first_pass(found[k], False) == GOOD}
+            good |= {k for k in inside if void.issuperset(found[k].marks) and first_pass(found[k], False, stop_words) == GOOD}
     for block in found:
         block.outside = block.outside or not void.issuperset(block.marks)
 
@@ -208,24 +210,40 @@ def blocks(page: str) -> list[Block]:
 GOOD, BAD, SHORT = 1, 0, -1
 
 
-def first_pass(block: Block, region_only: bool) -> int:
-    """GOOD, BAD, or SHORT for what the block alone can't tell."""
+def _stops(block: Block) -> float:
+    words = _WORD.findall(block.text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _mostly_linked(block: Block) -> bool:
+    return block.linked > MOST_LINKED * len(block.text.replace(" ", ""))
+
+
+def knows_stop_words(found: list[Block]) -> bool:
+    """Whether some block that may be text has its share of stop words; if none has, the language is another."""
+    return any(not b.outside and len(b.text) >= LENGTH_LOW and not _mostly_linked(b) and _stops(b) >= STOPS_LOW for b in found)
+
+
+def first_pass(block: Block, region_only: bool, stop_words: bool = True) -> int:
+    """GOOD, BAD, or SHORT for what the block alone can't tell: short ones and long ones of few stop words, such as
+    code or names. Without ``stop_words`` length and links decide."""
     if block.outside or region_only and not block.region:
         return BAD
     size = len(block.text)
-    if block.linked > MOST_LINKED * len(block.text.replace(" ", "")):
+    if _mostly_linked(block):
         return BAD
     if size < LENGTH_LOW:
         return SHORT
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if not stop_words:
+        return GOOD if size >= LENGTH_HIGH else SHORT
+    stops = _stops(block)
     if block.region:
         return GOOD if stops >= STOPS_LOW or size >= LENGTH_HIGH else SHORT
     if stops >= STOPS_HIGH:
         return GOOD
     if stops >= STOPS_LOW:
         return GOOD if size >= LENGTH_HIGH else SHORT
-    return BAD
+    return SHORT
 
 
 def second_pass(found: list[Block], labels: list[int]) -> list[int]:
@@ -267,7 +285,8 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     region_only = any(b.region and not b.outside for b in found)
-    labels = second_pass(found, [first_pass(b, region_only) for b in found])
+    stop_words = knows_stop_words(found)
+    labels = second_pass(found, [first_pass(b, region_only, stop_words) for b in found])
     return "\n".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
 
 

@@ -63,3 +63,14 @@ def test_names_of_wrappers_and_page_wide_forms_lose_no_article():
 def test_long_comments_beside_an_article_stay_outside():
     text = html_text.main_text(f'<body><div><h1>Of the river</h1><p>{_PARAGRAPH}</p></div><div class="comments">' + f"<p>I was there and {_PARAGRAPH}</p>" * 4 + "</div></body>")
     assert text.count("The river was high") == 3 and "I was there" not in text
+
+
+def test_other_languages_and_code_in_pages_of_plain_divs():
+    polish = "Rzeka płynie przez miasto spokojnie, jej brzegi porastają stare drzewa, mieszkańcy chętnie spacerują tędy każdego wieczoru. " * 2
+    menu = '<div><a href="/a">Strona</a> <a href="/b">Kontakt</a></div>'
+    text = html_text.main_text(f"<body>{menu}<div><h1>Rzeka</h1><div>{polish}</div><div>{polish}</div></div>{menu}</body>")
+    assert text.count("Rzeka płynie") == 4 and "Kontakt" not in text
+    code = "def total(rows): return sum(row.price * row.count for row in rows if row.price > 0) # totals, prices, counts"
+    names = "Anna Kowalska, Jan Nowak, Piotr Zieliński, Maria Wójcik, Ewa Kamińska, Adam Lewandowski, Zofia Dąbrowska"
+    text = html_text.main_text(f"<body>{menu}<div>{_PARAGRAPH}</div><pre>{code}</pre><div>{names}</div><div>{_PARAGRAPH}</div>{menu}</body>")
+    assert code in text and names in text and "Kontakt" not in text
