@@ -47,3 +47,50 @@ ranked AS (
   FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+# CRC-32 of a short ASCII string: its table by the polynomial's rule, then one step a byte.
+_CRC_TABLE = """
+crc_steps AS (
+  SELECT byte, 0 AS step, CAST(byte AS BIGINT) AS v FROM range(256) r(byte)
+  UNION ALL SELECT byte, step + 1, CASE WHEN (v & 1) = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_steps WHERE step < 8),
+crc AS (SELECT list(v ORDER BY byte) AS t FROM crc_steps WHERE step = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32, in a query that has ``crc`` in its FROM."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({codes}, lambda acc, b: xor(acc >> 8, crc.t[(xor(acc, b) & 255) + 1]), CAST(4294967295 AS BIGINT)))"
+
+
+ORACLE["op11_prefix_trie"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+turns AS (
+  SELECT conv_id, role, text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, substring(role, 1, 64), substring(text, 1, 64), sha256(length(role) || ':' || role || text)) AS n
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns), crc),
+taken AS (
+  SELECT c.conv_id, 0 AS own, t.n, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.n <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.n, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.n > c.h),
+rebuilt AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY own, n) AS depth FROM taken),
+keyed AS (
+  SELECT conv_id, depth, text, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (
+    PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING)) AS node FROM rebuilt),
+prefixes AS (
+  SELECT conv_id, depth, text, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent FROM keyed
+  UNION ALL SELECT conv_id, 0, '', '', NULL FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY 1),
+nodes AS (
+  SELECT node, p.depth, any_value(parent) AS parent, min(p.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(length(text)) AS saved,
+    coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE l.depth = p.depth), '') AS ends
+  FROM prefixes p JOIN lengths l ON p.conv_id = l.conv_id GROUP BY node, p.depth),
+children AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT p.node, d.node AS lower FROM nodes d JOIN prefixes q ON q.conv_id = d.conv_id AND q.depth <= d.depth JOIN nodes p ON p.node = q.node),
+sums AS (
+  SELECT b.node, sum(d.saved) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+  FROM below b JOIN nodes d ON d.node = b.lower LEFT JOIN children c ON c.node = d.node GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN children c ON c.node = n.node LEFT JOIN nodes u ON u.node = n.parent
+"""

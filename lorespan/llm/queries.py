@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import decontaminate, html_text, licenses, mixing, privacy, quality, secrets, simhash, token_files, topk
+from lorespan.llm import decontaminate, html_text, licenses, mixing, prefix_trie, privacy, quality, secrets, simhash, token_files, topk
 from lorespan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,9 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 rows of the highest inner product for every twentieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversation prefixes, each conversation rebuilt with the head of its base."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
