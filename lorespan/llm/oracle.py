@@ -94,3 +94,68 @@ SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id,
   CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
 FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN children c ON c.node = n.node LEFT JOIN nodes u ON u.node = n.parent
 """
+
+
+def _edit(state: str, cost: str, edit: str, out: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {state}.r || {out}}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+_INSERTED = {"user": "chr(10) || 'user:'", "assistant": "chr(10) || 'assistant:'"}
+_SET = {"user": "chr(10) || 'user:' || text", "assistant": "chr(10) || 'assistant:' || text"}
+_KEPT = "chr(10) || role || ':' || text"
+
+
+def _step(state: int) -> str:
+    """Best way to an output state by one row, from the states i0 to i3 before it: nothing, s, u, a."""
+    keep = {1: [("s", 0)], 2: [("u", 0), ("u", 1), ("u", 3)], 3: [("a", 2)]}.get(state, [])
+    turns = {2: ("user", (0, 1, 3)), 3: ("assistant", (2,))}.get(state, ("", ()))
+    kept = [f"CASE WHEN ok AND left(role, 1) = '{x}' THEN {_edit(f'i{i}', 'more', 'K', _KEPT)} END" for x, i in keep]
+    set_ = [f"CASE WHEN ok THEN {_edit(f'i{i}', '3 + more', 'R', _SET[turns[0]])} END" for i in turns[1]]
+    return _least(_edit(f"i{state}", "4", "D"), *kept, *set_)
+
+
+_FAR = "{'c': 1000000000, 'a': '', 'r': ''}"
+_USER = _least("s2", *(_edit(f"s{i}", "3", "I", _INSERTED["user"]) for i in (0, 1, 3)))
+_ASSISTANT = _least("s3", _edit("i2", "3", "I", _INSERTED["assistant"]))
+
+ORACLE["op13_structure_repair"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM said WHERE kind <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, substring(role, 1, 64), substring(text, 1, 64), sha256(length(role) || ':' || role || text)) AS n FROM damaged),
+judged AS (
+  SELECT conv_id, turn, role, text, n, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY n), 1) || left(role, 1) AS pair FROM ordered),
+faults AS (SELECT *, NOT blank AND NOT again AS ok, CASE WHEN cut THEN 3 ELSE 0 END AS more FROM judged),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE NOT blank AND again) AS duplicate, count(*) FILTER (WHERE NOT blank AND NOT again AND cut) AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM faults GROUP BY 1),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, {{'c': 0, 'a': '', 'r': ''}} AS s0, {_FAR} AS s1, {_FAR} AS s2, {_FAR} AS s3 FROM convs
+  UNION ALL
+  SELECT conv_id, n, {_step(0)}, {_step(1)}, {_step(2)}, {_step(3)} FROM (
+    SELECT *, {_ASSISTANT} AS i3 FROM (
+      SELECT w.conv_id, f.n, role, text, ok, more, s3, s0 AS i0, s1 AS i1, {_USER} AS i2
+      FROM walk w JOIN faults f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.n = w.n + 1))),
+ended AS (
+  SELECT conv_id, {_least("s0", _ASSISTANT)} AS best FROM (
+    SELECT w.conv_id, s0, s3, {_USER} AS i2 FROM walk w LEFT JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id WHERE w.n = coalesce(c.n, 0)))
+SELECT e.conv_id, {', '.join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+  CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(substring(best.r, 2)) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

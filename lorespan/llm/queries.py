@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import decontaminate, html_text, licenses, mixing, prefix_trie, privacy, quality, secrets, simhash, token_files, topk
+from lorespan.llm import decontaminate, html_text, licenses, mixing, prefix_trie, privacy, quality, secrets, simhash, structure_repair, token_files, topk
 from lorespan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,9 @@ def op8_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of conversation prefixes, each conversation rebuilt with the head of its base."""
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_structure_repair")
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after damage."""
+    return structure_repair.repair(table(spark, sf_dir, "conversations"))
