@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import decontaminate, html_text, licenses, mixing, prefix_trie, privacy, quality, secrets, simhash, structure_repair, token_files, topk
+from lorespan.llm import decontaminate, html_text, licenses, mixing, packing, prefix_trie, privacy, quality, secrets, simhash, structure_repair, token_files, topk
 from lorespan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,9 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired text of every conversation after damage."""
     return structure_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_lexical_packing")
+def op12_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed beside lexically near ones into sequences of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
