@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Every character that ends a line for Python's str.splitlines.
-LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+BREAKS = r"\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}"
+LINE_BREAK = rf"\r\n|[{BREAKS}]"
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
 # Escape character for LIKE that text does not contain, so that a backslash stays plain.
 LIKE_ESCAPE = "\u0001"
@@ -35,6 +36,11 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, LINE_BREAK))
 
 
+def lines_with_ends(text: Column) -> Column:
+    """Array of lines with their line breaks; a last line may have none."""
+    return F.regexp_extract_all(text, F.lit(f"[^{BREAKS}]*+(?:\\r\\n|[{BREAKS}])|[^{BREAKS}]++"), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Letter / digit runs of the text, in their own case."""
     return F.array_remove(F.split(text, TOKEN_GAP), "")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lorespan.functions import carry
-from lorespan.functions.text import lines, token_estimate
+from lorespan.functions import align, carry, text
+from lorespan.functions.text import token_estimate
 
 
 def turns(reads: DataFrame, session: str, order: list[str], bucket: Column) -> DataFrame:
@@ -39,55 +40,107 @@ def read_states(reads: DataFrame, session: str, bucket: Column, file: str = "fil
     )
 
 
-def line_delta(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
-    """Lines removed and added between two versions, with their line numbers.
+#: Unchanged lines shown around a change.
+AROUND = 3
+_BLOCK = ("a1", "a2", "b1", "b2")
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in _BLOCK])))
+def _changed_blocks(old: pa.Array, new: pa.Array) -> pa.Array:
+    out = [[dict(zip(_BLOCK, x, strict=True)) for x in align.changed_blocks(a.as_py(), b.as_py())] for a, b in zip(old, new, strict=True)]
+    return pa.array(out, pa.list_(pa.struct([(c, pa.int32()) for c in _BLOCK])))
+
+
+def _part(array: Column, start: Column, end: Column) -> Column:
+    """Elements from ``start`` to before ``end``, numbered from 0."""
+    return F.slice(array, start + 1, end - start)
+
+
+def _unchanged(lines: Column, blocks: Column, start: str, end: str) -> Column:
+    """The lines outside all blocks."""
+    ends = F.concat(F.array(F.lit(0)), F.transform(blocks, lambda x: x[end]))
+    starts = F.concat(F.transform(blocks, lambda x: x[start]), F.array(F.size(lines)))
+    return F.flatten(F.zip_with(ends, starts, lambda i, j: _part(lines, i, j)))
 
-    Equal lines are matched first to first, second to second. Versions of a pair travel together, so
-    only changed pairs are exploded, and one shuffle on (key, text) serves both steps.
+
+def aligned(pairs: DataFrame, key: str, old: str, new: str, *more: Column) -> DataFrame:
+    """``(key, a, b, blocks)`` and ``more`` of changed pairs: the lines of both versions with their breaks, and the
+    stretches that changed, in order (``functions.align``).
+
+    A pair is one row, as large as two indexable files, so nothing is shuffled. Lines are aligned by 64-bit hashes; if
+    hashes of different lines were equal, the whole old version would be replaced.
     """
-    changed = pairs.filter(F.col(old) != F.col(new))
-    sides = F.array(
-        F.struct(F.lit("removed").alias("side"), lines(F.col(old)).alias("lines")),
-        F.struct(F.lit("added").alias("side"), lines(F.col(new)).alias("lines")),
-    )
-    rows = (
-        changed.select(key, F.inline(sides))
-        .select(key, "side", F.posexplode("lines").alias("pos", "text"))
-        .select(key, "side", "text", (F.col("pos") + 1).alias("line"))
-    )
-    nth = F.row_number().over(W.partitionBy(key, "text", "side").orderBy("line"))
-    return (
-        rows.repartition(F.col(key), F.col("text"))
-        .withColumn("nth", nth)
-        .groupBy(key, "text", "nth")
-        .agg(F.count("*").alias("n"), F.min("side").alias("side"), F.min("line").alias("line"))
-        .filter("n = 1")
-        .select(key, "side", "line", "text")
-    )
+    split = pairs.filter(F.col(old) != F.col(new)).select(F.col(key), text.lines_with_ends(F.col(old)).alias("a"), text.lines_with_ends(F.col(new)).alias("b"), *more)
+    found = split.withColumn("blocks", _changed_blocks(F.transform("a", lambda x: F.xxhash64(x)), F.transform("b", lambda x: F.xxhash64(x))))
+    holds = _unchanged(F.col("a"), F.col("blocks"), "a1", "a2") == _unchanged(F.col("b"), F.col("blocks"), "b1", "b2")
+    whole = F.array(F.struct(F.lit(0).alias("a1"), F.size("a").alias("a2"), F.lit(0).alias("b1"), F.size("b").alias("b2")))
+    return found.withColumn("blocks", F.when(holds, F.col("blocks")).otherwise(whole))
+
+
+def line_delta(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """Lines removed and added between two versions, with their line numbers and without their breaks."""
+
+    def rows(side: str, lines: str, start: str, end: str) -> Column:
+        of_block = lambda x: F.transform(_part(F.col(lines), x[start], x[end]), lambda t, n: F.struct(F.lit(side).alias("side"), (x[start] + n + 1).alias("line"), t.alias("text")))
+        return F.flatten(F.transform("blocks", of_block))
+
+    found = aligned(pairs, key, old, new).select(key, F.inline(F.concat(rows("removed", "a", "a1", "a2"), rows("added", "b", "b1", "b2"))))
+    return found.withColumn("text", F.regexp_replace("text", f"(?:{text.LINE_BREAK})\\z", ""))
+
+
+def _range(start: Column, end: Column) -> Column:
+    """Line numbers of a hunk: the first and, unless it is 1, the number of lines; for none the line before."""
+    n = end - start
+    first = F.when(n == 0, start).otherwise(start + 1).cast("string")
+    return F.when(n == 1, first).otherwise(F.concat(first, F.lit(","), n.cast("string")))
+
+
+def _marked(mark: str, lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda t: F.concat(F.lit(mark), t)), "")
+
+
+def _hunk(blocks: Column, a: Column, b: Column) -> Column:
+    """One hunk: head, and its blocks with unchanged lines before each and after the last."""
+    first, last = F.element_at(blocks, 1), F.element_at(blocks, -1)
+    before = F.least(F.lit(AROUND), first["a1"])
+    after = F.least(F.lit(AROUND), F.size(a) - last["a2"])
+    head = F.concat(F.lit("@@ -"), _range(first["a1"] - before, last["a2"] + after), F.lit(" +"), _range(first["b1"] - before, last["b2"] + after), F.lit(" @@\n"))
+    shown_from = F.concat(F.array(first["a1"] - before), F.transform(F.slice(blocks, 1, F.size(blocks) - 1), lambda x: x["a2"]))
+    bodies = F.zip_with(blocks, shown_from, lambda x, i: F.concat(_marked(" ", _part(a, i, x["a1"])), _marked("-", _part(a, x["a1"], x["a2"])), _marked("+", _part(b, x["b1"], x["b2"]))))
+    return F.concat(head, F.array_join(bodies, ""), _marked(" ", _part(a, last["a2"], last["a2"] + after)))
 
 
 def unified_delta(pairs: DataFrame, key: str, old: str, new: str, label: Column, turn: Column) -> DataFrame:
-    """``(key, delta)`` for each changed pair: two head lines, then the lines of ``line_delta`` by number, removed
-    before added, without context. A pair that differs in its last line break only has the head alone.
+    """``(key, delta)`` for each changed pair: a unified diff with three unchanged lines around each change.
+
+    Changes with up to six unchanged lines between them share a hunk. A last line without a line break is printed
+    without one.
     """
-    removed = F.col("side") == "removed"
-    order = F.struct("line", (~removed).alias("after"), F.concat(F.when(removed, F.lit("-")).otherwise(F.lit("+")), "text", F.lit("\n")).alias("text"))
-    changes = line_delta(pairs, key, old, new).groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("_changes"))
-    heads = pairs.filter(F.col(old) != F.col(new)).select(key, F.format_string("--- %s (turn %d)\n+++ %s (current)\n", label, turn, label).alias("_head"))
-    body = F.coalesce(F.array_join(F.transform("_changes", lambda x: x["text"]), ""), F.lit(""))
-    return heads.join(changes, key, "left").select(key, F.concat("_head", body).alias("delta"))
+    gap = 2 * AROUND
+    blocks = F.col("blocks")
+    apart = lambda n: F.get(blocks, n)["a1"] - F.get(blocks, n - 1)["a2"] > gap
+    firsts = F.filter(F.sequence(F.lit(0), F.size(blocks) - 1), lambda n: (n == 0) | apart(n))
+    nexts = F.concat(F.slice(F.col("firsts"), 2, F.size("firsts")), F.array(F.size(blocks)))
+    hunks = F.zip_with("firsts", "nexts", lambda i, j: _hunk(_part(blocks, i, j), F.col("a"), F.col("b")))
+    head = F.format_string("--- %s (turn %d)\n+++ %s (current)\n", label, turn, label).alias("head")
+    found = aligned(pairs, key, old, new, head).withColumn("firsts", firsts).withColumn("nexts", nexts)
+    return found.select(key, F.concat("head", F.array_join(hunks, "")).alias("delta"))
 
 
 # The notices that a read gets instead of a file.
-def sent_text(state: Column, file: Column, ref_turn: Column, content: Column, delta: Column) -> Column:
-    """Text a read sends: whole file, notice, or notice and delta."""
+def sent_text(state: Column, file: Column, ref_turn: Column, content: Column, delta: Column, error: Column | None = None) -> Column:
+    """Text a read sends: whole file, notice, or notice and delta. ``error`` tells why a file that is there could not be
+    read; it is null for all others."""
+    missing = F.concat(F.lit("[ERROR: "), file, F.lit(" not found]"))
+    if error is not None:
+        missing = F.when(error.isNotNull(), F.concat(F.lit("[ERROR: cannot read "), file, F.lit(": "), error, F.lit("]"))).otherwise(missing)
     return (
-        F.when(state == "missing", F.concat(F.lit("[ERROR: "), file, F.lit(" not found]")))
+        F.when(state == "missing", missing)
         .when(state == "full", content)
         .when(state == "unchanged", F.format_string("[%s: unchanged since turn %d]", file, ref_turn))
         .otherwise(F.concat(F.format_string("[%s: changed since turn %d]\n", file, ref_turn), delta))
     )
 
 
-def sent_tokens(state: Column, file: Column, ref_turn: Column, content: Column, delta: Column) -> Column:
-    return token_estimate(sent_text(state, file, ref_turn, content, delta))
+def sent_tokens(state: Column, file: Column, ref_turn: Column, content: Column, delta: Column, error: Column | None = None) -> Column:
+    return token_estimate(sent_text(state, file, ref_turn, content, delta, error))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespan.functions.text import FOLD_FROM, FOLD_TO, LINE_BREAK
+from lorespan.functions.text import BREAKS, FOLD_FROM, FOLD_TO, LINE_BREAK
 from lorespan.operators.redact import DETECTORS, LITERAL
 from lorespan.plans.bindings import AS_OF, AS_OF_EPOCH, ENTRY_NAMES, QUERY, TEST_PREFIX
 
@@ -262,13 +262,28 @@ READS = f"""{EV}, rd AS (SELECT session, id, ts, event_type AS file, k // 20 AS
  st3 AS (SELECT *, max(CASE WHEN state <> 'unchanged' THEN turn END) OVER (PARTITION BY session, file ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ref_turn FROM st2)"""
 ORACLE["read_state"] = f"WITH {READS} SELECT session, id, file, turn, state FROM st3"
 ORACLE["read_ref_turn"] = f"WITH {READS} SELECT session, id, file, turn, state, coalesce(ref_turn, 0) AS ref_turn FROM st3"
-_DELTA = f"""{CORPUS}, {PREVIOUS}, pairs AS (SELECT file, p.content AS old, a.content AS new FROM allfiles a JOIN previous p USING (file) WHERE p.content <> a.content),
- sides AS (SELECT file, 'removed' AS side, {line_list('old')} AS ls FROM pairs UNION ALL SELECT file, 'added', {line_list('new')} FROM pairs),
- rows AS (SELECT file, side, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS text FROM sides),
- nth AS (SELECT *, row_number() OVER (PARTITION BY file, side, text ORDER BY line) AS r FROM rows),
- delta AS (SELECT a.file, a.side, a.line, a.text FROM nth a WHERE NOT EXISTS (SELECT 1 FROM nth b WHERE b.file = a.file AND b.text = a.text AND b.r = a.r AND b.side <> a.side)),
- unified AS (SELECT file, '--- ' || file || ' (turn 1)' || chr(10) || '+++ ' || file || ' (current)' || chr(10) || coalesce(body, '') AS delta
-  FROM pairs LEFT JOIN (SELECT file, string_agg(CASE side WHEN 'removed' THEN '-' ELSE '+' END || text || chr(10), '' ORDER BY line, side DESC) AS body FROM delta GROUP BY file) USING (file))"""
+# The earlier versions are made by a line in front and words replaced inside lines, so line k of a file was line k + 1 and no
+# alignment is needed: position 0 is the line in front, changes are where the two texts of a position differ.
+ENDED = "regexp_extract_all({}, '[^{b}]*(?:\\r\\n|[{b}])|[^{b}]+')"
+_DELTA = f"""{CORPUS}, {PREVIOUS},
+ pairs AS (SELECT a.file, {ENDED.format('p.content', b=BREAKS)} AS a, list_prepend('', {ENDED.format('a.content', b=BREAKS)}) AS b FROM allfiles a JOIN previous p USING (file) WHERE p.content <> a.content),
+ spots AS (SELECT file, unnest(range(0, len(b))) AS p, unnest(a) AS was, unnest(b) AS now, len(b) - 1 AS n FROM pairs),
+ marked AS (SELECT *, was <> now AS changed, lag(p) OVER (PARTITION BY file, was <> now ORDER BY p) AS prev FROM spots),
+ opened AS (SELECT *, sum(CASE WHEN prev = p - 1 THEN 0 ELSE 1 END) OVER w AS block, sum(CASE WHEN p - prev <= 7 THEN 0 ELSE 1 END) OVER w AS hunk
+  FROM marked WHERE changed WINDOW w AS (PARTITION BY file ORDER BY p ROWS UNBOUNDED PRECEDING)),
+ delta AS (SELECT file, 'removed' AS side, p + 1 AS line, regexp_replace(was, '({LINE_BREAK})$', '') AS text FROM opened
+  UNION ALL SELECT file, 'added', p, regexp_replace(now, '({LINE_BREAK})$', '') FROM opened WHERE p > 0),
+ hunks AS (SELECT file, hunk, CASE WHEN min(p) = 0 THEN 0 ELSE greatest(min(p) - 3, 1) END AS lo, least(max(p) + 3, any_value(n)) AS hi FROM opened GROUP BY 1, 2),
+ parts AS (SELECT h.file, h.hunk, s.p, s.was, s.now, s.was <> s.now AS changed FROM hunks h JOIN spots s ON s.file = h.file AND s.p BETWEEN h.lo AND h.hi),
+ blocks AS (SELECT file, block, min(p) AS spot FROM opened GROUP BY 1, 2),
+ printed AS (SELECT file, hunk, p AS spot, 0 AS kind, p, ' ' || now AS text FROM parts WHERE NOT changed
+  UNION ALL SELECT o.file, o.hunk, b.spot, 1, o.p, '-' || was FROM opened o JOIN blocks b USING (file, block)
+  UNION ALL SELECT o.file, o.hunk, b.spot, 2, o.p, '+' || now FROM opened o JOIN blocks b USING (file, block) WHERE o.p > 0),
+ bodies AS (SELECT file, hunk, string_agg(text, '' ORDER BY spot, kind, p) AS body FROM printed GROUP BY 1, 2),
+ sized AS (SELECT *, lo + 1 AS was_from, hi - lo + 1 AS was_n, greatest(lo, 1) AS now_from, hi - greatest(lo, 1) + 1 AS now_n FROM hunks),
+ shown AS (SELECT file, hunk, '@@ -' || CASE WHEN was_n = 1 THEN was_from::VARCHAR ELSE was_from || ',' || was_n END || ' +'
+  || CASE now_n WHEN 0 THEN (now_from - 1) || ',0' WHEN 1 THEN now_from::VARCHAR ELSE now_from || ',' || now_n END || ' @@' || chr(10) || body AS text FROM sized JOIN bodies USING (file, hunk)),
+ unified AS (SELECT file, '--- ' || file || ' (turn 1)' || chr(10) || '+++ ' || file || ' (current)' || chr(10) || string_agg(text, '' ORDER BY hunk) AS delta FROM shown GROUP BY file)"""
 ORACLE["line_delta"] = f"WITH {_DELTA} SELECT * FROM delta"
 ORACLE["unified_delta"] = f"WITH {_DELTA} SELECT * FROM unified"
 ORACLE["sent_tokens"] = f"""WITH {_DELTA}, states AS (SELECT a.file, a.content, p.file IS NULL AS fresh, p.content = a.content AS same FROM allfiles a LEFT JOIN previous p USING (file))
