@@ -1,10 +1,10 @@
 """Ranked full-text search (BM25) over definitions and call sites.
 
 An index is a posting table ``(row key, dl, col, pos, tok)``; ``dl`` is the token count of the row, so
-scoring needs no second table. Query terms meet postings in one equi-join: exact tokens on the token,
-prefix terms on the token's leading characters of the lengths that occur among the terms. Postings
-never move: Spark broadcasts the terms when they are small by its own size check, and only matching
-postings are counted and shuffled.
+scoring needs no second table. Beside it lie the vocabulary, each token once, and the totals of the corpus.
+Query terms first meet the vocabulary: exact tokens on the token, prefix terms on its leading characters of the
+lengths that occur among the terms. The tokens found are written down, so their size is known when postings are
+joined on whole tokens: Spark broadcasts them when they are small, and only matching postings are shuffled.
 
 Call sites of one line share file and context. These are matched once per line and the result is
 spread over the calls of the line, so the work follows the text and not its square.
@@ -12,14 +12,15 @@ spread over the calls of the line, so the work follows the text and not its squa
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.functions import text
+from lorespan.session import stored
 
 # BM25 parameters, the floor of a term weight, default number of hits.
 K1, B = 1.2, 0.75
@@ -31,6 +32,7 @@ SYMBOL_TEXT = ("name", "kind", "file", "signature")
 SYMBOL_KEY = ("file", "no")
 CALL_KEY = ("file", "line", "no")
 LINE_KEY = ("file", "line")
+TOTALS = ("symbol_rows", "symbol_tokens", "call_rows", "call_tokens")
 _FOLD = str.maketrans(text.FOLD_FROM, text.FOLD_TO)
 # Ranks are compared after rounding, so that the order of additions cannot change a result.
 RANK_DIGITS = 9
@@ -165,34 +167,69 @@ def name_postings(measured: DataFrame) -> DataFrame:
     return _explode_tokens(named, CALL_KEY, ("name",))
 
 
+def postings(symbols: DataFrame, call_lines: DataFrame) -> dict[str, DataFrame]:
+    """The posting tables of measured definitions and call lines, by name."""
+    return {"symbol_postings": symbol_postings(symbols), "line_postings": line_postings(call_lines), "name_postings": name_postings(call_lines)}
+
+
+def by_token(posted: DataFrame) -> DataFrame:
+    """Postings laid out by token, so that a query reads the row groups of its tokens only. The range is over token and
+    file: a token that holds much of the corpus fills several files."""
+    return posted.repartitionByRange("tok", "file").sortWithinPartitions("tok", "file")
+
+
+def vocabulary(posted) -> DataFrame:
+    """Each token of some posting tables once."""
+    first, *rest = [df.select("tok").distinct() for df in posted]
+    for df in rest:
+        first = first.unionByName(df)
+    return first.distinct()
+
+
+def row_lengths(symbols: DataFrame, call_lines: DataFrame) -> DataFrame:
+    """``(file, symbol_rows, symbol_tokens, call_rows, call_tokens)`` to be summed up; calls of a line are counted without
+    listing them."""
+    none, n = F.lit(0).cast("bigint"), F.size("own").cast("bigint")
+    names = F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    of_symbols = symbols.select("file", F.lit(1).cast("bigint"), F.col("dl").cast("bigint"), none, none)
+    of_calls = call_lines.select("file", none, none, n, n * F.col("dl") + names)
+    return of_symbols.union(of_calls).toDF("file", *TOTALS)
+
+
+def summed(lengths: DataFrame, *keys: str) -> DataFrame:
+    return lengths.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS])
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """The five tables a search reads."""
+    """The tables a search reads; ``totals`` is one row."""
 
     symbols: DataFrame
     call_lines: DataFrame
     symbol_postings: DataFrame
     line_postings: DataFrame
     name_postings: DataFrame
+    vocabulary: DataFrame
+    totals: DataFrame
 
     @staticmethod
     def of(symbols: DataFrame, call_lines: DataFrame) -> TextIndex:
         s, c = measured_symbols(symbols), measured_lines(call_lines)
-        return TextIndex(s, c, symbol_postings(s), line_postings(c), name_postings(c))
+        posted = postings(s, c)
+        return TextIndex(s, c, **posted, vocabulary=vocabulary(posted.values()), totals=summed(row_lengths(s, c)))
 
     @staticmethod
     def build(spark: SparkSession, symbols: DataFrame, call_lines: DataFrame, path: str) -> TextIndex:
-        """Writes the index. The texts are extracted once; postings are made from what was written.
-
-        Postings are laid out by token, so that a query reads the row groups of its tokens only. The
-        range is over token and file: a token that holds much of the corpus fills several files.
-        """
-        measured_symbols(symbols).write.mode("overwrite").parquet(f"{path}/symbols")
-        measured_lines(call_lines).write.mode("overwrite").parquet(f"{path}/call_lines")
-        s, c = spark.read.parquet(f"{path}/symbols"), spark.read.parquet(f"{path}/call_lines")
-        posted = {"symbol_postings": symbol_postings(s), "line_postings": line_postings(c), "name_postings": name_postings(c)}
-        for name, df in posted.items():
-            df.repartitionByRange("tok", "file").sortWithinPartitions("tok", "file").write.mode("overwrite").parquet(f"{path}/{name}")
+        """Writes the index. The texts are extracted once; all else is made from what was written."""
+
+        def written(name: str, df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}")
+
+        s, c = written("symbols", measured_symbols(symbols)), written("call_lines", measured_lines(call_lines))
+        posted = {name: written(name, by_token(df)) for name, df in postings(s, c).items()}
+        written("vocabulary", vocabulary(posted.values()).repartitionByRange("tok").sortWithinPartitions("tok"))
+        written("totals", summed(row_lengths(s, c)))
         return TextIndex.read(spark, path)
 
     @staticmethod
@@ -200,52 +237,52 @@ class TextIndex:
         return TextIndex(*[spark.read.parquet(f"{path}/{f.name}") for f in fields(TextIndex)])
 
     def only(self, prune: Column | None) -> TextIndex:
-        """The index with postings cut down to some tokens (``token_filter``)."""
+        """The index with postings and vocabulary cut down to some tokens (``token_filter``)."""
         if prune is None:
             return self
-        return TextIndex(self.symbols, self.call_lines, self.symbol_postings.filter(prune), self.line_postings.filter(prune), self.name_postings.filter(prune))
+        cut = ("symbol_postings", "line_postings", "name_postings", "vocabulary")
+        return replace(self, **{name: getattr(self, name).filter(prune) for name in cut})
 
 
 # ---------------------------------------------------------------- matching
 
-def _hits(posted: DataFrame, terms: DataFrame) -> DataFrame:
+def matched_tokens(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(query_id, term_no, n_toks, tok_no, tok)``: the tokens of the vocabulary that each token of a term stands for.
+
+    They are written down: three posting tables are joined with them, by a plan that knows their size.
+    """
     keyed = terms.select(
-        "query_id", "term_no", "n_toks", "tok_no", "tok",
+        "query_id", "term_no", "n_toks", "tok_no", F.col("tok").alias("head"),
         F.when(F.col("is_prefix"), F.length("tok")).otherwise(F.lit(0)).alias("cut"),
     )
     cuts = keyed.agg(F.collect_set("cut")).scalar()
-    probes = (
-        posted.select("*", F.explode(cuts).alias("cut"))
-        .filter(F.col("cut") <= F.length("tok"))
-        .withColumn("tok", F.when(F.col("cut") == 0, F.col("tok")).otherwise(F.substring(F.col("tok"), F.lit(1), F.col("cut"))))
-    )
-    return probes.join(keyed, ["cut", "tok"])
+    head = F.when(F.col("cut") == 0, F.col("tok")).otherwise(F.substring(F.col("tok"), F.lit(1), F.col("cut")))
+    heads = vocabulary.select("tok", F.explode(cuts).alias("cut")).filter(F.col("cut") <= F.length("tok")).withColumn("head", head)
+    return stored(heads.join(keyed, ["cut", "head"]).select("query_id", "term_no", "n_toks", "tok_no", "tok"), "search_tokens")
+
 
+def term_counts(posted: DataFrame, tokens: DataFrame, key) -> DataFrame:
+    """(query_id, term_no, row key, dl, f): occurrences of each term in each row that has it.
 
-def term_counts(posted: DataFrame, terms: DataFrame, key) -> DataFrame:
-    """(query_id, term_no, row key, dl, f): occurrences of each term in each row that has it."""
+    The tokens of a phrase are counted per place where it would begin, single tokens all together, in one pass.
+    """
     ids = ["query_id", "term_no", *key]
-    single = _hits(posted, terms.filter("n_toks = 1")).groupBy(*ids).agg(F.max("dl").alias("dl"), F.count("*").alias("f"))
-    phrase = (
-        _hits(posted, terms.filter("n_toks > 1"))
-        .groupBy(*ids, "col", (F.col("pos") - F.col("tok_no")).alias("start"), "n_toks")
-        .agg(F.max("dl").alias("dl"), F.count("*").alias("found"))
-        .filter("found = n_toks")
-        .groupBy(*ids)
-        .agg(F.max("dl").alias("dl"), F.count("*").alias("f"))
-    )
-    return single.unionByName(phrase)
+    begins = F.when(F.col("n_toks") > 1, F.struct("col", (F.col("pos") - F.col("tok_no")).alias("pos")))
+    hits = posted.join(tokens, "tok").select(*ids, "dl", "n_toks", begins.alias("begins"))
+    places = hits.repartition(*ids).groupBy(*ids, "n_toks", "begins").agg(F.max("dl").alias("dl"), F.count("*").alias("n"))
+    found = places.filter((F.col("n_toks") == 1) | (F.col("n") == F.col("n_toks")))
+    return found.groupBy(*ids).agg(F.max("dl").alias("dl"), F.sum(F.when(F.col("n_toks") == 1, F.col("n")).otherwise(F.lit(1))).alias("f"))
 
 
-def call_counts(index: TextIndex, terms: DataFrame) -> DataFrame:
+def call_counts(index: TextIndex, tokens: DataFrame) -> DataFrame:
     """Term counts of calls: those of the line, given to each of its calls, plus those of the name."""
-    shared = term_counts(index.line_postings, terms, LINE_KEY)
+    shared = term_counts(index.line_postings, tokens, LINE_KEY)
     spread = (
         shared.join(index.call_lines.select("file", "line", "own"), list(LINE_KEY))
         .select("query_id", "term_no", "file", "line", "f", "dl", F.posexplode("own").alias("no", "own"))
         .select("query_id", "term_no", "file", "line", "no", (F.col("dl") + F.col("own")).alias("dl"), "f")
     )
-    own = term_counts(index.name_postings, terms, CALL_KEY)
+    own = term_counts(index.name_postings, tokens, CALL_KEY)
     return (
         spread.unionByName(own)
         .groupBy("query_id", "term_no", *CALL_KEY)
@@ -253,27 +290,15 @@ def call_counts(index: TextIndex, terms: DataFrame) -> DataFrame:
     )
 
 
-def _symbol_lengths(index: TextIndex) -> DataFrame:
-    return index.symbols.agg(F.struct(F.count("*").alias("rows"), F.sum("dl").alias("tokens")))
-
-
-def _call_lengths(index: TextIndex) -> DataFrame:
-    """Rows and tokens of all calls, summed line by line without listing the calls."""
-    n = F.size("own")
-    names = F.aggregate("own", F.lit(0), lambda a, x: a + x)
-    return index.call_lines.agg(F.struct(F.sum(n).alias("rows"), F.sum(n * F.col("dl") + names).alias("tokens")))
-
-
-def _best(counts: DataFrame, lengths: DataFrame, key, limit: int) -> DataFrame:
-    """First ``limit`` rows per query by BM25, smaller is better.
+def _best(counts: DataFrame, rows: int, tokens: int, key, limit: int) -> DataFrame:
+    """First ``limit`` rows per query by BM25, smaller is better; ``rows`` and ``tokens`` are those of the corpus.
 
     Spark applies the group limit before the shuffle too, so a query that matches most rows still
     sends only ``limit`` rows per task.
     """
     # Counting over dl and f keeps both columns in the plan: Spark then reuses the shuffle of ``counts``.
     having = counts.groupBy("query_id", "term_no").agg(F.count(F.col("dl") + F.col("f")).alias("n"))
-    corpus = lengths.scalar()
-    rows, mean = corpus.getField("rows"), corpus.getField("tokens") / corpus.getField("rows")
+    mean = tokens / max(rows, 1)
     idf = F.ln((rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = having.select("query_id", "term_no", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("idf"))
     f = F.col("f").cast("double")
@@ -287,18 +312,26 @@ def _best(counts: DataFrame, lengths: DataFrame, key, limit: int) -> DataFrame:
     return scored.withColumn("place", place).filter(F.col("place") <= limit)
 
 
+def _symbols(index: TextIndex, tokens: DataFrame, totals: Row, limit: int) -> DataFrame:
+    counts = term_counts(index.symbol_postings, tokens, SYMBOL_KEY)
+    top = _best(counts, totals.symbol_rows, totals.symbol_tokens, SYMBOL_KEY, limit)
+    return index.symbols.join(top, list(SYMBOL_KEY))
+
+
+def _calls(index: TextIndex, tokens: DataFrame, totals: Row, limit: int) -> DataFrame:
+    top = _best(call_counts(index, tokens), totals.call_rows, totals.call_tokens, CALL_KEY, limit)
+    found = index.call_lines.select("file", "line", "context", "refs").join(top, list(LINE_KEY))
+    return found.select("query_id", "file", "line", "no", "rank", "place", "context", F.get("refs", F.col("no"))["name"].alias("symbol_name"))
+
+
 def search_symbols(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Best definitions per query; ties by file and position in the file."""
-    counts = term_counts(index.symbol_postings, terms, SYMBOL_KEY)
-    top = _best(counts, _symbol_lengths(index), SYMBOL_KEY, limit)
-    return index.symbols.join(top, list(SYMBOL_KEY))
+    return _symbols(index, matched_tokens(terms, index.vocabulary), index.totals.first(), limit)
 
 
 def search_calls(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Best call sites per query; ties by file, line and position in the line."""
-    top = _best(call_counts(index, terms), _call_lengths(index), CALL_KEY, limit)
-    found = index.call_lines.select("file", "line", "context", "refs").join(top, list(LINE_KEY))
-    return found.select("query_id", "file", "line", "no", "rank", "place", "context", F.get("refs", F.col("no"))["name"].alias("symbol_name"))
+    return _calls(index, matched_tokens(terms, index.vocabulary), index.totals.first(), limit)
 
 
 def search(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -307,8 +340,9 @@ def search(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     A definition found directly keeps its rank and takes the context of its best call; one found
     through calls takes the rank of the best call. The limit holds for both passes and the result.
     """
-    direct = search_symbols(index, terms, limit)
-    calls = search_calls(index, terms, limit)
+    tokens, totals = matched_tokens(terms, index.vocabulary), index.totals.first()
+    direct = _symbols(index, tokens, totals, limit)
+    calls = _calls(index, tokens, totals, limit)
     called = calls.select(F.col("symbol_name").alias("name")).distinct()
     first_def = (
         index.symbols.join(called, "name", "left_semi")
