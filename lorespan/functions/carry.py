@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorespan.session import stored
+
 BUCKET = "_bucket"
+PLACE, PART = "_place", "_part"
 
 
 def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,3 +67,15 @@ def last_before(df: DataFrame, keys: list[str], order: list[str], bucket: Column
     joined = _with_carry(inner, carry, keys)
     keep = [c for c in df.columns if c != BUCKET and not c.startswith("_v_")]
     return joined.select(*keep, *[F.coalesce(f"_in_{n}", f"_c_{n}").alias(n) for n in values])
+
+
+def in_places(df: DataFrame, keys: list[str], order: list[str], name: str = "places") -> DataFrame:
+    """The rows sorted by keys and order over the whole table, written once, with ``PLACE`` and ``PART``.
+
+    ``PART`` numbers stretches of rows of about equal size: it follows the order, so it can be the bucket of the functions
+    above, and it cuts any group, even one whose rows all fall on one day. Rows equal in keys and order stay apart too.
+    """
+    tie = df.withColumn("_tie", F.monotonically_increasing_id())
+    columns = [F.col(c).asc_nulls_first() for c in (*keys, *order, "_tie")]
+    placed = tie.repartitionByRange(*columns).sortWithinPartitions(*columns).select(*df.columns, F.monotonically_increasing_id().alias(PLACE))
+    return stored(placed, name).withColumn(PART, F.shiftright(PLACE, 33))

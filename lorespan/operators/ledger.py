@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespan.functions import align, carry, text
 from lorespan.functions.text import token_estimate
+from lorespan.session import stored
 
 
 def turns(reads: DataFrame, session: str, order: list[str], bucket: Column) -> DataFrame:
@@ -40,6 +42,48 @@ def read_states(reads: DataFrame, session: str, bucket: Column, file: str = "fil
     )
 
 
+def session_reads(reads: DataFrame, session: str, order: list[str], file: str = "file", digest: str = "hash") -> DataFrame:
+    """``reads`` with turn, state and reference turn: ``turns`` and ``read_states`` in one scan of the reads.
+
+    Rows are sorted by session and order and cut into stretches of equal size (``carry.in_places``). Within a stretch
+    windows number the rows and compare each read with the one before it. What a stretch hands on to the next of its
+    session is a number of rows per session, and per file the last digest and the turn of its last change; only sessions
+    that lie on several stretches, at most one per border, have any.
+    """
+    part, place = carry.PART, carry.PLACE
+    rows = carry.in_places(reads, [session], order, "reads")
+    ends = rows.groupBy(part, session).agg(F.count(F.lit(1)).alias("_n"))
+    several = ends.groupBy(session).agg(F.count(F.lit(1)).alias("_parts")).filter("_parts > 1").select(F.col(session).alias("_spread"))
+    earlier = lambda *keys: W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    before = ends.join(several, F.col(session).eqNullSafe(F.col("_spread"))).select(part, session, F.sum("_n").over(earlier(session)).alias("_before"))
+    cut = rows.join(several, F.col(session).eqNullSafe(F.col("_spread"))).drop("_spread")
+    known = cut.groupBy(part, session, file).agg(F.max_by(digest, F.when(F.col(digest).isNotNull(), F.col(place))).alias("_last"))
+    handed = known.select(part, session, file, F.last("_last", ignorenulls=True).over(earlier(session, file)).alias("_handed"))
+
+    stretch = W.partitionBy(part, session).orderBy(place)
+    above = W.partitionBy(part, session, file).orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    numbered = rows.withColumn("_turn", F.row_number().over(stretch)).withColumn("_seen", F.last(digest, ignorenulls=True).over(above))
+    numbered = _handed_on(_handed_on(numbered, before, [part, session]), handed, [part, session, file])
+    prev = F.coalesce("_seen", "_handed")
+    state = (
+        F.when(F.col(digest).isNull(), F.lit("missing")).when(prev.isNull(), F.lit("full"))
+        .when(F.col(digest) == prev, F.lit("unchanged")).otherwise(F.lit("changed"))
+    )
+    told = numbered.withColumn("turn", (F.col("_turn") + F.coalesce("_before", F.lit(0))).cast("bigint")).withColumn("state", state)
+    moved = F.when(F.col("state").isin("full", "changed"), F.col("turn"))
+    told = stored(told.select(*reads.columns, "turn", "state", moved.alias("_moved"), place, part), "read_states")
+    moves = told.join(several, F.col(session).eqNullSafe(F.col("_spread"))).groupBy(part, session, file).agg(F.max("_moved").alias("_at"))
+    since = moves.select(part, session, file, F.max("_at").over(earlier(session, file)).alias("_since"))
+    out = _handed_on(told.withColumn("_ref", F.max("_moved").over(above)), since, [part, session, file])
+    return out.select(*reads.columns, "turn", "state", F.when(F.col("state").isin("unchanged", "changed"), F.coalesce("_ref", "_since")).alias("ref_turn"))
+
+
+def _handed_on(rows: DataFrame, earlier: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join that takes null keys for equal."""
+    named = earlier.withColumnsRenamed({c: f"_k{c}" for c in keys})
+    return rows.join(named, [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in keys], "left").drop(*(f"_k{c}" for c in keys))
+
+
 #: Unchanged lines shown around a change.
 AROUND = 3
 _BLOCK = ("a1", "a2", "b1", "b2")

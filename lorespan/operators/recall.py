@@ -6,30 +6,49 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespan.functions import text
-from lorespan.functions.vectors import dot, norm
+from lorespan.session import stored as written
 
 # Similarity a match needs, vector size of the default encoder.
 THRESHOLD = 0.40
 EMBED_DIM = 384
-# Query vectors that travel together to each stored vector (at 384 floats, about 0.1 MB per block).
-BLOCK = 64
-# Copies of the query blocks that stored rows are spread over, for query sets too large to broadcast.
-SPREAD = 64
+#: Query vectors and stored vectors that are multiplied at a time.
+QUERY_BLOCK, STORED_BLOCK = 256, 512
+#: Decimals of a similarity.
+DIGITS = 4
+
+
+def hashed_features(token: Column, dim: int) -> Column:
+    """Place and sign of a token, from its MD5: the first eight hexadecimal digits modulo ``dim``, and whether the ninth is
+    even. Any engine with MD5 gets the same."""
+    digest = F.md5(token.cast("binary"))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
+    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    return F.struct(place.cast("int").alias("place"), sign.alias("sign"))
 
 
 def hashed_embedding(df: DataFrame, text_col: str, out: str = "embedding", dim: int = EMBED_DIM) -> DataFrame:
-    """Default encoder: hashed word counts scaled to length 1. A caller's own model goes through ``encode``."""
-    toks = df.withColumn("_toks", text.index_tokens(F.col(text_col)))
-    hashed = HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim).transform(toks)
-    scaled = Normalizer(inputCol="_tf", outputCol="_n", p=2.0).transform(hashed)
-    return scaled.select(*df.columns, vector_to_array("_n", "float32").alias(out))
+    """Default encoder: signed hashed word counts scaled to length 1; a text without words is the zero vector. A caller's
+    own model goes through ``encode``."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vector(places: pa.Array, signs: pa.Array) -> pa.Array:
+        rows = []
+        for place, sign in zip(places, signs, strict=True):
+            counts = np.bincount(place.values.to_numpy(), sign.values.to_numpy(), dim)
+            length = np.sqrt(counts @ counts)
+            rows.append((counts / length if length else counts).astype(np.float32))
+        return pa.array(rows, pa.list_(pa.float32()))
+
+    found = df.withColumn("_features", F.transform(text.index_tokens(F.col(text_col)), lambda t: hashed_features(t, dim)))
+    places, signs = (F.transform("_features", lambda x, c=c: x[c]) for c in ("place", "sign"))
+    return found.select(*df.columns, vector(places, signs).alias(out))
 
 
 def encode(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], np.ndarray]], out: str = "embedding") -> DataFrame:
@@ -45,50 +64,89 @@ def encode(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]]
     return df.mapInPandas(run, schema)
 
 
-def similarities(queries: DataFrame, stored: DataFrame) -> DataFrame:
-    """(query_id, id, similarity): cosine of every query vector with every stored one, 4 decimals, 0 for a zero vector.
+def _packed(rows: DataFrame, id_col: str, size: int) -> DataFrame:
+    """Rows (id, vec) as blocks of at most ``size``: ``(ids, flat, dim)`` for each vector length, packed where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+        open_blocks: dict[int, tuple[list, list]] = {}
+
+        def closed(dim: int) -> pa.RecordBatch:
+            ids, vectors = open_blocks.pop(dim)
+            flat = np.concatenate(vectors) if dim else np.zeros(0)
+            return pa.record_batch([pa.array([ids], pa.list_(kind)), pa.array([flat], pa.list_(pa.float64())), pa.array([dim], pa.int32())], names=["ids", "flat", "dim"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for row_id, vec in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.asarray(vec.values.to_numpy(zero_copy_only=False), dtype=np.float64)
+                ids, vectors = open_blocks.setdefault(len(values), ([], []))
+                ids.append(row_id)
+                vectors.append(values)
+                if len(ids) == size:
+                    yield closed(len(values))
+        for dim in list(open_blocks):
+            yield closed(dim)
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.filter(F.col("vec").isNotNull()).select(id_col, "vec").mapInArrow(run, f"ids array<{kind}>, flat array<double>, dim int")
+
+
+def _best(similarity: np.ndarray, order: np.ndarray, k: int | None, threshold: float | None) -> np.ndarray:
+    """Columns of one query's block to keep: over the threshold, and the k best, the earlier in ``order`` at ties."""
+    kept = order if threshold is None else order[similarity[order] >= threshold]
+    return kept if k is None or len(kept) <= k else kept[np.argsort(-similarity[kept], kind="stable")[:k]]
 
-    Queries (query_id, vec) are packed into blocks of about BLOCK, a stored row (id, vec) meets whole
-    blocks on (block, spread) and the pairs unfold in place. Blocks are broadcast when small by Spark's
-    size check; otherwise the join shuffles on a key that is even by construction.
-    """
-    count = queries.agg(F.count("*")).scalar()
-    blocks = F.ceil(F.greatest(count, F.lit(1)) / BLOCK).cast("int")
-    packed = (
-        queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), blocks).cast("int").alias("block"))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("query_id", "vec", norm(F.col("vec")).alias("norm"))).alias("queries"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
-    )
-    rows = stored.select("id", "vec", norm(F.col("vec")).alias("norm"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int").alias("spread"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    pairs = rows.join(packed, ["block", "spread"]).select("id", "vec", "norm", F.explode("queries").alias("q"))
-    scale = F.col("norm") * F.col("q.norm")
-    return pairs.select(
-        F.col("q.query_id").alias("query_id"),
-        "id",
-        F.when(scale == 0, F.lit(0.0)).otherwise(F.round(dot(F.col("vec"), F.col("q.vec")) / scale, 4)).alias("similarity"),
-    )
 
+def similarities(queries: DataFrame, stored: DataFrame, threshold: float | None = None, k: int | None = None) -> DataFrame:
+    """(query_id, id, similarity): cosine of every query vector with every stored one, 4 decimals, 0 for a zero vector.
 
-def ranking(queries: DataFrame, stored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All stored sessions per query, nearest first, with a mark for those over the threshold."""
+    Queries (query_id, vec) and stored rows (id, vec) are packed into blocks; each pair of blocks is one matrix product in
+    a task. ``threshold`` and ``k`` are applied to a block's product before anything is sent on, and ``k`` again over all
+    blocks; of equal similarities the smaller id comes first. Vectors of other lengths than the query's, and null vectors,
+    take no part. Query blocks are broadcast when small by Spark's size check; else both sides are dealt by query block.
+    """
+    id_kind, query_kind = (df.schema[c].dataType.simpleString() for df, c in ((stored, "id"), (queries, "query_id")))
+    asked = _packed(queries, "query_id", QUERY_BLOCK).select(F.col("ids").alias("asked"), F.col("flat").alias("q"), "dim", F.monotonically_increasing_id().alias("block"))
+    asked = written(asked, "query_blocks")
+    blocks = asked.agg(F.collect_set(F.struct("dim", "block"))).scalar()
+    rows = _packed(stored, "id", STORED_BLOCK).select("ids", "flat", "dim", F.explode(blocks).alias("b"))
+    rows = rows.filter(F.col("b.dim") == F.col("dim")).select("ids", "flat", "dim", F.col("b.block").alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, flat, asked_ids, q, dim in zip(*(batch.column(c) for c in ("ids", "flat", "asked", "q", "dim")), strict=True):
+                a = q.values.to_numpy().reshape(-1, dim.as_py())
+                b = flat.values.to_numpy().reshape(-1, dim.as_py())
+                names = ids.as_py()
+                scale = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+                raw = np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale != 0)
+                rounded = np.copysign(np.floor(np.abs(raw) * 10**DIGITS + 0.5) / 10**DIGITS, raw) + 0.0
+                order = np.array(sorted(range(len(names)), key=names.__getitem__))
+                found = [(query, j, rounded[i, j]) for i, query in enumerate(asked_ids.as_py()) for j in _best(rounded[i], order, k, threshold)]
+                if found:
+                    query, j, similarity = zip(*found, strict=True)
+                    yield pa.record_batch([pa.array(query, asked_ids.type.value_type), pa.array([names[x] for x in j], ids.type.value_type), pa.array(similarity, pa.float64())], names=["query_id", "id", "similarity"])
+
+    found = rows.join(asked, ["dim", "block"]).mapInArrow(run, f"query_id {query_kind}, id {id_kind}, similarity double")
+    if k is None:
+        return found
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+
+
+def ranking(queries: DataFrame, stored: DataFrame, threshold: float = THRESHOLD, k: int | None = None) -> DataFrame:
+    """Stored sessions per query, all or the ``k`` nearest, nearest first, with a mark for those over the threshold."""
     return (
-        similarities(queries, stored)
+        similarities(queries, stored, k=k)
         .withColumn("accepted", F.col("similarity") >= threshold)
         .orderBy("query_id", F.desc("similarity"), "id")
     )
 
 
 def best_match(queries: DataFrame, stored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Nearest session per query if it is near enough; the smaller id wins a tie. Combines before the shuffle."""
-    return (
-        similarities(queries, stored)
-        .filter(F.col("similarity") >= threshold)
-        .groupBy("query_id")
-        .agg(F.min(F.struct((-F.col("similarity")).alias("away"), "id")).alias("m"))
-        .select("query_id", F.col("m.id").alias("id"), (-F.col("m.away")).alias("similarity"))
-    )
+    """Nearest session per query if it is near enough; the smaller id wins a tie."""
+    return similarities(queries, stored, threshold, 1)
 
 
 def session_list(memory: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from lorespan.functions import paths, text
 from lorespan.operators.extract import NOT_CODE, pieces
 
 MIN_LITERAL = 6
-# Stands for a line break inside a string or comment while lines are cut.
-_HIDDEN = "\u0004"
+# Stands for a line break inside a string or comment while lines are cut; a text's own mark is told apart by what follows.
+_MARK = "\u0004"
+_OWN, _HIDDEN = _MARK + "\u0005", _MARK + "\u0006"
 
 # Rule detectors, in the subset Java and RE2 regular expressions share. The order breaks ties.
 DETECTORS = {
@@ -143,16 +144,27 @@ def _redact_line(line: Column, lang: str, policy: Policy, found: Column | None =
     return F.when(entity.isNull() | (F.size(literals) == 0), line).otherwise(F.array_join(put_back, ""))
 
 
+def _any_match(content: Column, policy: Policy) -> Column:
+    """Does any active detector match anywhere? What a line matches, the text around it matches as well."""
+    out = F.lit(False)
+    for entity, pattern in DETECTORS.items():
+        if entity in policy.entity_types:
+            out = out | (_may_match(content, entity) & F.rlike(content, F.lit(pattern)))
+    return out
+
+
 def redact_code(content: Column, lang: str, policy: Policy) -> Column:
     """Replaces detected string literals; all other text stays as it is.
 
     Line breaks inside strings and comments are hidden while lines are cut, so a literal of several lines is
-    replaced as a whole; it is judged by the line it begins in.
+    replaced as a whole; it is judged by the line it begins in. Texts without any match are not cut at all.
     """
+    cut = F.replace(content, F.lit(_MARK), F.lit(_OWN))
     if lang in NOT_CODE:
-        content = pieces(content, lang, lambda p: F.replace(p, F.lit("\n"), F.lit(_HIDDEN)))
-    out = F.array_join(F.transform(F.split(content, "\n"), lambda t: _redact_line(t, lang, policy)), "\n")
-    return F.replace(out, F.lit(_HIDDEN), F.lit("\n"))
+        cut = pieces(cut, lang, lambda p: F.replace(p, F.lit("\n"), F.lit(_HIDDEN)))
+    out = F.array_join(F.transform(F.split(cut, "\n"), lambda t: _redact_line(t, lang, policy)), "\n")
+    shown = F.replace(F.replace(out, F.lit(_HIDDEN), F.lit("\n")), F.lit(_OWN), F.lit(_MARK))
+    return F.when(_any_match(content, policy), shown).otherwise(content)
 
 
 def redact_env(content: Column, policy: Policy) -> Column:

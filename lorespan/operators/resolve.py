@@ -1,19 +1,29 @@
 """Everything about a name: definition, candidates, callers, enclosing tests, importers, last commit.
 
 Requests are a table (request_id, name). Names meet definitions in equi-joins only; the pattern tiers
-look patterns up by a short literal piece (a gram) that a matching name must contain.
+look patterns up by the rarest of the short literal pieces (grams) that a matching name must contain.
 """
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.functions import paths, text
 from lorespan.operators import extract
+from lorespan.session import stored
+
+if TYPE_CHECKING:
+    from lorespan.sources.index_store import IndexStore
 
 GRAM = 3
+#: Parts that names of one length are dealt to.
+SPREAD = 16
+#: Spans meet calls in blocks of two to this power lines.
+LINE_BIN = 6
 # How many entries the text view of a result lists.
 SHOWN_CALLERS, SHOWN_TESTS, SHOWN_IMPORTERS = 10, 5, 8
 
@@ -22,43 +32,41 @@ def exact_matches(requests: DataFrame, symbols: DataFrame) -> DataFrame:
     return requests.withColumnRenamed("name", "asked").join(symbols, F.col("asked") == F.col("name"))
 
 
-def _gram_of(pattern: Column) -> Column:
-    """Start of the longest run of the pattern without wildcards."""
-    runs = F.transform(F.split(text.ascii_lower(pattern), "[%_]"), lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))
-    return F.substring(F.array_max(runs)["r"], 1, GRAM)
+def _grams(string: Column, size: Column) -> Column:
+    """All pieces of a string of a size, each once."""
+    starts = F.when(F.length(string) < size, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.length(string) - size + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(string, i, size)))
 
 
 def pattern_matches(requests: DataFrame, names: DataFrame) -> DataFrame:
     """(request_id, asked, name, tier): 2 when the whole name matches the request as a pattern, 3 when a part does.
 
-    ``%`` and ``_`` in a request are wildcards. ``names`` holds each name once.
+    ``%`` and ``_`` in a request are wildcards. ``names`` holds each name once. A matching name holds all pieces of the
+    request that have no wildcard; names and requests meet on the request's rarest piece of up to ``GRAM`` letters, by
+    the number of names that hold it. A request of wildcards alone asks for the length of a name only.
     """
-    asked = requests.select("request_id", F.col("name").alias("asked"), _gram_of(F.col("name")).alias("gram"))
-    sizes = asked.agg(F.collect_set(F.length("gram"))).scalar()
-    lower = text.ascii_lower(F.col("name"))
-    grams = (
-        names.select("name", F.explode(sizes).alias("g"))
-        .select(
-            "name",
-            F.explode(
-                F.when(F.col("g") == 0, F.array(F.lit("")))
-                .when(F.col("g") > F.length("name"), F.array().cast("array<string>"))
-                .otherwise(
-                    F.array_distinct(
-                        F.transform(F.sequence(F.lit(1), F.length("name") - F.col("g") + 1), lambda i: F.substring(lower, i, F.col("g")))
-                    )
-                )
-            ).alias("gram"),
-        )
-    )
+    runs = F.split(text.ascii_lower(F.col("name")), "[%_]")
+    size = F.least(F.lit(GRAM), F.array_max(F.transform(runs, lambda r: F.length(r))))
+    asked = requests.filter(F.col("name").isNotNull()).select("request_id", F.col("name").alias("asked"), runs.alias("runs"), size.alias("size"))
+    literal = asked.filter("size > 0").select("request_id", "asked", F.explode(F.array_distinct(F.flatten(F.transform("runs", lambda r: _grams(r, F.col("size")))))).alias("gram"))
+    sizes = asked.filter("size > 0").agg(F.collect_set("size")).scalar()
+    grams = names.select("name", F.explode(sizes).alias("g")).select("name", F.explode(_grams(text.ascii_lower(F.col("name")), F.col("g"))).alias("gram"))
+    counts = grams.join(literal.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = literal.join(counts, "gram", "left").groupBy("request_id", "asked").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    by_gram = grams.join(rarest.filter("m.n > 0").select("request_id", "asked", F.col("m.gram").alias("gram")), "gram").drop("gram")
+
+    # a name of exactly the wildcards' length matches as a whole where no % is, any longer one in part
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(SPREAD)).cast("int")
+    any_name = asked.filter("size = 0").select("request_id", "asked", F.length(F.replace("asked", F.lit("%"), F.lit(""))).alias("least"))
+    lengths = names.agg(F.collect_set(F.length("name"))).scalar()
+    every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    wanted = any_name.select("*", F.explode(lengths).alias("length")).filter("length >= least").select("request_id", "asked", "length", every.alias("spread"))
+    by_length = names.select("name", F.length("name").alias("length"), spread("name").alias("spread")).join(wanted, ["length", "spread"])
+
     whole = text.like_ascii_ci(F.col("name"), F.col("asked"))
     part = text.like_ascii_ci(F.col("name"), F.concat(F.lit("%"), F.col("asked"), F.lit("%")))
-    return (
-        grams.join(asked, "gram")
-        .filter(part)
-        .select("request_id", "asked", "name", F.when(whole, F.lit(2)).otherwise(F.lit(3)).alias("tier"))
-        .distinct()
-    )
+    found = by_gram.select("request_id", "asked", "name").unionByName(by_length.select("request_id", "asked", "name"))
+    return found.filter(part).select("request_id", "asked", "name", F.when(whole, F.lit(2)).otherwise(F.lit(3)).alias("tier")).distinct()
 
 
 def matched_names(requests: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -114,15 +122,21 @@ def with_source(defs: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def callers(defs: DataFrame, call_lines: DataFrame) -> DataFrame:
+def asked_names(defs: DataFrame) -> DataFrame:
+    """``(symbol_name)`` of the definitions found, each once."""
+    return found(defs).select(F.col("name").alias("symbol_name")).distinct()
+
+
+def callers(defs: DataFrame, calls: DataFrame) -> DataFrame:
     """Call sites (request_id, file, line, no) of each request's definition.
 
-    Lines are unfolded into calls without their text, which ``with_context`` adds to the sites that are
-    shown. A name that most calls use stays on the calls' side of a broadcast join while requests are
-    few; AQE splits it when they are not.
+    ``calls`` are rows per call (symbol_name, file, line, no), such as an index keeps by name, or call lines, which are
+    unfolded without their text; ``with_context`` adds it to the sites that are shown. A name that most calls use stays on
+    the calls' side of a broadcast join while requests are few; AQE splits it when they are not.
     """
     asked = found(defs).select("request_id", F.col("name").alias("symbol_name"))
-    calls = text.unfold(call_lines, ["file", "line"], F.transform("refs", lambda r: r["name"]), "no", "symbol_name")
+    if "refs" in calls.columns:
+        calls = text.unfold(calls, ["file", "line"], F.transform("refs", lambda r: r["name"]), "no", "symbol_name")
     return calls.join(asked, "symbol_name").select("request_id", "file", "line", "no")
 
 
@@ -133,16 +147,19 @@ def with_context(sites: DataFrame, call_lines: DataFrame) -> DataFrame:
 def with_enclosing_test(sites: DataFrame, symbols: DataFrame, language: Column, prefix: str = "test") -> DataFrame:
     """Adds the innermost definition named test... around each call in a test file, else ''.
 
-    Calls and spans meet on the file; only test files and such definitions take part.
+    Only test files and such definitions take part. A span stands once for each block of ``LINE_BIN`` lines that it
+    touches, and meets the calls of that file and block.
     """
+    bins = F.sequence(F.shiftright("start_line", LINE_BIN), F.shiftright(F.greatest("start_line", "end_line"), LINE_BIN))
     spans = symbols.filter(F.startswith(text.ascii_lower(F.col("name")), F.lit(prefix))).select(
-        F.col("file").alias("_f"), F.col("name").alias("_test"), "start_line", "end_line"
+        "file", F.col("name").alias("_test"), "start_line", "end_line", F.explode(bins).alias("_bin")
     )
     site = ["request_id", "file", "line", "no"]
     inside = (
         sites.filter(paths.is_test_file(F.col("file"), language))
-        .select(*site)
-        .join(spans, (F.col("file") == F.col("_f")) & (F.col("start_line") <= F.col("line")) & (F.col("end_line") >= F.col("line")))
+        .select(*site, F.shiftright("line", LINE_BIN).alias("_bin"))
+        .join(spans, ["file", "_bin"])
+        .filter((F.col("start_line") <= F.col("line")) & (F.col("end_line") >= F.col("line")))
         .groupBy(*site)
         .agg(F.max_by("_test", F.struct("start_line", "_test")).alias("enclosing_test"))
     )
@@ -166,10 +183,10 @@ def _top(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
     return rows.withColumn("_p", F.row_number().over(W.partitionBy("request_id").orderBy(*order))).filter(F.col("_p") <= n)
 
 
-def _listed(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    return rows.groupBy("request_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_p", value.alias("v")))), lambda x: x["v"]).alias(name)
-    )
+def _in_order(value: Column) -> Column:
+    """The non-null values of a group by ``_p``; null if there are none."""
+    pairs = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct("_p", value.alias("v")))))
+    return F.when(F.size(pairs) > 0, F.transform(pairs, lambda x: x["v"]))
 
 
 def resolve(requests: DataFrame, symbols: DataFrame, call_lines: DataFrame, imports: DataFrame, corpus: DataFrame,
@@ -178,22 +195,42 @@ def resolve(requests: DataFrame, symbols: DataFrame, call_lines: DataFrame, impo
     """One row per request for display: the lists hold the first entries, as many as asked for, the counts all.
 
     The whole lists are the relations ``callers``, ``importers`` and ``candidates``, a row per entry: a name used
-    by a third of all calls must not become one row.
+    by a third of all calls must not become one row. Definitions and sites are written once and read by each part.
     """
-    defs = definitions(requests, symbols)
+    defs = stored(definitions(requests, symbols), "resolve_defs")
+    shown = (shown_callers, shown_tests, shown_importers)
+    return _assembled(defs, symbols, call_lines, call_lines, imports, corpus, git_info, language, test_prefix, shown)
+
+
+def resolve_from(store: IndexStore, requests: DataFrame, corpus: DataFrame, git_info: DataFrame, language: Column | None = None, test_prefix: str = "test",
+                 shown_callers: int = SHOWN_CALLERS, shown_tests: int = SHOWN_TESTS, shown_importers: int = SHOWN_IMPORTERS) -> DataFrame:
+    """``resolve`` over a stored index: calls and imports are read from the folders of the names found only."""
+    symbols = store.relation("symbols")
+    defs = stored(definitions(requests, symbols), "resolve_defs")
+    names, shown = asked_names(defs), (shown_callers, shown_tests, shown_importers)
+    return _assembled(defs, symbols, store.calls(names), store.relation("call_lines"), store.imports(names), corpus, git_info, language, test_prefix, shown)
+
+
+def _assembled(defs: DataFrame, symbols: DataFrame, calls: DataFrame, call_lines: DataFrame, imports: DataFrame, corpus: DataFrame, git_info: DataFrame,
+               language: Column | None, test_prefix: str, shown: tuple[int, int, int]) -> DataFrame:
+    shown_callers, shown_tests, shown_importers = shown
     lang = paths.language_of(F.col("file")) if language is None else language
-    sites = with_enclosing_test(callers(defs, call_lines), symbols, lang, test_prefix)
+    sites = stored(with_enclosing_test(callers(defs, calls), symbols, lang, test_prefix), "resolve_sites")
     is_test = F.col("enclosing_test") != ""
     order = ["file", "line", "no"]
     imported_from = importers(defs, imports)
     counts = sites.groupBy("request_id").agg(F.count_if(~is_test).alias("n_callers"), F.count_if(is_test).alias("n_tests"))
     n_imports = imported_from.groupBy("request_id").agg(F.count("*").alias("n_importers"))
-    shown = with_context(_top(sites.filter(~is_test), shown_callers, order).unionByName(_top(sites.filter(is_test), shown_tests, order)), call_lines)
-    plain = _listed(shown.filter(~is_test), F.struct("file", "line", "context"), "callers")
-    tests = _listed(shown.filter(is_test), F.struct("file", "line", "context", "enclosing_test"), "tests")
-    imported = _listed(_top(imported_from, shown_importers, ["file"]), F.col("file"), "importers")
+    top = F.row_number().over(W.partitionBy("request_id", is_test).orderBy(*order))
+    most = F.when(is_test, shown_tests).otherwise(shown_callers)
+    first = with_context(sites.withColumn("_p", top).filter(F.col("_p") <= most), call_lines)
+    sites_listed = first.groupBy("request_id").agg(
+        _in_order(F.when(~is_test, F.struct("file", "line", "context"))).alias("callers"),
+        _in_order(F.when(is_test, F.struct("file", "line", "context", "enclosing_test"))).alias("tests"),
+    )
+    imported = _top(imported_from, shown_importers, ["file"]).groupBy("request_id").agg(_in_order(F.col("file")).alias("importers"))
     full = with_source(defs, corpus).join(git_info, "file", "left")
-    for part in (counts, n_imports, plain, tests, imported):
+    for part in (counts, n_imports, sites_listed, imported):
         full = full.join(part, "request_id", "left")
     totals = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_callers", "n_tests", "n_importers")]
     return full.select(*defs.columns, "source_code", "last_commit_hash", "last_modified", *totals, "callers", "tests", "importers")

@@ -10,6 +10,7 @@ from lorespan.operators import prose, telemetry
 from lorespan.operators.search import TextIndex
 from lorespan.session import scratch_dir
 from lorespan.sources import corpus as corpus_source
+from lorespan.sources.index_store import IndexStore, refresh
 
 # Roles of event types and the instant "now" stands for.
 INDEX_EVENTS = ("signup", "error")
@@ -70,11 +71,37 @@ def previous_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(gone).withColumn("content_hash", F.sha2(F.col("content"), 256))
 
 
-def build_index(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Index run over the whole corpus: definitions, references, imports and their postings."""
-    docs = indexable(spark, sf_dir)
-    TextIndex.build(spark, prose.definitions(docs), prose.call_lines(docs), path)
-    prose.imports(docs).write.mode("overwrite").parquet(f"{path}/imports")
+EXTRACTORS = {"symbols": prose.definitions, "call_lines": prose.call_lines, "imports": prose.imports}
+
+
+def _meta(rows: DataFrame) -> DataFrame:
+    return corpus_source.file_meta(rows, F.lit(AS_OF_EPOCH))
+
+
+def run_index(store: IndexStore, corpus: DataFrame, gone: DataFrame | None, version: int, incremental: bool) -> None:
+    """One index run over prose files; ``gone`` are files that are no longer there."""
+    gone = store.spark.createDataFrame([], "file string") if gone is None else gone
+    refresh(store, corpus, gone, version, EXTRACTORS, _meta, incremental)
+
+
+def build_index(spark: SparkSession, sf_dir: str, path: str) -> IndexStore:
+    """Index run over the whole corpus: definitions, references, imports and all that lookups read."""
+    store = IndexStore(spark, path).create()
+    run_index(store, indexable(spark, sf_dir), None, 1, incremental=False)
+    return store
+
+
+def build_previous(spark: SparkSession, sf_dir: str, path: str) -> IndexStore:
+    """Index of the earlier state of the corpus."""
+    store = IndexStore(spark, path).create()
+    run_index(store, corpus_source.scan_corpus(previous_corpus(spark, sf_dir).withColumn("size", F.octet_length("content")), language=F.col("language")).filter(~F.col("too_big")), None, 1, incremental=False)
+    return store
+
+
+def refresh_index(store: IndexStore, sf_dir: str, version: int = 2) -> None:
+    """Brings the index of the earlier state up to the present one."""
+    gone = previous_corpus(store.spark, sf_dir).select("file").join(corpus(store.spark, sf_dir).select("file"), "file", "left_anti")
+    run_index(store, indexable(store.spark, sf_dir), gone, version, incremental=True)
 
 
 _built: dict[tuple[str, str], str] = {}
@@ -90,20 +117,24 @@ def index_path(spark: SparkSession, sf_dir: str) -> str:
     return _built[key]
 
 
+def store(spark: SparkSession, sf_dir: str) -> IndexStore:
+    return IndexStore(spark, index_path(spark, sf_dir))
+
+
 def index(spark: SparkSession, sf_dir: str) -> TextIndex:
-    return TextIndex.read(spark, index_path(spark, sf_dir))
+    return store(spark, sf_dir).text_index()
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir).symbols.drop("dl")
+    return store(spark, sf_dir).relation("symbols")
 
 
 def call_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir).call_lines.select("file", "line", "context", "refs")
+    return store(spark, sf_dir).relation("call_lines")
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{index_path(spark, sf_dir)}/imports")
+    return store(spark, sf_dir).imports()
 
 
 def file_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +209,25 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_source.scan_corpus(files.withColumn("size", F.octet_length("content")), max_bytes=1 << 30)
 
 
+# A line of code per line of text: a variable that holds the line, without characters that mean something in a literal.
+LITERAL_CODE = {"en": ("python", 'x = "', '"'), "fr": ("javascript", "const x = `", "`;"), "de": ("go", 'x := "', '"'), "es": ("rust", 'let x = "', '";')}
+NOT_LITERAL = "\"'`\\$"
+
+
+def literal_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of code whose string literals are its lines (file, language, content)."""
+    def by_lang(make):
+        out = F.lit(None).cast("string")
+        for lang, (name, before, after) in LITERAL_CODE.items():
+            out = F.when(F.col("lang") == lang, make(name, before, after)).otherwise(out)
+        return out
+
+    lines = F.split(F.translate("text", NOT_LITERAL, ""), "\n")
+    content = by_lang(lambda _, before, after: F.array_join(F.transform(lines, lambda t: F.concat(F.lit(before), t, F.lit(after))), "\n"))
+    docs = documents(spark, sf_dir).filter(F.col("lang").isin(*LITERAL_CODE))
+    return docs.select(_path("doc_id").alias("file"), by_lang(lambda name, *_: F.lit(name)).alias("language"), content.alias("content"))
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a commit log of the documents."""
     log = table(spark, sf_dir, "orders").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lorespan.functions.text import BREAKS, FOLD_FROM, FOLD_TO, LINE_BREAK
 from lorespan.operators.redact import DETECTORS, LITERAL
-from lorespan.plans.bindings import AS_OF, AS_OF_EPOCH, ENTRY_NAMES, QUERY, TEST_PREFIX
+from lorespan.plans.bindings import AS_OF, AS_OF_EPOCH, ENTRY_NAMES, LITERAL_CODE, NOT_LITERAL, QUERY, TEST_PREFIX
 
 ORACLE: dict[str, str] = {}
 
@@ -152,6 +152,7 @@ ORACLE["symbol_search"] = f"WITH {DEFS}, {ONE}, {TERMS}, {SYM_SEARCH} SELECT fil
 ORACLE["call_search"] = f"WITH {CALLS}, {ONE}, {TERMS}, {CALL_SEARCH} SELECT file, line, no, c.name AS symbol_name, c.context, round(rank, 6) AS rank, place FROM calltop JOIN calls c USING (file, line, no)"
 SEARCH_ALL = f"{TERMS}, {SYM_SEARCH}, {CALL_SEARCH}, {MERGE}"
 ORACLE["merged_search"] = f"WITH {CALLS}, {ONE}, {SEARCH_ALL} SELECT {HIT} FROM merged"
+ORACLE["search_after_refresh"] = ORACLE["merged_search"]
 ORACLE["batch_search"] = f"WITH {CALLS}, {BATCH}, {SEARCH_ALL} SELECT query_id, {HIT} FROM merged"
 ORACLE["hits_by_file"] = f"""WITH {CALLS}, {ONE}, {SEARCH_ALL} SELECT file, min(place) AS first_place, count(*) AS hits,
  string_agg(name || ':' || start_line, ',' ORDER BY place) AS items FROM merged GROUP BY file"""
@@ -286,10 +287,11 @@ _DELTA = f"""{CORPUS}, {PREVIOUS},
  unified AS (SELECT file, '--- ' || file || ' (turn 1)' || chr(10) || '+++ ' || file || ' (current)' || chr(10) || string_agg(text, '' ORDER BY hunk) AS delta FROM shown GROUP BY file)"""
 ORACLE["line_delta"] = f"WITH {_DELTA} SELECT * FROM delta"
 ORACLE["unified_delta"] = f"WITH {_DELTA} SELECT * FROM unified"
-ORACLE["sent_tokens"] = f"""WITH {_DELTA}, states AS (SELECT a.file, a.content, p.file IS NULL AS fresh, p.content = a.content AS same FROM allfiles a LEFT JOIN previous p USING (file))
- SELECT file, CASE WHEN fresh THEN 'full' WHEN same THEN 'unchanged' ELSE 'changed' END AS state, CAST(floor(length(CASE WHEN fresh THEN content
-  WHEN same THEN '[' || file || ': unchanged since turn 1]' ELSE '[' || file || ': changed since turn 1]' || chr(10) || delta END) / 4) AS BIGINT) AS output_tokens
- FROM states LEFT JOIN unified USING (file)"""
+SENT = f"""{_DELTA}, states AS (SELECT a.file, a.language, a.content, p.file IS NULL AS fresh, p.content = a.content AS same FROM allfiles a LEFT JOIN previous p USING (file)),
+ sent AS (SELECT file, language, CASE WHEN fresh THEN 'full' WHEN same THEN 'unchanged' ELSE 'changed' END AS state, CASE WHEN fresh THEN content
+  WHEN same THEN '[' || file || ': unchanged since turn 1]' ELSE '[' || file || ': changed since turn 1]' || chr(10) || delta END AS content
+  FROM states LEFT JOIN unified USING (file))"""
+ORACLE["sent_tokens"] = f"WITH {SENT} SELECT file, state, length(content) // 4 AS output_tokens FROM sent"
 
 # ---------------------------------------------------------------- recall and session logs
 SIMS = """cells AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings),
@@ -307,6 +309,18 @@ DIGEST = f"""{CONV}, firsts AS (SELECT session, min(pos) AS p FROM conv WHERE ro
  digest AS (SELECT s.session, coalesce(regexp_replace(c.text, '^\\s+|\\s+$', '', 'g'), '') AS task_text, coalesce(files_read, '') AS files_read, coalesce(symbols_resolved, '') AS symbols_resolved, session_id,
    coalesce(n_files, 0) AS n_files, coalesce(n_symbols, 0) AS n_symbols
    FROM (SELECT DISTINCT session FROM conv) s LEFT JOIN firsts f USING (session) LEFT JOIN conv c ON c.session = s.session AND c.pos = f.p LEFT JOIN fs ON fs.session = s.session LEFT JOIN ss ON ss.session = s.session LEFT JOIN sid ON sid.session = s.session)"""
+ORACLE["log_lines"] = """SELECT conv_id % 8 AS log, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS pos,
+ '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}' AS raw FROM conversations"""
+# A word's place is given by the first eight hexadecimal digits of its MD5, its sign by the ninth.
+HASHED = f"""asked AS (SELECT 0 AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 1, conv_id * 1000 + turn, text FROM conversations WHERE role = 'user'),
+ features AS (SELECT side, id, md5(t) AS h FROM (SELECT side, id, unnest({toks('text')}) AS t FROM asked)),
+ counts AS (SELECT side, id, ('0x' || substr(h, 1, 8))::BIGINT % 384 AS place, sum(CASE WHEN ('0x' || substr(h, 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS n FROM features GROUP BY 1, 2, 3),
+ lengths AS (SELECT side, id, sqrt(sum(n * n)) AS len FROM counts GROUP BY 1, 2 HAVING sum(n * n) > 0),
+ cells AS (SELECT side, id, place, (n / len)::FLOAT::DOUBLE AS x FROM counts JOIN lengths USING (side, id)),
+ norms AS (SELECT side, id, sqrt(sum(x * x)) AS norm FROM cells GROUP BY 1, 2),
+ dots AS (SELECT q.id AS query_id, m.id, sum(q.x * m.x) AS dot FROM cells q JOIN cells m ON q.side = 0 AND m.side = 1 AND q.place = m.place GROUP BY 1, 2),
+ near AS (SELECT query_id, d.id, round(dot / (a.norm * b.norm), 4) + 0.0 AS similarity FROM dots d JOIN norms a ON a.side = 0 AND a.id = query_id JOIN norms b ON b.side = 1 AND b.id = d.id)"""
+ORACLE["text_recall"] = f"WITH {HASHED} SELECT * FROM near WHERE similarity >= 0.05 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) = 1"
 ORACLE["session_digest"] = f"WITH {DIGEST} SELECT session, task_text, files_read, symbols_resolved, session_id FROM digest"
 ORACLE["session_list"] = f"WITH {DIGEST} SELECT session AS id, session_id, length(task_text) AS task_chars, n_files, n_symbols, 'success' AS outcome, 1.0::DOUBLE AS confidence FROM digest"
 ORACLE["newest_sessions"] = "SELECT event_type AS project, user_id AS session, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS mtime FROM events GROUP BY 1, 2 ORDER BY max(ts) DESC, 1 DESC, 2 DESC LIMIT 30"
@@ -341,9 +355,34 @@ def redacted(source: str) -> str:
 
 KV_LINE = r"""CASE WHEN s = '' OR starts_with(s, '#') OR NOT contains(s, '=') OR regexp_replace(v, '\s+', '', 'g') = '' OR rtrim(regexp_extract(s, '^([^=]*)=', 1)) IN ('NODE_ENV', 'PORT', 'HOST', 'DEBUG', 'APP_ENV', 'LOG_LEVEL')
  THEN text ELSE rtrim(regexp_extract(s, '^([^=]*)=', 1)) || '=[REDACTED:SECRET]' END"""
-KV = f"""kl AS (SELECT file, unnest(range(0, len(p))) AS i, unnest(p) AS text FROM (SELECT file, {line_list('content')} AS p FROM allfiles)),
+
+
+def key_values(source: str) -> str:
+    return f"""kl AS (SELECT file, unnest(range(0, len(p))) AS i, unnest(p) AS text FROM (SELECT file, {line_list('content')} AS p FROM {source})),
  kl2 AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM kl), kl3 AS (SELECT *, regexp_extract(s, '^[^=]*=((?s:.*))$', 1) AS v FROM kl2),
  kv AS (SELECT file, string_agg({KV_LINE}, chr(10) ORDER BY i) AS content FROM kl3 GROUP BY file)"""
+
+
+KV = key_values("allfiles")
+ORACLE["redact_sent"] = f"""WITH {SENT}, {key_values('sent')}, {redacted('sent')} SELECT s.file, CASE s.language WHEN 'fr' THEN coalesce(kv.content, '') WHEN 'en' THEN r.content ELSE s.content END AS sent
+ FROM sent s LEFT JOIN kv USING (file) LEFT JOIN redacted r USING (file)"""
+
+
+def literal_code(entities: list[str], allowed: str) -> str:
+    """Files of one literal a line: a line goes or stays as a whole, so nothing is cut."""
+    entity = "list_min(list_filter([" + ", ".join(
+        f"CASE WHEN regexp_matches(line, {q(p)}) THEN {{'at': strpos(line, regexp_extract(line, {q(p)})), 'i': {i}, 'e': '{e}'}} END" for i, (e, p) in enumerate(DETECTORS.items()) if e in entities
+    ) + "], lambda x: x IS NOT NULL)).e"
+    ends = lambda n: "CASE lang " + " ".join(f"WHEN '{lang}' THEN {q(x[n])}" for lang, x in LITERAL_CODE.items()) + " END"
+    return f"""WITH texts AS (SELECT {path('source')} AS file, lang, string_split(translate(text, {q(NOT_LITERAL)}, ''), chr(10)) AS ts, {ends(1)} AS before, {ends(2)} AS after FROM documents),
+ lits AS (SELECT *, before || t || after AS line, right(before, 1) || t || left(after, 1) AS lit FROM (SELECT file, before, after, unnest(range(0, len(ts))) AS i, unnest(ts) AS t FROM texts)),
+ judged AS (SELECT *, CASE WHEN length(lit) >= 6 AND NOT regexp_matches(lit, {q(allowed)}) THEN {entity} END AS entity FROM lits)
+ SELECT file, string_agg(CASE WHEN entity IS NULL THEN line ELSE left(before, length(before) - 1) || '"[REDACTED:' || regexp_replace(upper(entity), '^PRIVATE_', '') || ']"' || substr(after, 2) END, chr(10) ORDER BY i) AS content
+ FROM judged GROUP BY file"""
+
+
+ORACLE["redact_languages"] = literal_code(list(DETECTORS), "^never$")
+ORACLE["redact_policy"] = literal_code(["secret", "private_email", "private_url"], "[aeiou]{2}")
 ORACLE["redact_literals"] = f"WITH {ALL_FILES}, {redacted('allfiles')} SELECT file, content FROM redacted"
 ORACLE["redact_kv"] = f"WITH {ALL_FILES}, {KV} SELECT a.file, coalesce(kv.content, '') AS content FROM allfiles a LEFT JOIN kv USING (file)"
 ORACLE["redact_dispatch"] = f"""WITH {ALL_FILES}, {KV}, {redacted('allfiles')} SELECT a.file, CASE a.language WHEN 'fr' THEN coalesce(kv.content, '') WHEN 'en' THEN r.content ELSE a.content END AS content

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespan.functions import text
 from lorespan.operators import (
     economy, extract, ledger, lifecycle, overview, prose, recall, redact, resolve, search, telemetry, transcripts,
 )
 from lorespan.plans import bindings as b
-from lorespan.session import scratch_dir
-from lorespan.sources import catalog, event_log, index_store, memory_store, session_logs
+from lorespan.session import scratch_dir, stored
+from lorespan.sources import catalog, event_log, memory_store, session_logs
 from lorespan.sources import corpus as corpus_source
 from lorespan.streaming import flows
 
@@ -172,6 +173,15 @@ def batch_search(spark, d):
     return _batch(spark, d).select("query_id", *_HIT, F.round("rank", 6).alias("rank"), "place")
 
 
+@query
+def search_after_refresh(spark, d):
+    """The search over an index of the earlier corpus that a refresh has brought up to date."""
+    store = b.build_previous(spark, d, scratch_dir(spark, "refreshed_index"))
+    b.refresh_index(store, d)
+    index = store.text_index().only(search.token_filter(b.QUERY))
+    return search.search(index, search.literal_terms(spark, b.QUERY)).select(*_HIT, F.round("rank", 6).alias("rank"), "place")
+
+
 @query
 def hits_by_file(spark, d):
     listed = search.hits_by_file(_merged(spark, d))
@@ -214,13 +224,18 @@ def candidates(spark, d):
 
 @query
 def source_slice(spark, d):
-    defs = resolve.definitions(b.requests(spark, d), b.symbols(spark, d))
+    defs = _defs(spark, d)
     return resolve.with_source(defs, b.indexable(spark, d)).select("request_id", "name", "file", "source_code")
 
 
-def _sites(spark, d):
-    defs = resolve.definitions(b.requests(spark, d), b.symbols(spark, d))
-    return resolve.callers(defs, b.call_lines(spark, d))
+def _defs(spark, d):
+    """Definitions of the requests, written once."""
+    return stored(resolve.definitions(b.requests(spark, d), b.symbols(spark, d)), "defs")
+
+
+def _sites(spark, d, defs=None):
+    defs = _defs(spark, d) if defs is None else defs
+    return resolve.callers(defs, b.store(spark, d).calls(resolve.asked_names(defs)))
 
 
 @query
@@ -247,8 +262,8 @@ def caller_split(spark, d):
 
 @query
 def importers(spark, d):
-    defs = resolve.definitions(b.requests(spark, d), b.symbols(spark, d))
-    return resolve.importers(defs, b.imports(spark, d))
+    defs = _defs(spark, d)
+    return resolve.importers(defs, b.store(spark, d).imports(resolve.asked_names(defs)))
 
 
 @query
@@ -258,10 +273,8 @@ def last_commit(spark, d):
 
 @query
 def resolve_full(spark, d):
-    out = resolve.resolve(
-        b.requests(spark, d), b.symbols(spark, d), b.call_lines(spark, d), b.imports(spark, d),
-        b.indexable(spark, d), resolve.last_commits(b.commits(spark, d)), F.lit("python"), b.TEST_PREFIX,
-    )
+    git_info = resolve.last_commits(b.commits(spark, d))
+    out = resolve.resolve_from(b.store(spark, d), b.requests(spark, d), b.indexable(spark, d), git_info, F.lit("python"), b.TEST_PREFIX)
     at = lambda x: F.concat(x["file"], F.lit(":"), x["line"])
     join = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ","), F.lit(""))
     return out.select(
@@ -421,9 +434,9 @@ def naive_search_cost(spark, d):
 
 @query
 def naive_resolve_cost(spark, d):
-    defs = resolve.definitions(b.requests(spark, d), b.symbols(spark, d))
-    sites = resolve.callers(defs, b.call_lines(spark, d))
-    return economy.naive_resolve_cost(defs, sites, resolve.importers(defs, b.imports(spark, d)), economy.file_tokens(b.corpus(spark, d)))
+    defs = _defs(spark, d)
+    imported = resolve.importers(defs, b.store(spark, d).imports(resolve.asked_names(defs)))
+    return economy.naive_resolve_cost(defs, _sites(spark, d, defs), imported, economy.file_tokens(b.corpus(spark, d)))
 
 
 @query
@@ -446,7 +459,7 @@ def saved_per_call(spark, d):
 
 @query
 def session_running_saved(spark, d):
-    out = economy.session_running_saved(_savings(spark, d), "session", ["ts", "id"], F.to_date("ts"))
+    out = economy.session_running_saved(_savings(spark, d), "session", ["ts", "id"])
     return out.select("session", "id", "saved", "session_saved")
 
 
@@ -457,7 +470,7 @@ def _numbered(spark, d):
 
 
 def _states(spark, d):
-    return ledger.read_states(_numbered(spark, d), "session", F.to_date("ts"))
+    return ledger.session_reads(b.reads(spark, d), "session", ["ts", "id"])
 
 
 @query
@@ -485,19 +498,21 @@ def unified_delta(spark, d):
     return ledger.unified_delta(_pairs(spark, d), "file", "old", "new", F.col("file"), F.lit(1))
 
 
-@query
-def sent_tokens(spark, d):
+def _sent(spark, d):
     """Second read of every file that was read in its earlier state: notice, delta or, if new, all of it."""
-    now = b.corpus(spark, d).select("file", "content", "content_hash")
+    now = b.corpus(spark, d).select("file", "language", "content", "content_hash")
     before = b.previous_corpus(spark, d).select("file", F.col("content_hash").alias("seen"))
     delta = ledger.unified_delta(_pairs(spark, d), "file", "old", "new", F.col("file"), F.lit(1))
     state = (
         F.when(F.col("seen").isNull(), F.lit("full")).when(F.col("seen") == F.col("content_hash"), F.lit("unchanged")).otherwise(F.lit("changed"))
     )
     rows = now.join(before, "file", "left").join(delta, "file", "left").withColumn("state", state)
-    return rows.select(
-        "file", "state", ledger.sent_tokens(F.col("state"), F.col("file"), F.lit(1), F.col("content"), F.col("delta")).alias("output_tokens")
-    )
+    return rows.select("file", "language", "state", ledger.sent_text(F.col("state"), F.col("file"), F.lit(1), F.col("content"), F.col("delta")).alias("sent"))
+
+
+@query
+def sent_tokens(spark, d):
+    return _sent(spark, d).select("file", "state", text.token_estimate(F.col("sent")).alias("output_tokens"))
 
 
 # ---------------------------------------------------------------- recall and session logs
@@ -528,6 +543,16 @@ def _records(spark, d):
     return session_logs.parse_records(b.raw_log(spark, d))
 
 
+@query
+def log_lines(spark, d):
+    """Conversations written as eight logs and read back line by line."""
+    path = scratch_dir(spark, "logs")
+    said = b.table(spark, d, "conversations").select((F.col("conv_id") % 8).alias("log"), "conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("value"))
+    said.repartition("log").sortWithinPartitions("log", "conv_id", "turn").select("log", "value").write.partitionBy("log").text(path)
+    lines = session_logs.read_logs(spark, f"{path}/*")
+    return lines.select(F.regexp_extract("project", "log=(.*)", 1).cast("bigint").alias("log"), "pos", "raw")
+
+
 @query
 def session_digest(spark, d):
     return transcripts.session_digest(_records(spark, d)).select(
@@ -598,6 +623,32 @@ def redact_dispatch(spark, d):
     return b.corpus(spark, d).select("file", redact.redact(F.col("content"), name, lang, POLICY).alias("content"))
 
 
+@query
+def redact_languages(spark, d):
+    """Literals of Python, JavaScript, Go and Rust files."""
+    code = b.literal_code(spark, d)
+    return code.select("file", redact.redact(F.col("content"), F.col("file"), F.col("language"), POLICY).alias("content"))
+
+
+# A changed policy: one more type than the default ones, one less, and values that are always shown.
+CHANGED_POLICY = redact.Policy(enabled=True).watch("private_url").ignore("account_number").allow(r"[aeiou]{2}")
+
+
+@query
+def redact_policy(spark, d):
+    code = b.literal_code(spark, d)
+    return code.select("file", redact.redact(F.col("content"), F.col("file"), F.col("language"), CHANGED_POLICY).alias("content"))
+
+
+@query
+def redact_sent(spark, d):
+    """What a second read of every file sends, redacted: whole files, deltas and notices alike. French documents count as
+    .env files, English ones as code."""
+    name = F.when(F.col("language") == "fr", F.concat("file", F.lit(".env"))).otherwise(F.col("file"))
+    lang = F.when(F.col("language") == "en", F.lit("python"))
+    return _sent(spark, d).select("file", redact.redact(F.col("sent"), name, lang, POLICY).alias("sent"))
+
+
 @query
 def entity_counts(spark, d):
     return redact.entity_counts(prose.line_table(b.corpus(spark, d), "language"), "text", ["language"], POLICY)
@@ -643,17 +694,13 @@ def stream_reads(spark, d):
 def stream_index(spark, d):
     """An index of the earlier corpus, refreshed by a feed of the present one; gone files come as empty rows."""
     work = scratch_dir(spark, "stream_index")
-    store = index_store.IndexStore(spark, f"{work}/index").create()
-    extractors = {"symbols": prose.definitions, "call_lines": prose.call_lines, "imports": prose.imports}
-    meta = lambda c: corpus_source.file_meta(c, F.lit(b.AS_OF_EPOCH))
-    then = b.previous_corpus(spark, d)
-    index_store.refresh(store, then, then.select("file").limit(0), 1, extractors, meta, incremental=False)
+    store, then = b.build_previous(spark, d, f"{work}/index"), b.previous_corpus(spark, d)
     feed = b.indexable(spark, d).select("file", "language", "content").unionByName(
         then.join(b.corpus(spark, d), "file", "left_anti").select("file", "language", F.lit(None).cast("string").alias("content"))
     )
     feed.write.parquet(f"{work}/in")
     source = spark.readStream.schema("file string, language string, content string").parquet(f"{work}/in")
-    flows.drain(source, flows.index_feed(store, 2, extractors, meta), f"{work}/ckpt")
+    flows.drain(source, flows.index_feed(store, 2, b.EXTRACTORS, lambda c: corpus_source.file_meta(c, F.lit(b.AS_OF_EPOCH))), f"{work}/ckpt")
     per_file = store.relation("symbols").groupBy("file").agg(F.count("*").alias("symbols"))
     return store.file_meta().join(per_file, "file", "left").select(
         "file", "content_hash", "line_count", F.coalesce("symbols", F.lit(0)).alias("symbols")

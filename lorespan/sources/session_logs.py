@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorespan.session import stored
+
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines (session, project, mtime, pos, raw). The position is a line's number in its file, so
-    a log file is read as one row and split in place. Larger logs come as a table of such rows instead."""
-    whole = spark.read.text(path, wholetext=True).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("mtime"),
+    """Raw lines (session, project, mtime, pos, raw) of all logs below a path; ``pos`` numbers a log's lines from 0.
+
+    Spark reads a log in byte ranges, each by the task it falls to, and gives a line that crosses a range's end to the range
+    it begins in. Lines are numbered within their range by where they stand in the task; the lines of the ranges before come
+    from a running sum over one row per range. No line is moved.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"),
+        F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("place"),
     )
-    return whole.select("path", "mtime", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "raw")).select(
+    ranges = lines.groupBy("path", "range").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    above = W.partitionBy("path").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = stored(ranges.select("path", "range", (F.coalesce(F.sum("n").over(above), F.lit(0)) - F.col("first")).alias("shift")), "log_ranges")
+    return lines.join(starts, ["path", "range"]).select(
         F.regexp_replace(F.substring_index("path", "/", -1), r"\.jsonl$", "").alias("session"),
         F.element_at(F.split("path", "/"), -2).alias("project"),
-        "mtime", "pos", "raw",
+        "mtime", (F.col("place") + F.col("shift")).alias("pos"), F.col("value").alias("raw"),
     )
 
 

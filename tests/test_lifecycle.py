@@ -131,6 +131,6 @@ def test_store_refresh(spark, tmp_path):
 def test_uncommitted_version_is_invisible(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index")).create()
     refresh(store, corpus(spark, a="def f(): pass\n"), spark.createDataFrame([], "file string"), 1, EXTRACT, meta)
-    # A run that stopped before its manifest leaves rows nobody sees.
+    # A run that stopped before its end leaves rows nobody sees.
     extract.definitions(corpus(spark, a="def broken(): pass\n")).write.parquet(f"{store.root}/symbols/version=2/run=x")
     assert names(store) == [("a.py", "f")]
