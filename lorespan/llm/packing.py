@@ -30,6 +30,8 @@ SHARD_IDS, SHARD_DOCS = 1 << 20, 1024
 K1, B = 1.2, 0.75
 #: Ids of a seed that the index is asked for: its rarest ones. What it returns orders documents and leaves none out.
 ASKED = 32
+#: Pieces of text that a task remembers the ids of; beyond it pieces are encoded again.
+REMEMBERED = 400_000
 PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -38,7 +40,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
     name = fresh(docs, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer)
+        words = encoder(tokenizer, REMEMBERED)
         end = np.array([end_id], dtype=words.kind).tobytes()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):

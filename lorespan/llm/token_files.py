@@ -44,9 +44,9 @@ class _Pieces(dict):
     A run of Latin letters or of signs is one unit of a byte-level tokenizer, so its model is asked at once.
     """
 
-    def __init__(self, tokenizer, before: str, kind: np.dtype, signs: _Pieces | None = None):
+    def __init__(self, tokenizer, before: str, kind: np.dtype, remembered: int, signs: _Pieces | None = None):
         super().__init__()
-        self.tokenizer, self.before, self.kind, self.signs = tokenizer, before, kind, signs if signs is not None else self
+        self.tokenizer, self.before, self.kind, self.remembered, self.signs = tokenizer, before, kind, remembered, signs if signs is not None else self
         self.units, self.characters = tokenizer.model.tokenize, byte_characters()
 
     def __missing__(self, piece: str) -> bytes:
@@ -60,7 +60,7 @@ class _Pieces(dict):
         else:
             unit = (self.before + piece).encode().decode("latin-1").translate(self.characters)
             ids = self._bytes([t.id for t in self.units(unit)])
-        if known and len(self) < REMEMBERED:
+        if known and len(self) < self.remembered:
             self[piece] = ids
         return ids
 
@@ -84,7 +84,7 @@ class Encoder:
     space or with a special token's string, and other kinds of tokenizers, are encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,8 +96,9 @@ class Encoder:
         self.parted = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.bare = _Pieces(self.tokenizer, "", self.kind)
-        self.spaced = _Pieces(self.tokenizer, " ", self.kind, self.bare)
+        remembered = REMEMBERED if remembered is None else remembered
+        self.bare = _Pieces(self.tokenizer, "", self.kind, remembered)
+        self.spaced = _Pieces(self.tokenizer, " ", self.kind, remembered, self.bare)
         self.line_end = self.bare["\n"]
 
     def encode(self, text: str | None) -> bytes:
@@ -112,12 +113,12 @@ class Encoder:
         return self.line_end.join(lines)
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file; it stays for the worker's later tasks."""
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    """One encoder per Python worker, file and number of remembered pieces; it stays for the worker's later tasks."""
     kept = vars(sys.modules.setdefault("_lorespan_worker", types.ModuleType("_lorespan_worker"))).setdefault("encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if (path, remembered) not in kept:
+        kept[path, remembered] = Encoder(path, remembered)
+    return kept[path, remembered]
 
 
 def _folder(uri: str) -> tuple[pafs.FileSystem, str]:
