@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import fresh, stored
+from lorespan.llm.common import stored
 from lorespan.llm.token_files import Encoder, encoder
 
 WINDOW, END_ID = 2048, 1
@@ -36,44 +36,52 @@ PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, s
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
-    """``(id, ids)`` of every row: token ids of the whole text and the end id, as little-endian integers."""
-    name = fresh(docs, "ids")
+    """``(doc_id, ids, met)`` of every row: token ids of the whole text and the end id, as little-endian integers.
+
+    The last row of a task has no ids: ``met`` holds in how many of its documents each token id occurs.
+    """
+    kind = Encoder(tokenizer).kind
+    size = 1 << 16 if kind.itemsize == 2 else 1 << 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer, REMEMBERED)
+        words, counts, id_kind = encoder(tokenizer, REMEMBERED), np.zeros(size, dtype=np.uint32), None
         end = np.array([end_id], dtype=words.kind).tobytes()
         for batch in batches:
+            id_kind = batch.schema.field(0).type
             for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                yield pa.record_batch([part.column(0), pa.array([words.encode(t) + end for t in part.column(1).to_pylist()], pa.binary())], names=[id_col, name])
+                part, found = batch.slice(start, 256), []
+                for text in part.column(1).to_pylist():
+                    found.append(words.encode(text) + end)
+                    has = np.zeros(size, dtype=bool)
+                    has[np.frombuffer(found[-1], dtype=kind)] = True
+                    counts += has
+                yield pa.record_batch([part.column(0), pa.array(found, pa.binary()), pa.nulls(len(found), pa.binary())], names=names)
+        if id_kind is not None:
+            yield pa.record_batch([pa.nulls(1, id_kind), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{name}` binary").withColumnsRenamed({id_col: "doc_id", name: "ids"})
+    names = ["doc_id", "ids", "met"]
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary, met binary")
 
 
-def document_frequencies(tokens: DataFrame, kind: np.dtype) -> tuple[np.ndarray, int, int]:
-    """Documents per token id, documents, and ids of the whole corpus; each task sends one row per id it has met."""
+def document_frequencies(tokens: DataFrame) -> np.ndarray:
+    """Documents per token id in the whole corpus, summed up from those of the tasks; every task sends a row per id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs, total = np.zeros(1 << 8 * kind.itemsize if kind.itemsize == 2 else 1 << 20, dtype=np.int64), 0, 0
+        total = None
         for batch in batches:
             for data in batch.column(0):
-                ids = np.frombuffer(data.as_buffer(), dtype=kind)
-                found = np.unique(ids)
-                if found[-1] >= len(counts):
-                    counts = np.concatenate([counts, np.zeros(int(found[-1]) + 1 - len(counts), dtype=np.int64)])
-                counts[found] += 1
-                docs, total = docs + 1, total + len(ids)
-        met = np.nonzero(counts)[0]
-        yield pa.record_batch([pa.array([-1, -2, *met.tolist()], pa.int64()), pa.array([docs, total, *counts[met].tolist()], pa.int64())], names=["token", "n"])
-
-    # a row per id of the vocabulary, and two more
-    rows = tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    known = {r.token: r.n for r in rows}
-    docs, total = known.pop(-1, 0), known.pop(-2, 0)
-    counts = np.zeros(max(known, default=0) + 1, dtype=np.int64)
-    counts[list(known)] = list(known.values())
-    return counts, docs, total
+                counts = np.frombuffer(data.as_buffer(), dtype=np.uint32).astype(np.int64)
+                total = counts if total is None else total + counts
+        if total is not None:
+            found = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(found), pa.array(total[found])], names=["token", "n"])
+
+    # a row per id of the vocabulary
+    rows = tokens.filter("met IS NOT NULL").select("met").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max((r.token for r in rows), default=0) + 1, dtype=np.int64)
+    for r in rows:
+        counts[r.token] = r.n
+    return counts
 
 
 def _idf(counts: np.ndarray, docs: int) -> np.ndarray:
@@ -88,9 +96,11 @@ def _signed(tokens: DataFrame, idf: np.ndarray, kind: np.dtype) -> DataFrame:
             first, second = [], []
             for data in batch.column(1):
                 words, n = np.unique(np.frombuffer(data.as_buffer(), dtype=kind), return_counts=True)
-                best = np.argsort(-idf[words] * (n * (K1 + 1) / (n + K1)), kind="stable")[:2]
-                first.append(int(words[best[0]]))
-                second.append(int(words[best[-1]]))
+                weight = idf[words] * (n * (K1 + 1) / (n + K1))
+                best = int(np.argmax(weight))
+                weight[best] = -1 if len(words) > 1 else 0
+                first.append(int(words[best]))
+                second.append(int(words[int(np.argmax(weight))]))
             yield pa.record_batch([*batch.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())], names=["doc_id", "ids", "told", "told_next"])
 
     return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, ids binary, told int, told_next int")
@@ -205,8 +215,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     kind = Encoder(tokenizer).kind
     tokens = stored(encoded(docs, tokenizer, id_col, text_col, end_id), "packing_ids")
-    counts, n_docs, total = document_frequencies(tokens, kind)
-    idf, mean = _idf(counts, n_docs), total / max(n_docs, 1)
+    whole = tokens.filter("ids IS NOT NULL").select("doc_id", "ids")
+    n_docs, size = whole.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids"))).first()
+    idf, mean = _idf(document_frequencies(tokens), n_docs), (size or 0) / kind.itemsize / max(n_docs, 1)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def batch_of(pieces: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
@@ -228,7 +239,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if pieces := [*(packer.shard(rows) if rows else ()), *packer.end()]:
             yield batch_of(pieces, id_kind)
 
-    near = _signed(tokens, idf, kind).withColumns({"tie": F.xxhash64("ids"), "row": F.xxhash64("doc_id")})
+    near = _signed(whole, idf, kind).withColumns({"tie": F.xxhash64("ids"), "row": F.xxhash64("doc_id")})
     order = ["told", "told_next", "tie", "row"]
     placed = near.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     return placed.mapInArrow(run, PIECES.format(docs.schema[id_col].dataType.simpleString()))

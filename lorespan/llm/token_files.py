@@ -48,8 +48,15 @@ class _Pieces(dict):
         super().__init__()
         self.tokenizer, self.before, self.kind, self.remembered, self.signs = tokenizer, before, kind, remembered, signs if signs is not None else self
         self.units, self.characters = tokenizer.model.tokenize, byte_characters()
+        self.lead = before.encode().decode("latin-1").translate(self.characters)
 
     def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            # letters of ASCII stand for themselves
+            ids = array(self.kind.char, [t.id for t in self.units(self.lead + piece)]).tobytes()
+            if len(self) < self.remembered:
+                self[piece] = ids
+            return ids
         found, known = LATIN_END.fullmatch(piece), True
         if found is None or not piece:
             ids = self._bytes(self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids)
