@@ -41,14 +41,13 @@ def hashed_embedding(df: DataFrame, text_col: str, out: str = "embedding", dim:
     def vector(places: pa.Array, signs: pa.Array) -> pa.Array:
         rows = []
         for place, sign in zip(places, signs, strict=True):
-            counts = np.bincount(place.values.to_numpy(), sign.values.to_numpy(), dim)
+            counts = np.bincount(place.as_py() or [], sign.as_py() or None, dim).astype(np.float64)
             length = np.sqrt(counts @ counts)
             rows.append((counts / length if length else counts).astype(np.float32))
         return pa.array(rows, pa.list_(pa.float32()))
 
     found = df.withColumn("_features", F.transform(text.index_tokens(F.col(text_col)), lambda t: hashed_features(t, dim)))
-    places, signs = (F.transform("_features", lambda x, c=c: x[c]) for c in ("place", "sign"))
-    return found.select(*df.columns, vector(places, signs).alias(out))
+    return found.select(*df.columns, vector(F.col("_features.place"), F.col("_features.sign")).alias(out))
 
 
 def encode(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], np.ndarray]], out: str = "embedding") -> DataFrame:

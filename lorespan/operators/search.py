@@ -6,8 +6,8 @@ Query terms first meet the vocabulary: exact tokens on the token, prefix terms o
 lengths that occur among the terms. The tokens found are written down, so their size is known when postings are
 joined on whole tokens: Spark broadcasts them when they are small, and only matching postings are shuffled.
 
-Call sites of one line share file and context. These are matched once per line and the result is
-spread over the calls of the line, so the work follows the text and not its square.
+Call sites of one line share file and context. These are matched once per line; bounds rule most lines out, and only
+the calls of the lines left are scored, so the work follows the text and not its square.
 """
 
 from __future__ import annotations
@@ -246,27 +246,43 @@ class TextIndex:
 
 # ---------------------------------------------------------------- matching
 
-def matched_tokens(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(query_id, term_no, n_toks, tok_no, tok)``: the tokens of the vocabulary that each token of a term stands for.
+@dataclass(frozen=True)
+class _Asked:
+    """What queries ask for, each term once: ``times`` (query_id, term, times) says how often a query has a term,
+    ``tokens`` (term, n_toks, tok_no, tok) which tokens of the vocabulary each token of a term stands for, ``totals`` are
+    those of the corpus. All are written down, so that plans know their size and compute them once."""
 
-    They are written down: three posting tables are joined with them, by a plan that knows their size.
-    """
-    keyed = terms.select(
-        "query_id", "term_no", "n_toks", "tok_no", F.col("tok").alias("head"),
-        F.when(F.col("is_prefix"), F.length("tok")).otherwise(F.lit(0)).alias("cut"),
+    times: DataFrame
+    tokens: DataFrame
+    totals: Row
+
+
+def _asked(index: TextIndex, terms: DataFrame) -> _Asked:
+    parts = F.sort_array(F.collect_list(F.struct("tok_no", "tok", "is_prefix")))
+    whole = terms.groupBy("query_id", "term_no").agg(parts.alias("parts"))
+    name = F.array_join(F.transform("parts", lambda x: F.when(x["is_prefix"], F.concat(x["tok"], F.lit("*"))).otherwise(x["tok"])), " ")
+    named = stored(whole.select("query_id", name.alias("term"), "parts"), "search_terms")
+    times = stored(named.groupBy("query_id", "term").agg(F.count("*").alias("times")), "search_times")
+    return _Asked(times, _matched_tokens(named.groupBy("term").agg(F.first("parts").alias("parts")), index.vocabulary), index.totals.first())
+
+
+def _matched_tokens(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(term, n_toks, tok_no, tok)`` for the parts of each term, with the tokens of the vocabulary they stand for."""
+    keyed = terms.select("term", F.size("parts").alias("n_toks"), F.explode("parts").alias("p")).select(
+        "term", "n_toks", "p.tok_no", F.col("p.tok").alias("head"), F.when(F.col("p.is_prefix"), F.length("p.tok")).otherwise(F.lit(0)).alias("cut"),
     )
     cuts = keyed.agg(F.collect_set("cut")).scalar()
     head = F.when(F.col("cut") == 0, F.col("tok")).otherwise(F.substring(F.col("tok"), F.lit(1), F.col("cut")))
     heads = vocabulary.select("tok", F.explode(cuts).alias("cut")).filter(F.col("cut") <= F.length("tok")).withColumn("head", head)
-    return stored(heads.join(keyed, ["cut", "head"]).select("query_id", "term_no", "n_toks", "tok_no", "tok"), "search_tokens")
+    return stored(heads.join(keyed, ["cut", "head"]).select("term", "n_toks", "tok_no", "tok"), "search_tokens")
 
 
 def term_counts(posted: DataFrame, tokens: DataFrame, key) -> DataFrame:
-    """(query_id, term_no, row key, dl, f): occurrences of each term in each row that has it.
+    """(term, row key, dl, f): occurrences of each term in each row that has it.
 
     The tokens of a phrase are counted per place where it would begin, single tokens all together, in one pass.
     """
-    ids = ["query_id", "term_no", *key]
+    ids = ["term", *key]
     begins = F.when(F.col("n_toks") > 1, F.struct("col", (F.col("pos") - F.col("tok_no")).alias("pos")))
     hits = posted.join(tokens, "tok").select(*ids, "dl", "n_toks", begins.alias("begins"))
     places = hits.repartition(*ids).groupBy(*ids, "n_toks", "begins").agg(F.max("dl").alias("dl"), F.count("*").alias("n"))
@@ -274,64 +290,81 @@ def term_counts(posted: DataFrame, tokens: DataFrame, key) -> DataFrame:
     return found.groupBy(*ids).agg(F.max("dl").alias("dl"), F.sum(F.when(F.col("n_toks") == 1, F.col("n")).otherwise(F.lit(1))).alias("f"))
 
 
-def call_counts(index: TextIndex, tokens: DataFrame) -> DataFrame:
-    """Term counts of calls: those of the line, given to each of its calls, plus those of the name."""
-    shared = term_counts(index.line_postings, tokens, LINE_KEY)
-    spread = (
-        shared.join(index.call_lines.select("file", "line", "own"), list(LINE_KEY))
-        .select("query_id", "term_no", "file", "line", "f", "dl", F.posexplode("own").alias("no", "own"))
-        .select("query_id", "term_no", "file", "line", "no", (F.col("dl") + F.col("own")).alias("dl"), "f")
-    )
-    own = term_counts(index.name_postings, tokens, CALL_KEY)
-    return (
-        spread.unionByName(own)
-        .groupBy("query_id", "term_no", *CALL_KEY)
-        .agg(F.max("dl").alias("dl"), F.sum("f").alias("f"))
-    )
+def _weights(having: DataFrame, rows: int) -> DataFrame:
+    """``(term, idf)`` from ``(term, n)``, the rows that have a term."""
+    idf = F.ln((rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    return having.select("term", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("idf"))
 
 
-def _best(counts: DataFrame, rows: int, tokens: int, key, limit: int) -> DataFrame:
-    """First ``limit`` rows per query by BM25, smaller is better; ``rows`` and ``tokens`` are those of the corpus.
+def _part(f: Column, dl: Column, mean: float) -> Column:
+    """A term's part in the score of a row."""
+    f = f.cast("double")
+    return F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / mean))
 
-    Spark applies the group limit before the shuffle too, so a query that matches most rows still
-    sends only ``limit`` rows per task.
-    """
-    # Counting over dl and f keeps both columns in the plan: Spark then reuses the shuffle of ``counts``.
-    having = counts.groupBy("query_id", "term_no").agg(F.count(F.col("dl") + F.col("f")).alias("n"))
-    mean = tokens / max(rows, 1)
-    idf = F.ln((rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weights = having.select("query_id", "term_no", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("idf"))
-    f = F.col("f").cast("double")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / mean))
-    scored = (
-        counts.join(weights, ["query_id", "term_no"])
-        .groupBy("query_id", *key)
-        .agg(F.round(-F.sum(part), RANK_DIGITS).alias("rank"))
-    )
+
+def _placed(scored: DataFrame, key, limit: int) -> DataFrame:
+    """First ``limit`` rows per query by rank. Spark applies the group limit before the shuffle too, so a query that
+    matches most rows still sends only ``limit`` rows per task."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy("rank", *key))
     return scored.withColumn("place", place).filter(F.col("place") <= limit)
 
 
-def _symbols(index: TextIndex, tokens: DataFrame, totals: Row, limit: int) -> DataFrame:
-    counts = term_counts(index.symbol_postings, tokens, SYMBOL_KEY)
-    top = _best(counts, totals.symbol_rows, totals.symbol_tokens, SYMBOL_KEY, limit)
-    return index.symbols.join(top, list(SYMBOL_KEY))
+def _symbols(index: TextIndex, asked: _Asked, limit: int) -> DataFrame:
+    counts = term_counts(index.symbol_postings, asked.tokens, SYMBOL_KEY)
+    rows, mean = asked.totals.symbol_rows, asked.totals.symbol_tokens / max(asked.totals.symbol_rows, 1)
+    # Counting over dl and f keeps both columns in the plan: Spark then reuses the shuffle of ``counts``.
+    weights = _weights(counts.groupBy("term").agg(F.count(F.col("dl") + F.col("f")).alias("n")), rows)
+    parts = counts.join(weights, "term").select("term", *SYMBOL_KEY, _part(F.col("f"), F.col("dl"), mean).alias("part"))
+    scored = parts.join(asked.times, "term").groupBy("query_id", *SYMBOL_KEY).agg(F.round(-F.sum(F.col("times") * F.col("part")), RANK_DIGITS).alias("rank"))
+    return index.symbols.join(_placed(scored, SYMBOL_KEY, limit), list(SYMBOL_KEY))
+
 
+def _calls(index: TextIndex, asked: _Asked, limit: int) -> DataFrame:
+    """Calls by rank: those of few lines, as most lines are ruled out by bounds.
 
-def _calls(index: TextIndex, tokens: DataFrame, totals: Row, limit: int) -> DataFrame:
-    top = _best(call_counts(index, tokens), totals.call_rows, totals.call_tokens, CALL_KEY, limit)
-    found = index.call_lines.select("file", "line", "context", "refs").join(top, list(LINE_KEY))
-    return found.select("query_id", "file", "line", "no", "rank", "place", "context", F.get("refs", F.col("no"))["name"].alias("symbol_name"))
+    All calls of a line share its terms; a call's own name can only add to these, and its length differs by the length of
+    its name. So each line has a score that none of its calls is below, and one that none is above. Lines whose upper
+    bound is below the lower bounds of enough calls of the query are left out; the calls of the others are scored.
+    """
+    line = list(LINE_KEY)
+    rows, mean = asked.totals.call_rows, asked.totals.call_tokens / max(asked.totals.call_rows, 1)
+    names = stored(term_counts(index.name_postings, asked.tokens, CALL_KEY).select("term", *CALL_KEY, "f"), "search_names")
+    of_names = names.groupBy("term", *line).agg(F.max("f").alias("most"), F.count("*").alias("named")).withColumn("f", F.lit(0).cast("bigint"))
+    of_lines = term_counts(index.line_postings, asked.tokens, LINE_KEY).select("term", *line, "f", F.lit(0).cast("bigint").alias("most"), F.lit(0).cast("bigint").alias("named"))
+    both = of_lines.unionByName(of_names.select(*of_lines.columns)).groupBy("term", *line).agg(*[F.max(c).alias(c) for c in ("f", "most", "named")])
+    lengths = index.call_lines.select(*line, "dl", F.size("own").alias("calls"), F.array_min("own").alias("least"), F.array_max("own").alias("longest"))
+    met = stored(both.join(lengths, line), "search_lines")
+    weights = stored(_weights(met.groupBy("term").agg(F.sum(F.when(F.col("f") > 0, F.col("calls")).otherwise(F.col("named"))).alias("n")), rows), "search_weights")
+    low = _part(F.col("f"), F.col("dl") + F.col("longest"), mean)
+    high = _part(F.col("f") + F.col("most"), F.col("dl") + F.col("least"), mean)
+    parts = met.join(weights, "term").select("term", *line, "calls", low.alias("low"), high.alias("high")).join(asked.times, "term")
+    sure = F.sum(F.col("times") * F.col("low"))
+    bounded = stored(parts.groupBy("query_id", *line).agg(F.max("calls").alias("calls"), sure.alias("low"), F.sum(F.col("times") * F.col("high")).alias("high")), "search_bounds")
+    best = W.partitionBy("query_id").orderBy(F.desc("low"), *line)
+    first = bounded.filter("low > 0").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= limit)
+    reached = first.withColumn("sum", F.sum("calls").over(best.rowsBetween(W.unboundedPreceding, W.currentRow))).filter(F.col("sum") >= limit)
+    needed = reached.groupBy("query_id").agg(F.max("low").alias("needed"))
+    kept = bounded.join(needed, "query_id", "left").filter(F.col("needed").isNull() | (F.col("high") >= F.col("needed") - 10.0 ** (1 - RANK_DIGITS))).select("query_id", *line)
+    terms = met.join(weights, "term").join(asked.times, "term").select("query_id", "term", *line, "f", "idf", "times").join(kept, ["query_id", *line])
+    each = terms.join(index.call_lines.select(*line, "dl", "own"), line).select(
+        "query_id", "term", *line, "f", "idf", "times", "dl", F.posexplode("own").alias("no", "own")
+    )
+    own = names.withColumnRenamed("f", "own_f")
+    told = each.join(own, ["term", *CALL_KEY], "left").withColumn("f", F.col("f") + F.coalesce("own_f", F.lit(0))).filter("f > 0")
+    part = F.col("times") * _part(F.col("f"), F.col("dl") + F.col("own"), mean)
+    scored = told.groupBy("query_id", *CALL_KEY).agg(F.round(-F.sum(part), RANK_DIGITS).alias("rank"))
+    found = index.call_lines.select(*line, "context", "refs").join(_placed(scored, CALL_KEY, limit), line)
+    return found.select("query_id", *CALL_KEY, "rank", "place", "context", F.get("refs", F.col("no"))["name"].alias("symbol_name"))
 
 
 def search_symbols(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Best definitions per query; ties by file and position in the file."""
-    return _symbols(index, matched_tokens(terms, index.vocabulary), index.totals.first(), limit)
+    return _symbols(index, _asked(index, terms), limit)
 
 
 def search_calls(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Best call sites per query; ties by file, line and position in the line."""
-    return _calls(index, matched_tokens(terms, index.vocabulary), index.totals.first(), limit)
+    return _calls(index, _asked(index, terms), limit)
 
 
 def search(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -340,9 +373,8 @@ def search(index: TextIndex, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     A definition found directly keeps its rank and takes the context of its best call; one found
     through calls takes the rank of the best call. The limit holds for both passes and the result.
     """
-    tokens, totals = matched_tokens(terms, index.vocabulary), index.totals.first()
-    direct = _symbols(index, tokens, totals, limit)
-    calls = _calls(index, tokens, totals, limit)
+    asked = _asked(index, terms)
+    direct, calls = _symbols(index, asked, limit), _calls(index, asked, limit)
     called = calls.select(F.col("symbol_name").alias("name")).distinct()
     first_def = (
         index.symbols.join(called, "name", "left_semi")

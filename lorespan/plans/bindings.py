@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,25 +144,21 @@ def file_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per benchmark item: its three longest words."""
-    toks = F.array_distinct(text.index_tokens(F.col("text")))
-    keyed = F.array_sort(F.transform(toks, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_join(F.transform(F.slice(keyed, 1, 3), lambda x: x["t"]), " ").alias("query")
-    )
+    """One query per benchmark item: its whole text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names to resolve: first word of each benchmark item as it is, in capitals, without its first
-    letter, or made unknown."""
-    word = F.get(text.words(F.col("text")), 0)
+    """Names to resolve: every word of the benchmark texts, as it is, in capitals, without its first letter, or made
+    unknown, by its number, which is made of its MD5."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
+    numbered = words.select("word", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 15), 16, 10).cast("bigint").alias("request_id"))
+    kind = F.col("request_id") % 4
     variant = (
-        F.when(F.col("item_id") % 4 == 0, word)
-        .when(F.col("item_id") % 4 == 1, F.upper(word))
-        .when(F.col("item_id") % 4 == 2, F.substr(word, F.lit(2)))
-        .otherwise(F.concat(word, F.lit("zzq")))
-    )
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), variant.alias("name"))
+        F.when(kind == 0, F.col("word")).when(kind == 1, F.translate("word", string.ascii_lowercase, string.ascii_uppercase)).when(kind == 2, F.substr("word", F.lit(2)))
+        .otherwise(F.concat("word", F.lit("zzq")))
+    )
+    return numbered.select("request_id", variant.alias("name"))
 
 
 # Code made of the documents, a file each: languages by the text's language, a first line that imports, then a block of

@@ -91,9 +91,7 @@ ORACLE["postings"] = f"WITH {DEFS}, {SYM_TOKS} SELECT file, no, dl, col, pos, to
 
 EDGE = r"""[.,;:!?\"''()\[\]{}]"""
 ONE = f"queries AS (SELECT 0 AS query_id, {q(QUERY)} AS query)"
-BATCH = f"""queries AS (SELECT query_id, string_agg(t, ' ' ORDER BY length(t) DESC, t) AS query FROM (
-  SELECT query_id, t, row_number() OVER (PARTITION BY query_id ORDER BY length(t) DESC, t) AS r
-  FROM (SELECT DISTINCT item_id AS query_id, unnest({toks('text')}) AS t FROM benchmark)) WHERE r <= 3 GROUP BY query_id)"""
+BATCH = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 TERMS = f"""rawwords AS (SELECT query_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS term_no FROM (
    SELECT query_id, list_filter(list_transform(string_split_regex(query, '\\s+'), lambda w: lower(regexp_replace(regexp_replace(w, '^{EDGE}+', ''), '{EDGE}+$', ''))), lambda w: w <> '') AS ws FROM queries)),
 termlists AS (SELECT query_id, term_no, regexp_full_match(word, '[0-9]+') AS exact, {toks('word')} AS ts FROM rawwords),
@@ -103,8 +101,9 @@ terms2 AS (SELECT *, NOT exact AND tok_no = n_toks - 1 AS is_prefix FROM terms)"
 
 def counts(name: str, source: str, key: str) -> str:
     """Occurrences of every term in every row of a token table."""
-    return f"""{name}_hits AS (SELECT query_id, term_no, n_toks, {key}, dl, col, pos - tok_no AS start
-   FROM {source} s JOIN terms2 t ON (t.is_prefix AND starts_with(s.tok, t.tok)) OR (NOT t.is_prefix AND s.tok = t.tok)),
+    return f"""{name}_toks AS (SELECT DISTINCT tok FROM {source}),
+{name}_found AS (SELECT s.tok, query_id, term_no, n_toks, tok_no FROM {name}_toks s JOIN terms2 t ON (t.is_prefix AND starts_with(s.tok, t.tok)) OR (NOT t.is_prefix AND s.tok = t.tok)),
+{name}_hits AS (SELECT query_id, term_no, n_toks, {key}, dl, col, pos - tok_no AS start FROM {source} s JOIN {name}_found t USING (tok)),
 {name} AS (SELECT query_id, term_no, {key}, max(dl) AS dl, count(*) AS f FROM (
    SELECT query_id, term_no, {key}, col, start, max(dl) AS dl FROM {name}_hits GROUP BY query_id, term_no, {key}, col, start, n_toks HAVING count(*) = n_toks)
    GROUP BY query_id, term_no, {key})"""
@@ -158,8 +157,8 @@ ORACLE["hits_by_file"] = f"""WITH {CALLS}, {ONE}, {SEARCH_ALL} SELECT file, min(
  string_agg(name || ':' || start_line, ',' ORDER BY place) AS items FROM merged GROUP BY file"""
 
 # ---------------------------------------------------------------- resolve
-REQUESTS = f"""requests AS (SELECT item_id AS request_id, CASE item_id % 4 WHEN 0 THEN w WHEN 1 THEN upper(w) WHEN 2 THEN substr(w, 2) ELSE w || 'zzq' END AS name
- FROM (SELECT item_id, {words('text')}[1] AS w FROM benchmark))"""
+REQUESTS = f"""requests AS (SELECT request_id, CASE request_id % 4 WHEN 0 THEN w WHEN 1 THEN translate(w, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN substr(w, 2) ELSE w || 'zzq' END AS name
+ FROM (SELECT w, ('0x' || substr(md5(w), 1, 15))::BIGINT AS request_id FROM (SELECT DISTINCT unnest({words('text')}) AS w FROM benchmark)))"""
 LOWER = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TIERS = f"""names AS (SELECT DISTINCT name FROM defs),
 tiers AS (SELECT r.request_id, r.name AS asked, n.name, CASE WHEN n.name = r.name THEN 1 WHEN {LOWER('n.name')} LIKE {LOWER('r.name')} THEN 2 ELSE 3 END AS tier

@@ -13,6 +13,8 @@ from lorespan.functions import paths, text
 from lorespan.session import scratch_dir
 
 MAX_FILE_BYTES = 1_000_000
+#: A batch of files read goes on at so many bytes or files.
+BATCH_BYTES, BATCH_FILES = 16 << 20, 1000
 
 # Directory names never entered.
 IGNORED_DIRS = (
@@ -21,12 +23,19 @@ IGNORED_DIRS = (
 )
 
 
+def read_table(spark: SparkSession, path: str, parallelism: int | None = None) -> DataFrame:
+    """A stored table of files. Spark cuts a scan at row groups; a table of few and large ones is dealt out anew to
+    ``parallelism`` tasks, if asked for."""
+    rows = spark.read.parquet(path)
+    return rows if parallelism is None else rows.repartition(parallelism)
+
+
 def list_tree(spark: SparkSession, root: str, extra_ignore=()) -> DataFrame:
     """``(file, size)`` of all files below a folder of any store that ``pyarrow.fs`` opens, whatever their names.
 
     Folders are listed level by level, each folder by the task it falls to, so a tree of one long branch is as
     many small jobs as it is deep and a wide one is spread. Ignored folders and those with a leading dot are not
-    entered. ``file`` is relative to ``root``.
+    entered, nor are folders below the root that can't be listed. ``file`` is relative to ``root``.
     """
     skip = frozenset((*IGNORED_DIRS, *extra_ignore))
 
@@ -34,7 +43,12 @@ def list_tree(spark: SparkSession, root: str, extra_ignore=()) -> DataFrame:
         store, top = pafs.FileSystem.from_uri(root)
         for batch in batches:
             for folder in batch.column("file").to_pylist():
-                found = store.get_file_info(pafs.FileSelector(f"{top.rstrip('/')}/{folder}".rstrip("/"), recursive=False))
+                try:
+                    found = store.get_file_info(pafs.FileSelector(f"{top.rstrip('/')}/{folder}".rstrip("/"), recursive=False))
+                except OSError:
+                    if not folder:
+                        raise
+                    continue
                 kept = [x for x in found if x.type == pafs.FileType.File or x.type == pafs.FileType.Directory and not x.base_name.startswith(".") and x.base_name not in skip]
                 names = [f"{folder}/{x.base_name}".lstrip("/") for x in kept]
                 yield pa.record_batch(
@@ -62,6 +76,12 @@ def read_tree(spark: SparkSession, root: str, extra_ignore=(), max_bytes: int =
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = pafs.FileSystem.from_uri(root)
+        rows, held = [], 0
+
+        def filled() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.binary(), pa.int64(), pa.bool_())
+            return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "bytes", "size", "unreadable"])
+
         for batch in batches:
             for file, size in zip(batch.column("file").to_pylist(), batch.column("size").to_pylist(), strict=True):
                 data, failed = None, False
@@ -71,10 +91,13 @@ def read_tree(spark: SparkSession, root: str, extra_ignore=(), max_bytes: int =
                             data = stream.read()
                     except OSError:
                         failed = True
-                yield pa.record_batch(
-                    [pa.array([file]), pa.array([data], pa.binary()), pa.array([size], pa.int64()), pa.array([failed], pa.bool_())],
-                    names=["file", "bytes", "size", "unreadable"],
-                )
+                rows.append((file, data, size, failed))
+                held += len(data or b"")
+                if held >= BATCH_BYTES or len(rows) == BATCH_FILES:
+                    yield filled()
+                    rows, held = [], 0
+        if rows:
+            yield filled()
 
     return list_tree(spark, root, extra_ignore).repartition("file").mapInArrow(read, "file string, bytes binary, size long, unreadable boolean")
 

@@ -1,12 +1,14 @@
 """Carry helpers against plain windows, re-read states, deltas."""
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.functions import carry
-from lorespan.operators import ledger
+from lorespan.operators import economy, ledger
 
 
 def test_carry_equals_window_on_a_hot_group(spark):
@@ -46,6 +48,45 @@ def test_read_states(spark):
         assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame(READS, out.schema).collect()))
 
 
+def session_brute(rows):
+    """Turn, state and reference turn, read by read."""
+    out, turns, seen = [], {}, {}
+    for s, at, f, h in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        turn = turns[s] = turns.get(s, 0) + 1
+        last, ref = seen.get((s, f), (None, None))
+        state = "missing" if h is None else "full" if last is None else "unchanged" if h == last else "changed"
+        out.append((s, at, f, h, turn, state, ref if state in ("unchanged", "changed") else None))
+        if state in ("full", "changed"):
+            seen[s, f] = h, turn
+    return sorted(out, key=repr)
+
+
+def test_session_reads_of_one_hot_day(spark):
+    """A session of most rows, all on one day, lies on several stretches and is read as a whole."""
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), n, rng.choice("fgh") + str(rng.randrange(9)), rng.choice(["A", "B", "B", None])) for n in range(6000)]
+    df = spark.createDataFrame(rows, "session string, at bigint, file string, hash string").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = carry.in_places(df, ["session"], ["at"])
+        sizes = [r["count"] for r in placed.filter("session = 'hot'").groupBy(carry.PART).count().collect()]
+        assert len(sizes) >= 4 and max(sizes) < 2000
+        found = ledger.session_reads(df, "session", ["at"])
+        assert found.columns == [*df.columns, "turn", "state", "ref_turn"]
+        assert sorted(map(tuple, found.collect()), key=repr) == session_brute(rows)
+        saved = df.select("session", "at", F.length("file").cast("bigint").alias("saved"))
+        running = {(r.session, r.at): r.session_saved for r in economy.session_running_saved(saved, "session", ["at"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sums = {}
+    for s, at, f, _ in sorted(rows, key=lambda r: r[1]):
+        sums[s] = sums.get(s, 0) + len(f)
+        assert running[s, at] == sums[s]
+    assert ledger.session_reads(df.limit(0), "session", ["at"]).collect() == []
+
+
 def delta(spark, pairs):
     df = spark.createDataFrame(pairs, "k int, old string, new string")
     return ledger.line_delta(df, "k", "old", "new").collect()

@@ -105,7 +105,8 @@ def test_similarity(spark, monkeypatch):
     rng = np.random.default_rng(1)
     q, s = rng.normal(size=(7, 5)), rng.normal(size=(40, 5))
     s[3] = 0
-    monkeypatch.setattr(recall, "BLOCK", 2)  # several blocks
+    monkeypatch.setattr(recall, "QUERY_BLOCK", 2)  # several blocks
+    monkeypatch.setattr(recall, "STORED_BLOCK", 7)
     got = recall.similarities(
         vectors(spark, [(i, v.tolist()) for i, v in enumerate(q)], "query_id"), vectors(spark, [(i, v.tolist()) for i, v in enumerate(s)], "id")
     ).collect()
@@ -125,6 +126,66 @@ def test_threshold_and_ties(spark):
     assert [(r.id, r.accepted) for r in ranked] == [(9, True), (2, True), (5, True)]  # 0.40 is enough
 
 
+def test_nearest_per_query(spark, monkeypatch):
+    """The k nearest over all blocks, ties by id; vectors of another length and null ones take no part."""
+    monkeypatch.setattr(recall, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(recall, "STORED_BLOCK", 4)
+    rng = np.random.default_rng(2)
+    q, s = rng.integers(-2, 3, size=(8, 3)), rng.integers(-2, 3, size=(60, 3))
+    stored = vectors(spark, [(i, v.astype(float).tolist()) for i, v in enumerate(s)] + [(100, [1.0]), (101, None), (102, [])], "id").repartition(3)
+    asked = vectors(spark, [(i, v.astype(float).tolist()) for i, v in enumerate(q)] + [(50, None)], "query_id")
+    every = {}
+    for r in recall.similarities(asked, stored).collect():
+        every.setdefault(r.query_id, []).append((-r.similarity, r.id))
+    assert {i: len(x) for i, x in every.items()} == {i: 60 for i in range(8)}
+    got = {}
+    for r in recall.ranking(asked, stored, k=5).collect():
+        got.setdefault(r.query_id, []).append((-r.similarity, r.id))
+    assert got == {i: sorted(x)[:5] for i, x in every.items()}
+    best = {r.query_id: (-r.similarity, r.id) for r in recall.best_match(asked, stored, 0.5).collect()}
+    assert best == {i: min(x) for i, x in every.items() if min(x)[0] <= -0.5}
+    assert recall.best_match(asked.limit(0), stored).collect() == recall.best_match(asked, stored.limit(0)).collect() == []
+
+
+def test_hashed_words_are_placed_by_md5(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("Parse the parser, été",), (None,), ("",)], "t string")
+    got = [r.embedding for r in recall.hashed_embedding(df, "t", dim=32).collect()]
+    counts = np.zeros(32)
+    for word in ("parse", "the", "parser", "ete"):
+        digest = hashlib.md5(word.encode()).hexdigest()
+        counts[int(digest[:8], 16) % 32] += 1 if int(digest[8], 16) % 2 == 0 else -1
+    assert got[0] == pytest.approx(counts / np.sqrt(counts @ counts), abs=1e-6)
+    assert got[1] == got[2] == [0.0] * 32
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_a_log_is_read_in_ranges(spark, tmp_path, ends):
+    """Line numbers of logs that many tasks read equal those of the whole file; lines cross the ranges' ends."""
+    rng = np.random.default_rng(4)
+    logs = {}
+    for name, n in (("a", 9000), ("b", 40), ("empty", 0)):
+        (tmp_path / "p").mkdir(exist_ok=True)
+        logs[name] = ["" if x % 17 == 0 else f"{name} {i} " + "x" * int(x) for i, x in enumerate(rng.integers(0, 300, n))]
+        (tmp_path / "p" / f"{name}.jsonl").write_bytes("".join(line + ends for line in logs[name]).encode())
+    (tmp_path / "p" / "open.jsonl").write_bytes(f"one{ends}two".encode())
+    logs["open"] = ["one", "two"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        found = session_logs.read_logs(spark, str(tmp_path / "p"))
+        assert found.rdd.getNumPartitions() > 20
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in rows:
+        assert r.project == "p"
+        got.setdefault(r.session, {})[r.pos] = r.raw
+    assert got == {name: dict(enumerate(lines)) for name, lines in logs.items() if lines}
+    assert len(rows) == sum(map(len, logs.values()))
+
+
 def test_encoders_and_memory(spark, tmp_path):
     df = spark.createDataFrame([("s1", "fix the parser", ["a.py"], ["f"], "x"), ("s2", "", [], [], None)], "session string, task_text string, files_read array<string>, symbols_resolved array<string>, session_id string")
     hashed = recall.hashed_embedding(df, "task_text", dim=16)
