@@ -55,7 +55,7 @@ LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.10, 0.20
 MOST_LINKED = 0.4
 
-_TOKEN = re.compile(r"""<!--(?:>|->|.*?--!?>)|<!--.*\Z|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>""", re.S)
+_TOKEN = re.compile(r"""<!--(?:>|->|.*?--!?>)|<!--.*\Z|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?)*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>""", re.S)
 _OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -65,15 +65,15 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @dataclass(slots=True)
 class Block:
-    """Text of one block, characters of it inside links, and where it stands; ``marks`` are the elements around it
-    whose names (or a form) speak against them."""
+    """Text of one block, characters of it inside links, and where it stands; ``mark`` is the innermost element around
+    it whose names (or a form) speak against it, -1 if there is none."""
 
     text: str
     linked: int
     outside: bool
     region: int
     heading: bool
-    marks: tuple[int, ...] = ()
+    mark: int = -1
     title: bool = False
 
 
@@ -83,7 +83,7 @@ class _Open:
     outside: bool
     region: int
     link: bool
-    marks: tuple[int, ...] = ()
+    mark: int = -1
 
 
 def _place(tag: str, attributes: str, parent: _Open, regions: int, place: int) -> _Open:
@@ -106,30 +106,48 @@ def _place(tag: str, attributes: str, parent: _Open, regions: int, place: int) -
             marked = True
     if tag in MAIN_TAGS or names & MAIN_NAMES or "main" in names and "role" in attributes.lower():
         region = regions + 1
-    marks = () if tag == "main" else parent.marks
-    return _Open(tag, outside, region, parent.link or tag == "a", (*marks, place) if marked else marks)
+    mark = place if marked else -1 if tag == "main" else parent.mark
+    return _Open(tag, outside, region, parent.link or tag == "a", mark)
 
 
-def _settle(found: list[Block]) -> None:
-    """Marked blocks are outside, unless the marked element is a wrapper of the page: it holds most of the unlinked
-    text and either the title or all text that looks good, or it holds the title and an article."""
+def _settle(found: list[Block], around: dict[int, int]) -> None:
+    """Marked blocks are outside, unless every marked element around them is a wrapper of the page: it holds most of the
+    unlinked text and either the title or all text that looks good, or it holds the title and an article.
+
+    ``around`` gives the marked element around each one, -1 for none; inner ones have higher numbers. What an element
+    holds is summed up once, from the inner ones to the outer.
+    """
+    if not around:
+        return
     unlinked = [0 if b.outside else max(0, len(b.text.replace(" ", "")) - b.linked) for b in found]
-    held: dict[int, list[int]] = {}
-    for k, block in enumerate(found):
-        for mark in block.marks if not block.outside else ():
-            held.setdefault(mark, []).append(k)
     stop_words = knows_stop_words(found)
-    good = {k for k, b in enumerate(found) if not b.outside and not b.marks and first_pass(b, False, stop_words) == GOOD} if held else set()
-    void: set[int] = set()
-    for mark in sorted(held):
-        inside = held[mark]
-        most = 2 * sum(unlinked[k] for k in inside) > sum(unlinked)
-        title = any(found[k].title for k in inside)
-        if most and (title or not good) or title and any(found[k].region for k in inside):
-            void.add(mark)
-            good |= {k for k in inside if void.issuperset(found[k].marks) and first_pass(found[k], False, stop_words) == GOOD}
+    looks_good = lambda b: first_pass(b, False, stop_words) == GOOD
+    held = {mark: [0, False, False] for mark in around}  # unlinked text, a title, a region
+    directly: dict[int, list[Block]] = {}
+    good = False
+    for block, size in zip(found, unlinked, strict=True):
+        if block.outside:
+            continue
+        if block.mark < 0:
+            good = good or looks_good(block)
+            continue
+        directly.setdefault(block.mark, []).append(block)
+        sums = held[block.mark]
+        held[block.mark] = [sums[0] + size, sums[1] or block.title, sums[2] or bool(block.region)]
+    for mark in sorted(around, reverse=True):
+        outer, own = held.get(around[mark]), held[mark]
+        if outer:
+            held[around[mark]] = [outer[0] + own[0], outer[1] or own[1], outer[2] or own[2]]
+    total = sum(unlinked)
+    wrapper: dict[int, bool] = {-1: True}
+    for mark in sorted(around):
+        size, title, region = held[mark]
+        void = 2 * size > total and (title or not good) or title and region
+        wrapper[mark] = void and wrapper[around[mark]]
+        if void:
+            good = good or wrapper[mark] and any(map(looks_good, directly.get(mark, ())))
     for block in found:
-        block.outside = block.outside or not void.issuperset(block.marks)
+        block.outside = block.outside or not wrapper[block.mark]
 
 
 def blocks(page: str) -> list[Block]:
@@ -141,12 +159,14 @@ def blocks(page: str) -> list[Block]:
     linked = regions = 0
     # no tag ends after the last bracket; one that is open there is dropped
     heading, title, at, size, last, places = False, False, 0, len(page), page.rfind(">") + 1, 0
+    around: dict[int, int] = {}
+    closed: dict[str, re.Pattern] = {}
 
     def end_block() -> None:
         nonlocal linked, heading, title
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, linked, stack[-1].outside, stack[-1].region, heading, stack[-1].marks, title))
+            out.append(Block(text, linked, stack[-1].outside, stack[-1].region, heading, stack[-1].mark, title))
         pieces.clear()
         linked, heading, title = 0, False, False
 
@@ -195,15 +215,21 @@ def blocks(page: str) -> list[Block]:
             heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
             title = tag == "h1"
         if tag in RAW_TAGS:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else size
+            # drawings may close themselves; others do by mistake, and then have no end
+            if tag not in closed:
+                closed[tag] = re.compile(rf"</{tag}\b[^>]*>", re.I)
+            itself = (found[3] or "").endswith("/")
+            close = None if itself and tag in ("svg", "math") else closed[tag].search(page, at)
+            at = close.end() if close else at if itself else size
         elif tag not in VOID_TAGS and not (found[3] or "").endswith("/"):
             stack.append(_place(tag, found[3] or "", stack[-1], regions, places))
+            if stack[-1].mark == places:
+                around[places] = -1 if tag == "main" else stack[-2].mark
             places += 1
             opened[tag] += 1
             regions = max(regions, stack[-1].region)
     end_block()
-    _settle(out)
+    _settle(out, around)
     return out
 
 
@@ -299,5 +325,6 @@ def article_text(page: Column) -> Column:
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:
-    """``pages`` with the main text of each row; rows stay as they are, whatever their ids, nulls included."""
+    """``pages`` with the main text of each row; rows stay as they are, whatever their ids, nulls included. A column of the
+    name asked for, in any case, is replaced."""
     return pages.withColumn(name, article_text(F.col(html_col)))

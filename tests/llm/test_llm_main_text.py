@@ -1,4 +1,5 @@
 import html
+import random
 
 from lorespan.llm import html_text
 
@@ -74,3 +75,59 @@ def test_other_languages_and_code_in_pages_of_plain_divs():
     names = "Anna Kowalska, Jan Nowak, Piotr Zieliński, Maria Wójcik, Ewa Kamińska, Adam Lewandowski, Zofia Dąbrowska"
     text = html_text.main_text(f"<body>{menu}<div>{_PARAGRAPH}</div><pre>{code}</pre><div>{names}</div><div>{_PARAGRAPH}</div>{menu}</body>")
     assert code in text and names in text and "Kontakt" not in text
+
+
+def test_quotes_in_unquoted_values_and_elements_that_close_themselves():
+    three = f"<article><p>{LONG}</p><p><b title=don't lang=x>{SHORT}</b> it's</p><p>{MORE}</p></article>"
+    assert html_text.main_text(three) == "\n".join((LONG, f"{SHORT} it's", MORE))
+    for icon in ('<svg class="i"/>', "<svg viewBox='0 0 1 1'/>", "<math/>", '<iframe src="x"/>', "<svg><path d='x'/></svg>"):
+        assert html_text.main_text(f"<article><p>{icon}{SHORT}</p><p>{LONG}</p></article>") == f"{SHORT}\n{LONG}", icon
+    assert html_text.main_text(f"<article><p title = 'a > b' data-x=\"it's\">{SHORT}</p><p x='>{LONG}</p></article>") == f"{SHORT}\n{LONG}"
+
+
+def test_deeply_marked_pages_take_no_time():
+    import time
+
+    page = "".join(f"<div class=menu>word {n} " for n in range(5000))
+    start = time.perf_counter()
+    html_text.main_text(page)
+    html_text.main_text(page + f"<article><p>{LONG}</p></article>")
+    assert time.perf_counter() - start < 1
+
+
+def test_a_text_column_is_replaced(spark):
+    rows = spark.createDataFrame([(f"<article><p>{SHORT}</p>", "old")], "html string, text string")
+    found = html_text.extract(rows)
+    assert found.columns == ["html", "text"] and found.first().text == SHORT
+
+
+def by_hand(blocks):
+    """The two passes of the rules, from a list of (text, linked share, stop-word share) of one page without regions."""
+    labels = []
+    for text, linked, stops in blocks:
+        if linked > 0.4:
+            labels.append(0)
+        elif len(text) < 70:
+            labels.append(-1)
+        else:
+            labels.append(1 if stops >= 0.2 or stops >= 0.1 and len(text) >= 200 else -1)
+    out = []
+    for k, label in enumerate(labels):
+        near = sorted((abs(j - k), -x) for j, x in enumerate(labels) if x != -1)
+        out.append(label if label != -1 else -near[0][1] if near else 0)
+    return [text for (text, *_), label in zip(blocks, out, strict=True) if label == 1]
+
+
+def test_random_pages_equal_the_rules_by_hand():
+    rng = random.Random(4)
+    for _ in range(150):
+        blocks = []
+        for _ in range(rng.randrange(1, 25)):
+            kind, n = rng.randrange(5), rng.randrange(1, 60)
+            words = ["the" if rng.random() < (0, 0.05, 0.15, 0.3, 0.3)[kind] else rng.choice(["river", "stone", "cat", "lamp"]) for _ in range(n)]
+            text = " ".join(words)
+            blocks.append((text, float(kind == 4 and rng.random() < 0.5), sum(w == "the" for w in words) / n))
+        if not any(len(t) >= 70 and not linked and stops >= 0.1 for t, linked, stops in blocks):
+            continue  # another language by the rules
+        page = "<body>" + "".join(f"<p><a href=x>{t}</a></p>" if linked else f"<p>{t}</p>" for t, linked, _ in blocks) + "</body>"
+        assert html_text.main_text(page) == "\n".join(by_hand(blocks))
