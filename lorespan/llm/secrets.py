@@ -1,8 +1,9 @@
 """Secrets in texts, told apart by who else has them.
 
 Column expressions only. Candidates are found in each text; their hashes are counted over the whole corpus by
-distinct repositories and owners. A value that several owners have is an example that was copied around; a
-value of one owner looks live. Values of known form are always reported, others only if they look live.
+distinct repositories and owners. A value that several owners have, or that one owner has in many of its repositories,
+is an example that was copied around; a value of one owner in few of them looks live. Values of known form are always
+reported, others only if they look live.
 """
 
 from __future__ import annotations
@@ -17,30 +18,39 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "pem", "key")
-#: Values without a known form: private key blocks, and long runs that mix digits with letters of both cases.
-OTHER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/_-]{24,}={0,2}"
-#: A value with more owners than this is an example.
-MOST_OWNERS = 1
+#: Values without a known form: private key blocks, to their end or as far as their lines go, and long runs that mix
+#: digits with letters of both cases.
+HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+OTHER = HEAD + r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{16,})*+)|[A-Za-z0-9+/_-]{24,}={0,2}"
+#: A value with more owners than this is an example, and one that its owner has in more repositories than this share of
+#: its own, if these are more than a few.
+MOST_OWNERS, MOST_SHARE, FEW = 1, 0.05, 2
+#: Matches whose places are added up together.
+BLOCK = 64
 
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,hash:string>"
 
 
+def _running(lengths: Column, start: Column) -> Column:
+    """Sums of an array up to each element, and ``start``."""
+    zero = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(lengths, zero, lambda done, n: F.struct((done["at"] + n).alias("at"), F.array_append(done["out"], done["at"] + n).alias("out")), lambda done: done["out"])
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Array of ``(start, end, value)`` in code points of the leftmost matches that do not overlap.
 
-    Texts between matches and matches alternate, so their lengths add up to places.
+    Texts between matches and matches alternate, so their lengths add up to places: within blocks of ``BLOCK`` first,
+    then over blocks, as an array that grows by one is copied each time.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values)).alias("gap"), values.alias("value"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"))
-
-    def step(done: Column, pair: Column) -> Column:
-        first = done["at"] + F.length(pair["gap"])
-        end = first + F.length(pair["value"])
-        span = F.struct(first.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(done["out"], span).alias("out"))
-
-    found = F.aggregate(pairs, start, step, lambda done: done["out"])
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
+    pairs = F.zip_with(gaps, values, lambda gap, value: F.struct((F.length(gap) + F.length(value)).cast("bigint").alias("both"), value.alias("value")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda n: F.slice(pairs, n * BLOCK + 1, F.lit(BLOCK)))
+    totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0).cast("bigint"), lambda done, x: done + x["both"]))
+    before = F.concat(F.array(F.lit(0).cast("bigint")), _running(totals, F.lit(0).cast("bigint")))
+    ends = F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda block, start: _running(F.transform(block, lambda x: x["both"]), start)))
+    found = F.zip_with(ends, values, lambda end, value: F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
 
 
@@ -64,34 +74,41 @@ def base_spans(text: Column) -> Column:
 
 
 def other_spans(text: Column, base: Column) -> Column:
-    """Spans of values without a known form that touch no known one."""
+    """Spans of values without a known form that touch no known one, and of private key blocks, which may hold some.
+
+    A private key is known by its body: the same head stands before different keys.
+    """
     found = _matches(F.coalesce(text, F.lit("")), OTHER)
     pem = lambda m: m["value"].startswith("-----")
     mixed = lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[a-z]") & m["value"].rlike("[A-Z]")
     apart = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    kept = F.filter(found, lambda m: (pem(m) | mixed(m)) & apart(m))
-    return F.transform(kept, lambda m: _spans(m, F.when(pem(m), 3).otherwise(4), F.when(pem(m), F.lit("pem")).otherwise(F.lit("key")), m["value"]))
+    kept = F.filter(found, lambda m: pem(m) | mixed(m) & apart(m))
+    body = lambda m: F.regexp_replace(F.regexp_replace(m["value"], f"{HEAD}|-----END [A-Z ]*PRIVATE KEY-----", ""), r"\s+", "")
+    return F.transform(kept, lambda m: _spans(m, F.when(pem(m), 3).otherwise(4), F.when(pem(m), F.lit("pem")).otherwise(F.lit("key")), F.when(pem(m), body(m)).otherwise(m["value"])))
 
 
-def ownership(candidates: DataFrame) -> DataFrame:
-    """``(hash, owners, repositories)`` from ``(hash, owner, repository)``; null owners and repositories are one each.
+def ownership(candidates: DataFrame, owners: DataFrame) -> DataFrame:
+    """``(hash, owners, repositories, owned)`` from ``(hash, owner, repository)``; null owners and repositories are one each.
+    ``owned`` are all repositories of the owner, the most if there are several, from ``owners`` (owner, owned).
 
     Counted in three steps, each combined before it moves, so a value that a third of all rows hold is no
     more than a row per owner where it is counted last.
     """
     uses = candidates.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("used"))
-    owned = uses.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    return owned.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    used = uses.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
+    sized = used.join(owners.withColumnRenamed("owner", "of"), F.col("owner").eqNullSafe(F.col("of")))
+    return sized.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.max("owned").alias("owned"))
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", repository_col: str = "doc_id", text_col: str = "text", most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", repository_col: str = "doc_id", text_col: str = "text", most_owners: int = MOST_OWNERS, most_share: float = MOST_SHARE, few: int = FEW) -> DataFrame:
     """Per row: id, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_live``, ``n_examples``.
 
-    ``spans`` holds the base spans and those others that look live. Null and empty texts have none; rows with
+    ``spans`` holds the base spans and those others that look live: of at most ``most_owners`` owners, and in at most
+    ``most_share`` of the owner's repositories or ``few`` of them. Null and empty texts have none; rows with
     null or repeated ids, and repeated rows, come back as often as they were given.
     """
     read = docs.select(F.col(id_col).alias("id"), F.col(owner_col).alias("owner"), F.col(repository_col).alias("repository"), F.col(text_col).alias("text"))
@@ -102,9 +119,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", rep
     found = stored(found.select("id", "owner", "repository", "base", "other", key.alias("key")), "secret_candidates")
     hits = found.filter("key is not null")
     hashes = F.array_distinct(F.transform(F.concat("base", "other"), lambda s: s["hash"]))
-    owners = ownership(hits.select("owner", "repository", F.explode(hashes).alias("hash")))
+    owned = found.groupBy("owner", "repository").agg(F.lit(1).alias("one")).groupBy("owner").agg(F.count(F.lit(1)).alias("owned"))
+    owners = ownership(hits.select("owner", "repository", F.explode(hashes).alias("hash")), owned)
     texts = hits.groupBy("key").agg(F.first(F.concat("base", "other")).alias("spans")).select("key", F.explode("spans").alias("span"))
-    judged = texts.withColumn("hash", F.col("span.hash")).join(owners, "hash").withColumn("live", F.col("owners") <= most_owners)
+    judged = texts.withColumn("hash", F.col("span.hash")).join(owners, "hash").withColumn(
+        "live", (F.col("owners") <= most_owners) & (F.col("repositories") <= F.greatest(F.lit(float(few)), F.col("owned") * most_share))
+    )
     judged = judged.groupBy("key").agg(
         F.collect_list(F.when(F.col("live") | (F.col("span.rank") < 3), F.col("span"))).alias("spans"),
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_examples"),
