@@ -73,7 +73,8 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     found = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text) if "." in text else ():
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            # digits without leading zeros, as long numbers are no integers of Python's
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
                 found.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12:
