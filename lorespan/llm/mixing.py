@@ -183,11 +183,12 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself in the columns of ``docs``: a row as often as it is taken, rows not taken are left out.
 
-    The repeats of rows that are equal in id, source and text are dealt to one of them.
+    The repeats of rows that are equal in id, source and text are dealt to one of them. Texts without words are not in
+    the mix. Null ids and sources are values like others; an empty table has an empty mix.
     """
     key = fresh(docs, "row_key")
     of = lambda i, t: F.concat_ws(":", F.hex(F.xxhash64(i, t)), F.hex(t))
-    chosen = mix(docs, id_col, source_col, text_col, **options).filter("repeats > 0")
+    chosen = mix(docs, id_col, source_col, text_col, **options).filter("repeats > 0 AND size > 0")
     source = F.xxhash64(F.col(source_col), F.lit(1))
     takes = chosen.select(F.concat_ws(":", of(F.col(id_col), F.col("row_hash")), F.hex(source)).alias(key), F.col("repeats").alias(fresh(docs, "repeats")))
     repeats = takes.columns[1]

@@ -97,3 +97,9 @@ def test_source_of_a_few_very_long_documents(spark):
     # 1.5 times 1,200,000 words are 1,800,000: one whole pass and the nearer of one and two more documents
     taken = sorted(r.taken for r in mixing.mixed_rows(docs).collect())
     assert abs(sum(taken) - 1_800_000) == 200_000 and max(taken) <= 800_000
+
+
+def test_texts_without_words_are_not_in_the_mix(spark):
+    rows = [(n, None if n % 5 == 0 else "" if n % 5 == 1 else " \n" if n % 5 == 2 else f"some words {n}", f"s{n % 2}") for n in range(25)]
+    taken = mixing.mixed_documents(documents(spark, rows)).collect()
+    assert taken and all(r.text and r.text.strip() for r in taken)
