@@ -2,16 +2,16 @@
 
 A document's fingerprint is the bitwise majority over the XXH64 hashes of its word shingles. Equal
 fingerprints are one class before anything is compared, so exact copies cost one row. Classes meet in
-buckets of equal key bits; in a bucket, bit planes are stored vertically (one bit per member), the distances
-of many members are updated at once by carry-save counters, and a block is abandoned once all its counters
-exceed the radius. A bucket emits a spanning forest of its links, never its pairs. Groups are the connected
-components of those links.
+buckets of equal key bits; bit planes are stored vertically (one bit per member), the distances of many members
+are updated at once by carry-save counters, and a block is abandoned once all its counters exceed the radius. Small
+buckets share the words of one set of planes. A bucket emits a spanning forest of its links, never its pairs. Groups
+are the connected components of those links.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +22,15 @@ from pyspark.sql import types as T
 
 from lorespan.llm.common import fresh, space_words, stored
 
-Pairs = Callable[[np.ndarray, int], Iterator[tuple[int, int]]]
-
 SEED = 42
 #: Members of a bucket that are compared with each other in one task; larger buckets go by masked keys.
 BUCKET_LIMIT = 8192
-#: Buckets of up to this many members are compared pair by pair, without planes.
-PAIRWISE = 24
+#: Members of small buckets that go through the counters at a time.
+MEMBERS = 4096
 #: Hashes turned into bits at a time.
 CHUNK = 1 << 15
 #: Texts whose hashes a worker holds at a time.
 SLICE = 128
-#: Sets looked at for common shingles, and how many of these are remembered; the order of shingles alone depends on it.
-SAMPLE_SETS, MOST_COMMON = 8192, 1 << 17
 
 
 def _hashes(words: list[bytes], shingle: int) -> list[int]:
@@ -60,14 +56,6 @@ def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(majority).view(np.uint64).ravel()
 
 
-def _mix(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The n-th further hash made of a hash (a splitmix step)."""
-    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (n + 1)) % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp)`` per row; fp is the 64-bit fingerprint as a signed long.
 
@@ -89,108 +77,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8) -> DataFrame:
-    """``(id, node, n, shingles, w0, w1, ...)``: the sorted hashes of a text's distinct shingles, a hash and the size
-    of that set, and a fingerprint of ``64 * words`` bits over it.
-
-    Nulls, empty texts and ids as in ``fingerprints``; a text without words has the empty set.
-    """
-    names = [f"w{k}" for k in range(words)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                texts = batch.column(1).slice(start, SLICE).to_pylist()
-                sets = [np.unique(np.array(_hashes(space_words(t), shingle), dtype=np.uint64)) for t in texts]
-                sizes = np.array([len(h) for h in sets], dtype=np.int64)
-                flat = np.concatenate(sets)
-                nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype=np.uint64).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat.view(np.int64)))
-                prints = [pa.array(_majority(_mix(flat, k), sizes).view(np.int64)) for k in range(words)]
-                yield pa.record_batch([batch.column(0).slice(start, SLICE), pa.array(nodes), pa.array(sizes), lists, *prints], names=[id_col, "node", "n", "shingles", *names])
-
-    fields = [("node", T.LongType()), ("n", T.LongType()), ("shingles", T.ArrayType(T.LongType())), *((n, T.LongType()) for n in names)]
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(*f) for f in fields)])
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
-
-
-def _common(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample of the sets, sorted, and their counts: a hint for the order in
-    ``prefixes``, which is right with any. Its size does not grow with the corpus."""
-    part = int((1 << 20) * min(1.0, SAMPLE_SETS / max(rows, 1)))
-    sample = sets.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < part).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    counts = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    found = counts.orderBy(F.col("n").desc(), "shingle").limit(MOST_COMMON).toArrow()
-    shingles = found.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], found.column("n").to_numpy()[order]
-
-
-def prefixes(sets: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``(key, node)``: of each set the first shingles in an order that all sets share, rare ones before common ones.
-
-    Of n shingles these are ``n - ceil(0.8 n) + 1``, so two sets of similarity 0.8 or more always share one: if
-    they did not, the one whose prefix ends first would miss more than it may. A task gives equal sets once.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            keys, nodes = [np.zeros(0, dtype=np.uint64)], []
-            lists = batch.column(1)
-            flat, edges = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-            for k, node in enumerate(batch.column(0).to_pylist()):
-                of = flat[edges[k] : edges[k + 1]]
-                if node in seen or not len(of):
-                    continue
-                seen.add(node)
-                size = len(of) + 1 - -(-len(of) * 4 // 5)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, of), len(common) - 1)
-                    of = of[np.argsort(np.where(common[at] == of, counts[at], 0), kind="stable")]
-                keys.append(of[:size])
-                nodes.append(np.full(size, node, dtype=np.int64))
-            if nodes:
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-
-    return sets.select("node", "shingles").mapInArrow(run, "key long, node long")
-
-
-def shared_keys(postings: DataFrame) -> DataFrame:
-    """``(key, node)`` of keys that several nodes have; keys of the same nodes become one key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ended(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]
-            keys, nodes = keys[new], nodes[new]
-            firsts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            ends = np.r_[firsts[1:], len(keys)]
-            out: dict[int, np.ndarray] = {}
-            for a, b in zip(firsts[ends - firsts > 1].tolist(), ends[ends - firsts > 1].tolist(), strict=True):
-                out.setdefault(xxhash.xxh64_intdigest(nodes[a:b].tobytes(), SEED), nodes[a:b])
-            names = np.array(list(out), dtype=np.uint64).view(np.int64)
-            sizes = [len(n) for n in out.values()]
-            return pa.record_batch([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *out.values()]))], names=["key", "node"])
-
-        held: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
-        for batch in batches:
-            rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-            # the last key may go on in the next batch
-            done = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
-            if len(rows) and (done or len(held[-1]) and held[-1][-1, 0] != rows[-1, 0]):
-                whole = np.concatenate([*held, rows[:done]])
-                if len(whole):
-                    yield ended(np.ascontiguousarray(whole[:, 0]), np.ascontiguousarray(whole[:, 1]))
-                held = [rows[done:]]
-            elif len(rows):
-                held.append(rows)
-        whole = np.concatenate(held)
-        if len(whole):
-            yield ended(np.ascontiguousarray(whole[:, 0]), np.ascontiguousarray(whole[:, 1]))
-
-    return postings.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long").distinct()
-
-
 def pigeonhole_keys(fp: Column, radius: int) -> Column:
     """Array of keys: fingerprints within ``radius`` bits share at least one.
 
@@ -317,27 +203,54 @@ class Planes:
                     yield from ((int(a), int(b)) for b in new)
 
 
-def _bucket_links(words: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    n = len(words)
-    if n > PAIRWISE:
-        yield from Planes(words, radius).forest()
-        return
-    a, b = np.triu_indices(n, 1)
-    near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= radius
-    yield from _forest(n, zip(a[near].tolist(), b[near].tolist(), strict=True))
+def _slots(sizes: np.ndarray) -> np.ndarray:
+    """Places for buckets of at most 64 members, one after the other, none across a multiple of 64."""
+    firsts, at = [], 0
+    for size in sizes.tolist():
+        if at % 64 + size > 64:
+            at += 64 - at % 64
+        firsts.append(at)
+        at += size
+    return np.array(firsts, dtype=np.int64)
+
 
+def small_bucket_links(words: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Links of many buckets of at most 64 members, which lie one after the other in ``words``.
 
-def _open_pairs(words: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket within the radius whose roots differ and whose sizes allow a similarity of 0.8; the last
-    two columns are size and root."""
-    prints, sizes, roots = words[:, :-2], words[:, -2].astype(np.int64), words[:, -1]
-    if (roots == roots[0]).all():
-        return
-    for a in range(len(words) - 1):
-        b = np.flatnonzero(roots[a + 1 :] != roots[a]) + a + 1
-        b = b[5 * np.minimum(sizes[a], sizes[b]) >= 4 * np.maximum(sizes[a], sizes[b])]
-        near = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= radius
-        yield from ((a, int(x)) for x in b[near])
+    Buckets share the words of the planes: each member meets the one word in which its bucket lies, and all members of a
+    block go through the counters at once. A block whose members are all beyond the radius of their mates is abandoned.
+    """
+    firsts = np.r_[0, np.cumsum(sizes)[:-1]]
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+    shift = np.repeat(_slots(sizes) - firsts, sizes)
+    slots = np.arange(len(words)) + shift
+    flat = np.zeros((bits.shape[1], int(slots[-1]) // 64 * 64 + 64), dtype=np.uint8)
+    flat[:, slots] = bits.T
+    planes = np.packbits(flat, axis=1, bitorder="little").view(np.uint64)
+    low = np.repeat((_slots(sizes) % 64).astype(np.uint64), sizes)
+    size = np.repeat(sizes.astype(np.uint64), sizes)
+    # the bits after the own one: each pair is met once
+    after = low + size - np.uint64(1) - (slots % 64).astype(np.uint64)
+    mates = np.where(after > 0, (~np.uint64(0) >> (np.uint64(64) - np.maximum(after, np.uint64(1)))), np.uint64(0))
+    mates = np.where(after > 0, mates << ((slots % 64).astype(np.uint64) + np.uint64(1)) % np.uint64(64), np.uint64(0))
+    found: list[tuple[int, int]] = []
+    for start in range(0, len(words), MEMBERS):
+        part = slice(start, start + MEMBERS)
+        word, wanted, real = slots[part] // 64, np.uint64(0) - bits[part].astype(np.uint64), mates[part]
+        counters = _Counters((len(word),), radius)
+        for p in range(len(planes)):
+            counters.add(planes[p][word] ^ wanted[:, p])
+            if p % 16 == 15 and not (~counters.beyond() & real).any():
+                break
+        else:
+            near = counters.within() & real
+            for a in np.flatnonzero(near).tolist():
+                row, base = int(near[a]), start + a - int(slots[start + a] % 64)
+                while row:
+                    lowest = row & -row
+                    found.append((start + a, base + lowest.bit_length() - 1))
+                    row ^= lowest
+    yield from _forest(len(words), found)
 
 
 def links(classes: DataFrame, node: str, keys: Column, compare: list[str], radius: int) -> DataFrame:
@@ -348,19 +261,15 @@ def links(classes: DataFrame, node: str, keys: Column, compare: list[str], radiu
     """
     keyed = classes.select(F.col(node).alias("node"), *compare, F.explode(keys).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return _met(stored(keyed.join(sizes, "key"), "simhash_buckets"), compare, radius)
-
-
-def _met(shared: DataFrame, compare: list[str], radius: int, pairs: Pairs = _bucket_links) -> DataFrame:
-    """``(a, b)`` of ``pairs`` in the buckets of ``(key, node, members)`` and the compared columns."""
+    shared = stored(keyed.join(sizes, "key"), "simhash_buckets")
     most = shared.agg(F.max("members")).first()[0] or 0
-    linked = _linked(shared.filter(F.col("members") <= BUCKET_LIMIT).select("key", "node", *compare), shared.schema["node"].dataType, compare, radius, pairs)
+    linked = _linked(shared.filter(F.col("members") <= BUCKET_LIMIT).select("key", "node", *compare), shared.schema["node"].dataType, compare, radius)
     if most > BUCKET_LIMIT:
-        linked = linked.union(_split_hot(shared.filter(F.col("members") > BUCKET_LIMIT).select("key", "node", *compare), compare, radius, pairs))
+        linked = linked.union(_split_hot(shared.filter(F.col("members") > BUCKET_LIMIT).select("key", "node", *compare), compare, radius))
     return linked.distinct()
 
 
-def _split_hot(rows: DataFrame, compare: list[str], radius: int, found: Pairs = _bucket_links) -> DataFrame:
+def _split_hot(rows: DataFrame, compare: list[str], radius: int) -> DataFrame:
     """Links in oversized buckets, exact: blocks of members meet block by block, each pair of blocks one bucket.
 
     A block is a hash slice of the bucket; a pair of blocks holds at most about ``BUCKET_LIMIT`` members.
@@ -370,16 +279,27 @@ def _split_hot(rows: DataFrame, compare: list[str], radius: int, found: Pairs =
     pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     pairs = pairs.select(F.xxhash64("key", low, high).alias("key"), "node", *compare)
-    return _linked(pairs, rows.schema["node"].dataType, compare, radius, found)
+    return _linked(pairs, rows.schema["node"].dataType, compare, radius)
+
 
+def _bucket_links(words: np.ndarray, firsts: list[int], radius: int) -> Iterator[tuple[int, int]]:
+    """Links of the buckets that begin at ``firsts``, the last of which is the end; members of a bucket are together."""
+    small = []
+    for a, b in itertools.pairwise(firsts):
+        if b - a > 64:
+            yield from ((a + x, a + y) for x, y in Planes(words[a:b], radius).forest())
+        elif b - a > 1:
+            small.append((a, b))
+    if small:
+        rows = np.concatenate([np.arange(a, b) for a, b in small])
+        yield from ((int(rows[x]), int(rows[y])) for x, y in small_bucket_links(words[rows], np.array([b - a for a, b in small]), radius))
 
-def _linked(rows: DataFrame, node_type: T.DataType, compare: list[str], radius: int, pairs: Pairs = _bucket_links) -> DataFrame:
+
+def _linked(rows: DataFrame, node_type: T.DataType, compare: list[str], radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ended(keys: np.ndarray, nodes: pa.Array, words: np.ndarray) -> pa.RecordBatch:
-            edges, firsts = [], [*np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist(), len(keys)] if len(keys) else [0]
-            for a, b in itertools.pairwise(firsts):
-                if b - a > 1:
-                    edges += [(a + x, a + y) for x, y in pairs(words[a:b], radius)]
+            firsts = [*np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist(), len(keys)] if len(keys) else [0]
+            edges = list(_bucket_links(words, firsts, radius))
             left, right = (pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1))
             return pa.record_batch([nodes.take(left), nodes.take(right)], names=["a", "b"])
 
@@ -445,53 +365,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``(a, b)`` whose sets of ``(node, shingles)`` have a similarity of 0.8 or more, in whole numbers."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash_sets")
-    left, right = (wanted.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    near = shared * 9 >= (F.size("a_set") + F.size("b_set")) * 4
-    return stored(pairs.join(left, "a").join(right, "b").filter(near).select("a", "b"), "simhash_links")
-
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """Rows of ``docs`` in all their columns, one of each component of ``near_duplicates``: the smallest id, nulls last.
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity_bits: int = 88, loose_bits: int = 160) -> DataFrame:
-    """``(id, group_id)`` per row: groups of texts that link at a similarity of 0.8 or more of their sets of distinct
-    shingles (shared shingles over all).
-
-    Candidates share a shingle of their prefixes, which loses no pair. First a forest of each bucket's links
-    within ``similarity_bits`` of 512 is verified by the sets themselves; then all pairs of a bucket that
-    these did not connect, with fingerprints within ``loose_bits`` (a pair of 0.8 lies at about 78, nine standard
-    deviations below; one of 4 and 5 shingles at 96). Groups are components of verified links only. Rows without any words are
-    one group. Null and repeated ids and repeated rows come back as often as they were given.
-    """
-    words = [f"w{k}" for k in range(8)]
-    prints = stored(shingle_sets(docs, id_col, text_col, shingle), "simhash")
-    sets = prints.select("node", "shingles")
-    classes = stored(prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *words))), "simhash_classes")
-    buckets = stored(shared_keys(prefixes(sets, *_common(sets, prints.count()))), "simhash_keys")
-    members = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    shared = stored(buckets.join(members, "key").join(classes, "node"), "simhash_buckets")
-    ordered = lambda found: found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = stored(ordered(_met(shared, words, similarity_bits)), "simhash_forest")
-    linked = _verified(first, sets)
-    roots = components(linked)
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = ordered(_met(stored(rooted, "simhash_open"), [*words, "n", "root"], loose_bits, _open_pairs))
-    linked = linked.union(_verified(stored(rest.join(first, ["a", "b"], "left_anti"), "simhash_pairs"), sets))
-    found = components(linked)
-    return prints.select(id_col, "node").join(found, "node", "left").select(id_col, F.coalesce("root", "node").alias("group_id"))
-
-
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` in all their columns, one of each near-duplicate group: the smallest id, nulls last.
-
-    Ties of an id go by a hash of the row's text; of rows equal in both any one stays. An empty table stays empty.
+    Ties of an id go by a hash of the row's text; of rows equal in both any one stays. Texts without words are one
+    group. An empty table stays empty.
     """
-    row = fresh(docs, "row")
-    keyed = docs.withColumn(row, F.concat_ws(":", *(F.hex(F.xxhash64(F.lit(n), id_col, text_col)) for n in (1, 2))))
-    parts = keyed.select(F.struct(F.col(row).alias("row"), F.col(id_col).alias("id")).alias("id"), F.col(text_col).alias("text"))
-    groups = near_duplicate_groups(parts, "id", "text")
-    first = groups.groupBy("group_id").agg(F.min(F.struct(F.col("id.id").isNull(), F.col("id.id"), F.col("id.row"))).alias("least"))
-    keep = stored(first.select(F.col("least.row").alias(row)), "simhash_kept")
-    return keyed.join(keep, row).dropDuplicates([row]).select(*(keyed[f"`{c}`"] for c in docs.columns))
+    row = [fresh(docs, name) for name in ("row_a", "row_b")]
+    keyed = docs.withColumns({c: F.xxhash64(F.lit(n), id_col, text_col) for n, c in enumerate(row)})
+    name = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), *(F.col(c).alias(f"r{n}") for n, c in enumerate(row)))
+    found = near_duplicates(keyed.select(name.alias("name"), F.col(text_col).alias("text")), "name", "text", shingle, radius)
+    first = found.filter(F.col("name") == F.col("component_id")).select(*(F.col(f"name.r{n}").alias(c) for n, c in enumerate(row))).distinct()
+    kept = keyed.join(stored(first, "simhash_kept"), row).dropDuplicates(row)
+    return kept.select(*(kept[f"`{c}`"] for c in docs.columns))

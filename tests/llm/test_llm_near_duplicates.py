@@ -112,64 +112,84 @@ def test_unlike_texts_stay(spark):
     assert simhash.one_of_each_group(documents(spark, rows)).count() == 60
 
 
-def shingles(text, n=5):
-    words = text.lower().split()
-    return {" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
-
-
-def similarity_groups(texts):
-    """Groups by the exact similarity of distinct five-word shingles, pair by pair."""
-    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+@pytest.mark.parametrize("radius", [0, 2, 9])
+def test_small_buckets_through_shared_planes(radius):
+    """Buckets of 1 to 64 members in one set of planes give the links of their pairs, and none across buckets."""
+    rng = np.random.default_rng(radius)
+    sizes = rng.integers(1, 65, 300)
+    words = rng.integers(0, 2**63, size=(5, 1), dtype=np.uint64)[rng.integers(0, 5, sizes.sum())]
+    for k in range(len(words)):
+        for bit in rng.integers(0, 64, rng.integers(0, radius + 3)):
+            words[k, 0] ^= np.uint64(1 << int(bit))
+    edges = list(simhash.small_bucket_links(words, sizes, radius))
+    at = 0
+    for size in sizes.tolist():
+        own = [(a - at, b - at) for a, b in edges if at <= a < at + size]
+        assert all(0 <= a < size and 0 <= b < size for a, b in own)
+        near = np.bitwise_count(words[at : at + size] ^ words[None, at : at + size, 0]) <= radius
+        assert all(near[a, b] for a, b in own)
+        assert groups_of(size, own) == groups_of(size, np.argwhere(near).tolist())
+        at += size
+
+
+def groups_of(n, links):
+    root = list(range(n))
 
     def top(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        both = len(sets[a] & sets[b])
-        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
-            root[max(top(a), top(b))] = min(top(a), top(b))
-    groups = {}
-    for k in range(len(texts)):
-        groups.setdefault(top(k), []).append(k)
-    return sorted(groups.values())
-
-
-def found_groups(spark, texts):
-    found = {}
-    for r in simhash.near_duplicate_groups(documents(spark, [(k, t, "s0") for k, t in enumerate(texts)])).collect():
-        found.setdefault(r.group_id, []).append(r.doc_id)
-    return sorted(map(sorted, found.values()))
+    for a, b in links:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(x) for x in range(n)]
+
+
+def test_every_link_comes_through_the_counters_and_far_blocks_are_abandoned(spark, monkeypatch):
+    added = []
+    plain = simhash._Counters.add
+
+    def add(self, x, k=0):
+        added.append(len(x))
+        return plain(self, x, k)
+
+    monkeypatch.setattr(simhash._Counters, "add", add)
+    far = np.array([[0], [(1 << 64) - 1]], dtype=np.uint64)
+    assert list(simhash.small_bucket_links(far, np.array([2]), 2)) == []
+    assert len(added) == 16  # given up after the first sixteen planes
+    added.clear()
+    assert list(simhash.small_bucket_links(np.array([[5], [7]], dtype=np.uint64), np.array([2]), 2)) == [(0, 1)]
+    assert len(added) == 64
+    added.clear()
+    wide = np.zeros((200, 1), dtype=np.uint64)
+    wide[1:, 0] = np.uint64((1 << 64) - 1)
+    assert len(list(simhash._bucket_links(wide, [0, 200], 2))) == 198 and added
+
+
+def test_a_component_across_split_buckets_and_a_hub(spark, monkeypatch):
+    """A hub within the radius of many others, in buckets that are split, is one component; so is a chain."""
+    rng = random.Random(21)
+    hub = rng.getrandbits(62)
+    fps = [hub, *{hub ^ (1 << a) ^ (1 << b) for a in range(0, 62, 3) for b in range(1, 62, 5) if a != b}]
+    chain = [rng.getrandbits(62)]
+    for n in range(60):
+        chain.append(chain[-1] ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)))
+    classes = spark.createDataFrame([(f,) for f in {*fps, *chain}], "fp long")
+    monkeypatch.setattr(simhash, "BUCKET_LIMIT", 32)
+    found = {r.node: r.root for r in simhash.components(simhash.links(classes, "fp", simhash.pigeonhole_keys(F.col("fp"), 2), ["fp"], 2)).collect()}
+    assert len({found[f] for f in fps}) == 1
+    assert len({found[f] for f in chain}) == 1
 
 
-def test_short_cut_and_lengthened_copies_of_080_to_090_are_found(spark):
-    rng = random.Random(12)
-    unique = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
-    texts = []
-    for n in range(60):
-        size, share = rng.choice([8, 9, 12, 20, 40, 100, 300]), 0.80 + 0.1 * rng.random()
-        base = unique(size)
-        whole = size - 4
-        cut, longer = base[: -(-whole * share // 1).__int__() + 4], base + unique(int(whole / share) - whole)
-        few = base[:-1] + unique(1)
-        texts += [" ".join(base), " ".join([cut, longer, few][n % 3])]
-    want = similarity_groups(texts)
-    assert sum(len(g) > 1 for g in want) > 30
-    assert found_groups(spark, texts) == want
-
-
-def test_texts_below_080_stay_apart_and_links_of_a_group_are_verified(spark, monkeypatch):
-    rng = random.Random(13)
-    unique = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
-    texts = []
-    for size in (30, 80, 200):  # a family that shares 0.6 to 0.95 of one passage
-        base = unique(size)
-        texts += [" ".join(base[: int(size * k / 20)] + unique(size - int(size * k / 20))) for k in range(14, 21)]
-        texts += [" ".join(base[int(size * k / 40) :]) for k in range(8)]
-    line = " ".join(unique(9))
-    texts += [" ".join([*([line] * 40), *unique(12)]) for _ in range(6)]  # mostly one repeated line
-    want = similarity_groups(texts)
-    assert found_groups(spark, texts) == want
-    monkeypatch.setattr(simhash, "BUCKET_LIMIT", 4)
-    assert found_groups(spark, texts) == want
+def test_one_of_each_group_equals_brute_force(spark):
+    rng = random.Random(17)
+    base = sentence(rng, 300).split()
+    rows = odd_rows()
+    for n in range(30):
+        copy = list(base)
+        copy[rng.randrange(300)] = f"new{n}"
+        rows.append((500 - n, " ".join(copy), "s0"))
+    rows.append((600, sentence(rng, 60_000), "s1"))  # a very long text alone
+    want = {c for i, _, c in brute(rows) if c is not None}
+    kept = [r.doc_id for r in simhash.one_of_each_group(documents(spark, rows)).collect() if r.doc_id is not None]
+    assert set(kept) == want and len(kept) == len(want) + 1  # two texts of one id are two documents

@@ -3,6 +3,7 @@ import random
 
 import corpus_pipeline
 from llm_rows import sentence
+from test_llm_near_duplicates import fingerprint
 
 from lorespan.llm import quality
 
@@ -24,9 +25,13 @@ def test_stages_take_effect(spark, tmp_path):
     rows = [(n, sentence(rng, 150), f"s{n % 3}") for n in range(150)]
     rows += [(200 + n, sentence(rng, 80).replace(" ", "$$$ "), "s0") for n in range(60)]
     item = "what is the name of the bird that lives by the river of stones"
-    near = rows[10][1].split()
-    near[70] = "other"
-    rows += [(300, rows[4][1], "s1"), (301, " ".join(near), "s1"), (302, f"{sentence(rng, 80)} {item} {sentence(rng, 80)}", "s2"), (303, None, None), (304, "", "s1")]
+    words, near = rows[10][1].split(), None
+    for n in range(150):  # a copy with one word changed whose fingerprint lies within two bits
+        copy = " ".join([*words[:n], "other", *words[n + 1 :]])
+        if 0 < (fingerprint(copy) ^ fingerprint(rows[10][1])).bit_count() <= 2:
+            near = copy
+    assert near
+    rows += [(300, rows[4][1], "s1"), (301, near, "s1"), (302, f"{sentence(rng, 80)} {item} {sentence(rng, 80)}", "s2"), (303, None, None), (304, "", "s1")]
     folder = str(tmp_path)
     assert tables(spark, folder, rows) == item
     docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), {}
