@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from lorespan.llm.common import stored
 
-#: Queries of a block, rows of a chunk, points of a leaf, children of a node beyond which it stays a leaf.
-QUERY_BLOCK, CHUNK, LEAF, CHILDREN = 8192, 16384, 128, 48
+#: Queries of a block, rows of a chunk, points of a leaf, most children of a node, radius of a node by that of its children.
+QUERY_BLOCK, CHUNK, LEAF, CHILDREN, RATIO = 8192, 16384, 32, 48, 1.5
 #: Rows of a leaf that are scored at a time.
 PIECE = 512
 
@@ -40,38 +40,38 @@ class Node:
 def cover_tree(points: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> tuple[Node, np.ndarray]:
     """Tree over the points and their order in it; points of a leaf are in the order of ids.
 
-    Each level halves the covering distance; children begin with the parent's center and go on with the first
-    point that is not covered yet. Points that part into too many children are one leaf, equal points too.
+    A node that is larger than a leaf is covered by balls of its radius divided by ``RATIO``: centers are the points
+    farthest from all centers before, until every point is covered or there are ``CHILDREN`` of them. Each point goes to
+    its nearest center, and each child has the radius that its points need. Points that are all equal are one leaf.
     """
     order: list[np.ndarray] = []
 
-    def grow(rows: np.ndarray, center: np.ndarray, first: int) -> Node:
-        away = np.sqrt(((points[rows] - center) ** 2).sum(axis=1))
-        radius = float(away.max())
+    def grow(rows: np.ndarray, center: np.ndarray, away: np.ndarray, first: int) -> Node:
+        radius = float(np.sqrt(away.max()))
         node = Node(first, first + len(rows), center, float(np.sqrt(center @ center)), radius * (1 + 1e-9))
-        parts = split(rows, center, radius / 2) if len(rows) > leaf and radius > 0 else None
-        if parts is None:
+        parts = split(rows, away, radius / RATIO) if len(rows) > leaf and radius > 0 else []
+        if len(parts) < 2:
             order.append(rows[np.argsort(ids[rows], kind="stable")])
             return node
-        for part, middle in parts:
-            node.children.append(grow(part, middle, first))
+        for part, middle, near in parts:
+            node.children.append(grow(part, middle, near, first))
             first += len(part)
         return node
 
-    def split(rows: np.ndarray, center: np.ndarray, reach: float) -> list[tuple[np.ndarray, np.ndarray]] | None:
-        parts, left = [], rows
-        while len(left):
-            if len(parts) == CHILDREN:
-                return None
-            near = ((points[left] - center) ** 2).sum(axis=1) <= reach * reach
-            if near.any():
-                parts.append((left[near], center))
-                left = left[~near]
-            if len(left):
-                center = points[left[0]]
-        return parts
-
-    root = grow(np.arange(len(points)), points.mean(axis=0), 0)
+    def split(rows: np.ndarray, away: np.ndarray, reach: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        least, owner, centers = np.full(len(rows), np.inf), np.zeros(len(rows), dtype=np.int64), []
+        farthest = int(np.argmax(away))
+        while len(centers) < CHILDREN and least.max() > reach * reach:
+            center = points[rows[farthest]]
+            distance = ((points[rows] - center) ** 2).sum(axis=1)
+            owner[distance < least] = len(centers)
+            least = np.minimum(least, distance)
+            centers.append(center)
+            farthest = int(np.argmax(least))
+        return [(rows[owner == n], center, least[owner == n]) for n, center in enumerate(centers) if (owner == n).any()]
+
+    middle = points.mean(axis=0)
+    root = grow(np.arange(len(points)), middle, ((points - middle) ** 2).sum(axis=1), 0)
     return root, np.concatenate(order)
 
 
@@ -81,12 +81,14 @@ class TopK:
     def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
         self.root, order = cover_tree(queries, ids)
         self.queries, self.ids, self.k = queries[order], ids[order], k
+        self.scored = self.pairs = 0
         self.scores = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def add(self, points: np.ndarray, ids: np.ndarray) -> None:
         tree, order = cover_tree(points, ids)
         self.points, self.point_ids = points[order], ids[order]
+        self.pairs += len(points) * len(self.ids)
         stack = [(self.root, tree)]
         while stack:
             q, d = stack.pop()
@@ -96,7 +98,9 @@ class TopK:
                 for first in range(d.first, d.end, PIECE):
                     self._score(q, first, min(first + PIECE, d.end))
                 continue
-            pairs = [(x, y) for x in q.children or [q] for y in d.children or [d]]
+            # the wider node is opened first
+            opened = q.children and (not d.children or q.radius >= d.radius)
+            pairs = [(x, d) for x in q.children] if opened else [(q, y) for y in d.children]
             stack += sorted(pairs, key=lambda p: self._bound(*p))
 
     @staticmethod
@@ -106,6 +110,7 @@ class TopK:
 
     def _score(self, q: Node, first: int, end: int) -> None:
         rows, ids = slice(q.first, q.end), self.point_ids[first:end]
+        self.scored += (q.end - q.first) * (end - first)
         scores = self.queries[rows] @ self.points[first:end].T
         worst, last = self.scores[rows, -1:], self.found[rows, -1:]
         better = ((scores > worst) | (scores == worst) & (ids[None, :] < last)) & (ids[None, :] != self.ids[rows, None])

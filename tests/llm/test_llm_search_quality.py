@@ -88,3 +88,48 @@ def test_statistics_read_whole_texts():
     names = dict(zip(quality.NAMES, quality.text_numbers("word " * 50_000 + "$" * 50_000), strict=True))
     assert names["log_words"] == pytest.approx(math.log1p(50_001)) and names["symbols"] == pytest.approx(50_000 / 300_000)
     assert quality.text_numbers(None) == quality.text_numbers("")
+
+
+@pytest.mark.parametrize("kind", ["clusters", "uniform", "equal", "line"])
+def test_cover_trees_cover_their_points(kind):
+    rng = np.random.default_rng(3)
+    points = {"clusters": lambda: rng.integers(-40, 40, (30, 16))[rng.integers(0, 30, 5000)] + rng.integers(-2, 3, (5000, 16)), "uniform": lambda: rng.integers(-30, 30, (3000, 16)), "equal": lambda: np.ones((700, 8)), "line": lambda: np.arange(3000)[:, None] * np.ones((1, 4))}[kind]().astype(float)
+    root, order = topk.cover_tree(points, np.arange(len(points)))
+    assert sorted(order.tolist()) == list(range(len(points)))
+    todo, leaves = [root], 0
+    while todo:
+        node = todo.pop()
+        inside = points[order[node.first : node.end]]
+        assert np.sqrt(((inside - node.center) ** 2).sum(axis=1)).max() <= node.radius + 1e-6
+        if node.children:
+            assert [c.first for c in node.children] + [node.end] == [node.first] + [c.end for c in node.children]
+            todo += node.children
+        else:
+            leaves += 1
+            assert node.end - node.first <= topk.LEAF or node.radius == 0
+    assert leaves > 1 or kind == "equal"
+
+
+def test_clustered_vectors_are_mostly_not_scored():
+    """Pairs of nodes are dropped by their radii; what is found is what a full product finds."""
+    rng = np.random.default_rng(5)
+    centers = rng.integers(-200, 200, (40, 32))
+    points = (centers[rng.integers(0, 40, 12_000)] + rng.integers(-3, 4, (12_000, 32))).astype(float)
+    ids = np.arange(len(points))
+    asked = ids % 20 == 0
+    best = topk.TopK(points[asked], ids[asked], 20)
+    best.add(points, ids)
+    assert best.scored / best.pairs < 0.2
+    scores = points[asked] @ points.T
+    for q in range(0, asked.sum(), 37):
+        row = int(best.ids[q])
+        all_scores = points[row] @ points.T
+        want = sorted(((-s, i) for i, s in enumerate(all_scores.tolist()) if i != row))[:20]
+        assert [(-s, i) for s, i in zip(best.scores[q].tolist(), best.found[q].tolist(), strict=True)] == want
+    assert len(scores) == asked.sum()
+
+
+def test_search_of_repeated_ids_and_few_rows(spark):
+    rows = [(20, [1.0, 2.0]), (20, [1.0, 0.5]), (1, [3.0, 1.0]), (40, [1.0]), (2, [2.0]), (60, [0.0, 0.0, 1.0]), (None, [1.0, 1.0]), (80, None), (3, [float("nan"), 1.0])]
+    found = topk.top_k(spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, v string, score string"), F.col("vec_id") % 20 == 0, k=5, scale=1)
+    assert sorted(map(tuple, found.collect())) == [(20, 1, 1, 3), (40, 1, 2, 2)]
