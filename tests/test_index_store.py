@@ -162,7 +162,8 @@ def test_callers_read_the_folders_of_their_names(spark, tmp_path):
 def test_a_search_reads_few_scans(spark, refreshed):
     store, _ = refreshed
     found = search.search(fresh_view(store), search.literal_terms(spark, "tok 401"))
-    assert len(scans(found)) < 10
+    of_index = [folder.rsplit("/", 1)[1] for folder, _ in scans(found) if "-compact/" in folder]
+    assert len(of_index) < 10 and of_index.count("symbol_postings") == 1 and "line_postings" not in of_index
 
 
 def fresh_view(store):
