@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -142,13 +141,15 @@ def fit(training: DataFrame, label: str = "label", trees: int = TREES, depth: in
     rules = list(dict.fromkeys(r for tree in forest.trees for r in tree_rules(tree._call_java("rootNode"), names)))
     place = {n: k for k, n in enumerate(names)}
 
-    def fired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = batch[names].to_numpy()
+            stats = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
             found = [np.all([stats[:, place[n]] <= b if u else stats[:, place[n]] > b for n, u, b in r.bounds], axis=0) for r in rules]
-            yield pd.DataFrame({"y": batch["y"], "x": list(np.column_stack([*found, stats]).astype(float))})
+            table = np.column_stack([*found, stats]).astype(float)
+            offsets = np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]
+            yield pa.record_batch([batch.column("y"), pa.ListArray.from_arrays(offsets, table.ravel())], names=["y", "x"])
 
-    vectors = rows.drop("x").mapInPandas(fired, "y double, x array<double>").select("y", array_to_vector("x").alias("x"))
+    vectors = rows.select("y", *names).mapInArrow(fired, "y double, x array<double>").select("y", array_to_vector("x").alias("x"))
     model = LogisticRegression(featuresCol="x", labelCol="y", regParam=lasso, elasticNetParam=1.0, maxIter=60, standardization=True).fit(vectors)
     weights = model.coefficients.toArray()
     kept = tuple((r, float(w)) for r, w in zip(rules, weights, strict=False) if w)
