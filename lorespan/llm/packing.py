@@ -1,9 +1,9 @@
 """Packing of documents into training sequences beside lexically near ones.
 
 The words of retrieval are token ids, so the vocabulary bounds their statistics: document frequencies of the whole
-corpus are one number per id, and every task gets them. Each document names its two most telling ids; documents are
-range-partitioned and sorted by these, so that near ones lie together, and a group of any size is spread. Each task reads
-its documents in shards of bounded tokens and builds a BM25 inverted index over each shard. A seed document opens a
+corpus are one number per id, and every task gets them. Each document names its two most telling ids, by the documents its
+task has read before it; documents are range-partitioned and sorted by these, so that near ones lie together, and a group
+of any size is spread. Each task reads its documents in shards of bounded tokens and builds a BM25 inverted index over each shard. A seed document opens a
 sequence; the index returns the unused documents of the shard nearest to it, and the sequence takes them in this order as
 far as they fit whole; then the nearest one left is cut to fill the rest, and what remains of it opens the next sequence.
 A sequence goes on into the task's next shard, so every sequence is full but the last one of a task, which is cut into
@@ -36,7 +36,8 @@ PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, s
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
-    """``(doc_id, ids, met)`` of every row: token ids of the whole text and the end id, as little-endian integers.
+    """``(doc_id, ids, n, told, told_next, check, met)`` of every row: token ids of the whole text and the end id, as
+    little-endian integers, their number, the two ids that tell most of it (the smaller at ties) and a check sum.
 
     The last row of a task has no ids: ``met`` holds in how many of its documents each token id occurs.
     """
@@ -44,23 +45,31 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
     size = 1 << 16 if kind.itemsize == 2 else 1 << 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, id_kind = encoder(tokenizer, REMEMBERED), np.zeros(size, dtype=np.uint32), None
+        words, counts, read, id_kind = encoder(tokenizer, REMEMBERED), np.zeros(size, dtype=np.uint32), 0, None
         end = np.array([end_id], dtype=words.kind).tobytes()
         for batch in batches:
             id_kind = batch.schema.field(0).type
             for start in range(0, batch.num_rows, 256):
-                part, found = batch.slice(start, 256), []
+                part = batch.slice(start, 256)
+                found = []
                 for text in part.column(1).to_pylist():
-                    found.append(words.encode(text) + end)
-                    has = np.zeros(size, dtype=bool)
-                    has[np.frombuffer(found[-1], dtype=kind)] = True
-                    counts += has
-                yield pa.record_batch([part.column(0), pa.array(found, pa.binary()), pa.nulls(len(found), pa.binary())], names=names)
+                    data = words.encode(text) + end
+                    own, times = np.unique(np.frombuffer(data, dtype=kind), return_counts=True)
+                    counts[own] += 1
+                    read += 1
+                    seen = counts[own]
+                    weight = np.log1p((read - seen + 0.5) / (seen + 0.5)) * (times * (K1 + 1) / (times + K1))
+                    first = int(np.argmax(weight))
+                    weight[first] = -1 if len(own) > 1 else 0
+                    found.append((data, len(data) // kind.itemsize, int(own[first]), int(own[int(np.argmax(weight))]), zlib.crc32(data), None))
+                columns = zip(zip(*found, strict=True), kinds, strict=True)
+                yield pa.record_batch([part.column(0), *(pa.array(c, k) for c, k in columns)], names=names)
         if id_kind is not None:
-            yield pa.record_batch([pa.nulls(1, id_kind), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
+            yield pa.record_batch([pa.nulls(1, id_kind), *(pa.nulls(1, k) for k in kinds[:-1]), pa.array([counts.tobytes()], pa.binary())], names=names)
 
-    names = ["doc_id", "ids", "met"]
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary, met binary")
+    names = ["doc_id", "ids", "n", "told", "told_next", "check", "met"]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary, n long, told int, told_next int, check long, met binary")
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
@@ -88,24 +97,6 @@ def _idf(counts: np.ndarray, docs: int) -> np.ndarray:
     return np.log1p((docs - counts + 0.5) / (counts + 0.5)).astype(np.float32)
 
 
-def _signed(tokens: DataFrame, idf: np.ndarray, kind: np.dtype) -> DataFrame:
-    """Adds the two ids that tell most of a document (highest BM25 weight at average length, the smaller id at ties)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first, second = [], []
-            for data in batch.column(1):
-                words, n = np.unique(np.frombuffer(data.as_buffer(), dtype=kind), return_counts=True)
-                weight = idf[words] * (n * (K1 + 1) / (n + K1))
-                best = int(np.argmax(weight))
-                weight[best] = -1 if len(words) > 1 else 0
-                first.append(int(words[best]))
-                second.append(int(words[int(np.argmax(weight))]))
-            yield pa.record_batch([*batch.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())], names=["doc_id", "ids", "told", "told_next"])
-
-    return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, ids binary, told int, told_next int")
-
-
 class Shard:
     """BM25 inverted index over documents held in memory; used documents leave it."""
 
@@ -215,9 +206,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     kind = Encoder(tokenizer).kind
     tokens = stored(encoded(docs, tokenizer, id_col, text_col, end_id), "packing_ids")
-    whole = tokens.filter("ids IS NOT NULL").select("doc_id", "ids")
-    n_docs, size = whole.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids"))).first()
-    idf, mean = _idf(document_frequencies(tokens), n_docs), (size or 0) / kind.itemsize / max(n_docs, 1)
+    whole = tokens.filter("n IS NOT NULL")
+    n_docs, total = whole.agg(F.count(F.lit(1)), F.sum("n")).first()
+    idf, mean = _idf(document_frequencies(tokens), n_docs), (total or 0) / max(n_docs, 1)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def batch_of(pieces: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
@@ -239,8 +230,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if pieces := [*(packer.shard(rows) if rows else ()), *packer.end()]:
             yield batch_of(pieces, id_kind)
 
-    near = _signed(whole, idf, kind).withColumns({"tie": F.xxhash64("ids"), "row": F.xxhash64("doc_id")})
-    order = ["told", "told_next", "tie", "row"]
-    placed = near.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    order = ["told", "told_next", "check", F.xxhash64("doc_id")]
+    placed = whole.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     return placed.mapInArrow(run, PIECES.format(docs.schema[id_col].dataType.simpleString()))
 
