@@ -178,6 +178,11 @@ def last_commits(commits: DataFrame) -> DataFrame:
     )
 
 
+def commit_of(files: DataFrame, git_info: DataFrame) -> DataFrame:
+    """Last commit of each asked file (file), with an empty hash where none is known."""
+    return files.select("file").join(git_info, "file", "left").withColumn("last_commit_hash", F.coalesce("last_commit_hash", F.lit("")))
+
+
 def _top(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
     """First n rows per request, numbered ``_p``."""
     return rows.withColumn("_p", F.row_number().over(W.partitionBy("request_id").orderBy(*order))).filter(F.col("_p") <= n)

@@ -162,21 +162,25 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Code made of the documents, a file each: languages by the text's language, a first line that imports, then a block of
-# seven lines per line of text that defines a function and calls one named after the line's first word (in place of
-# {w}; {n} is the number of the line). The blocks are full of marks that must not count: quotes in comments, comment
-# marks in strings, declarations and calls in both.
+# eleven lines per line of text: a function that calls one named after the line's first word (in place of {w}; {n} is the
+# number of the line), a class-like type, and a method or a function beside it. The blocks are full of marks that must not
+# count: quotes in comments, comment marks in strings, declarations and calls in both.
 CODE = {
     "en": ("py", "from lib import tool", (
         "def f{n}(a):", "    # it's a ` and @@@ mark", "    q = '@@@' + \"/* no(\"", "    @@@doc", "    def no(): {w}(1)", "    @@@", "    return {w}_(q, \"x(\")",
+        "class C{n}:", "    def m{n}(self):", "        q = 1", "",
     )),
     "fr": ("js", "import { tool } from 'lib/*x'", (
         "function f{n}(a) {", "  // it's a ` mark /* here", "  const q = '/*' + `no( ${a} \"`;", "  /* function no() {", "  no(1) */", "  return {w}_(q, \"x(\");", "}",
+        "class C{n} {", "  m{n}(a) {", "  }", "}",
     )),
     "de": ("go", "import \"lib/*/tool\"", (
         "func f{n}(a int) int {", "  // it's a ` mark /* here", "  q := \"/*\" + `no( \"`", "  /* func no() {", "  no(1) */", "  return {w}_(q, \"x(\")", "}",
+        "type C{n} struct {", "}", "func (c C{n}) m{n}() {", "}",
     )),
     "es": ("rs", "use lib::tool;", (
         "fn f{n}(a: &str) -> i32 {", "  // it's a ` mark /* here", "  let q = \"/*\"; let c = '\"';", "  /* fn no() {", "  no(1) */", "  return {w}_(q, \"x(\");", "}",
+        "struct C{n} {", "}", "fn m{n}(a: i32) -> i32 {", "}",
     )),
 }
 

@@ -187,6 +187,8 @@ ORACLE["enclosing_test"] = f"WITH {TESTED} SELECT request_id, file, line, no, en
 ORACLE["caller_split"] = f"WITH {TESTED} SELECT request_id, count(*) FILTER (enclosing_test = '') AS n_callers, count(*) FILTER (enclosing_test <> '') AS n_tests FROM tested GROUP BY request_id"
 ORACLE["importers"] = f"WITH {RESOLVED}, {IMPORTERS} SELECT * FROM importers"
 ORACLE["last_commit"] = f"WITH {ALL_FILES}, {COMMITS} SELECT file, hash AS last_commit_hash, strftime(ts, '%Y-%m-%d') AS last_modified FROM lastc"
+ORACLE["file_commit"] = f"""WITH {RESOLVED}, {COMMITS} SELECT file, coalesce(hash, '') AS last_commit_hash, strftime(ts, '%Y-%m-%d') AS last_modified
+ FROM (SELECT DISTINCT file FROM resolved WHERE kind <> 'unknown') LEFT JOIN lastc USING (file)"""
 ORACLE["resolve_full"] = f"""WITH {TESTED}, {IMPORTERS}, {COMMITS},
  placed AS (SELECT *, row_number() OVER (PARTITION BY request_id, enclosing_test = '' ORDER BY file, line, no) AS p FROM tested),
  sums AS (SELECT request_id, count(*) FILTER (enclosing_test = '') AS n_callers, count(*) FILTER (enclosing_test <> '') AS n_tests,
@@ -399,17 +401,22 @@ ORACLE["stream_savings"] = f"WITH {SAVED} SELECT session, sum(saved)::BIGINT AS
 
 
 # ---------------------------------------------------------------- code made of documents
-# What the files hold by the way they are made, without reading any code: a line that imports, then seven lines per line.
+# What the files hold by the way they are made, without reading any code: a line that imports, then eleven lines per line.
 _CODE_FILES = """code AS (SELECT string_split(text, chr(10)) AS l, CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'javascript' WHEN 'de' THEN 'go' WHEN 'es' THEN 'rust' END AS language,
   doc_id % 20 = 0 AS is_test,
   source || CASE WHEN lang = 'es' AND doc_id % 20 = 0 THEN '/tests/' ELSE '/' END || CASE WHEN lang = 'en' AND doc_id % 20 = 0 THEN 'test_' ELSE '' END || doc_id
   || CASE WHEN doc_id % 20 <> 0 THEN '' WHEN lang = 'fr' THEN '.test' WHEN lang = 'de' THEN '_test' ELSE '' END
   || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.js' WHEN 'de' THEN '.go' WHEN 'es' THEN '.rs' END AS file
   FROM documents WHERE lang IN ('en', 'fr', 'de', 'es') AND text IS NOT NULL),
-blocks AS (SELECT file, language, n, 2 + 7 * (n - 1) AS start_line, CASE WHEN w = '' THEN 'x' ELSE w END || '_' AS callee
+blocks AS (SELECT file, language, n, 2 + 11 * (n - 1) AS start_line, CASE WHEN w = '' THEN 'x' ELSE w END || '_' AS callee
   FROM (SELECT file, language, unnest(range(1, len(l) + 1)) AS n, lower(regexp_extract(unnest(l), '[A-Za-z]+')) AS w FROM code))"""
-ORACLE["code_definitions"] = f"""WITH {_CODE_FILES} SELECT file, 'f' || n AS name, 'function' AS kind, start_line, start_line + 6 AS end_line,
-  CASE language WHEN 'python' THEN 'def f' || n || '(a):' WHEN 'javascript' THEN 'function f' || n || '(a) {{' WHEN 'go' THEN 'func f' || n || '(a int) int {{' ELSE 'fn f' || n || '(a: &str) -> i32 {{' END AS signature, language FROM blocks"""
+_CODE_TYPES = """types(language, kind, head, tail, first, last) AS (VALUES
+  ('python', 'class', 'class C', ':', 7, 9), ('python', 'method', '    def m', '(self):', 8, 9), ('javascript', 'class', 'class C', ' {', 7, 10), ('javascript', 'method', '  m', '(a) {', 8, 9),
+  ('go', 'class', 'type C', ' struct {', 7, 8), ('rust', 'class', 'struct C', ' {', 7, 8), ('rust', 'function', 'fn m', '(a: i32) -> i32 {', 9, 10))"""
+ORACLE["code_definitions"] = f"""WITH {_CODE_FILES}, {_CODE_TYPES} SELECT file, 'f' || n AS name, 'function' AS kind, start_line, start_line + 6 AS end_line,
+  CASE language WHEN 'python' THEN 'def f' || n || '(a):' WHEN 'javascript' THEN 'function f' || n || '(a) {{' WHEN 'go' THEN 'func f' || n || '(a int) int {{' ELSE 'fn f' || n || '(a: &str) -> i32 {{' END AS signature, language FROM blocks
+  UNION ALL SELECT file, right(head, 1) || n, kind, start_line + first, start_line + last, head || n || tail, language FROM blocks JOIN types USING (language)
+  UNION ALL SELECT file, 'm' || n, 'method', start_line + 9, start_line + 10, 'func (c C' || n || ') m' || n || '() {{', language FROM blocks WHERE language = 'go'"""
 ORACLE["code_calls"] = f"""WITH {_CODE_FILES} SELECT callee AS symbol_name, file AS caller_file, start_line + CASE language WHEN 'python' THEN 6 ELSE 5 END AS line,
   CASE language WHEN 'python' THEN '    ' ELSE '  ' END || 'return ' || callee || '(q, "x(")' || CASE WHEN language IN ('javascript', 'rust') THEN ';' ELSE '' END AS context, callee AS full_name FROM blocks"""
 ORACLE["code_imports"] = f"""WITH {_CODE_FILES} SELECT CASE language WHEN 'rust' THEN 'use lib::tool;' ELSE 'tool' END AS symbol_name, file,

@@ -271,6 +271,14 @@ def last_commit(spark, d):
     return resolve.last_commits(b.commits(spark, d)).select("file", "last_commit_hash", F.date_format("last_modified", "yyyy-MM-dd").alias("last_modified"))
 
 
+@query
+def file_commit(spark, d):
+    """The last commit of the files that requests resolve to, empty for a file that no commit names."""
+    asked = resolve.found(_defs(spark, d)).select("file").distinct()
+    found = resolve.commit_of(asked, resolve.last_commits(b.commits(spark, d)))
+    return found.select("file", "last_commit_hash", F.date_format("last_modified", "yyyy-MM-dd").alias("last_modified"))
+
+
 @query
 def resolve_full(spark, d):
     git_info = resolve.last_commits(b.commits(spark, d))

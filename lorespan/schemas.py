@@ -1,25 +1,10 @@
-"""Schemas of the stored relations."""
+"""Schemas of the stored relations that no module of their own names."""
 
 from __future__ import annotations
 
-SYMBOLS = (
-    "name string, kind string, file string, start_line int, end_line int, "
-    "signature string, language string, no int"
-)
-CALLS = "symbol_name string, caller_file string, line int, context string, full_name string, no int"
-IMPORTS = "symbol_name string, file string, import_line string"
-FILE_META = "file string, content_hash string, last_indexed double, language string, line_count int"
-COMMITS = "file string, commit string, author_ts timestamp"
 SESSION_MEMORY = (
     "id long, task_text string, task_embedding array<float>, context_files array<string>, "
     "context_symbols array<string>, tokens_used long, outcome string, confidence double, "
     "created_at timestamp, session_id string"
 )
 EVENTS = "id long, event_type string, timestamp double, duration_ms double, metadata string"
-
-# Known keys of the event log's JSON column.
-EVENT_METADATA = (
-    "result_count long, output_tokens double, naive_tokens long, tokens_saved double, query string, "
-    "matched_files long, grep_overhead long, files_indexed double, files_skipped double, "
-    "symbols double, incremental boolean"
-)

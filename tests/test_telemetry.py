@@ -131,3 +131,32 @@ def test_event_log_appends_by_day(spark, tmp_path):
 def test_saved_never_negative(spark):
     df = spark.createDataFrame([(10, 3), (3, 10)], "naive bigint, out bigint")
     assert sorted(r.s for r in df.select(economy.saved(F.col("naive"), F.col("out")).alias("s")).collect()) == [0, 7]
+
+
+def test_event_log_of_many_runs(spark, tmp_path):
+    """Appended again, a run replaces all its days; compaction changes nothing but the number of files."""
+    from lorespan.sources import event_log
+
+    path = str(tmp_path / "log")
+
+    def rows(run, days):
+        return spark.createDataFrame([(run * 100 + d, "t", dt.datetime(2024, 1, d, 23, 59), 1.0, "{}") for d in days], "id long, event_type string, ts timestamp_ntz, duration_ms double, metadata string")
+
+    def ids():
+        return sorted(r.id for r in event_log.read_events(spark, path).collect())
+
+    for run, days in ((1, (1, 2, 3)), (2, (2, 9)), (3, (1, 5))):
+        event_log.append_events(rows(run, days), path, f"run {run}")
+    event_log.append_events(rows(1, (2,)), path, "run 1")
+    want = [102, 202, 209, 301, 305]
+    assert ids() == want
+    for day in ("2024-01-03", "2024-01-06"):
+        event_log.compact(spark, path, day)
+        assert ids() == want
+    event_log.append_events(rows(4, (9,)), path, "run 4")
+    assert ids() == [102, 202, 209, 301, 305, 409]
+    compacted = [p for p in (tmp_path / "log/events").glob("date=2024-01-0[1-5]/run=r/attempt=*")]
+    assert len(compacted) >= 3
+    assert event_log.read_events(spark, path).filter("date = date'2024-01-09'").count() == 2
+    with pytest.raises(ValueError):
+        event_log.append_events(rows(5, (9,)), path, "")
