@@ -133,3 +133,36 @@ def test_search_of_repeated_ids_and_few_rows(spark):
     rows = [(20, [1.0, 2.0]), (20, [1.0, 0.5]), (1, [3.0, 1.0]), (40, [1.0]), (2, [2.0]), (60, [0.0, 0.0, 1.0]), (None, [1.0, 1.0]), (80, None), (3, [float("nan"), 1.0])]
     found = topk.top_k(spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, v string, score string"), F.col("vec_id") % 20 == 0, k=5, scale=1)
     assert sorted(map(tuple, found.collect())) == [(20, 1, 1, 3), (40, 1, 2, 2)]
+
+
+def statistics_by_hand(text):
+    """The statistics by their names, character by character, on ASCII texts."""
+    text = text or ""
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    of = lambda test: sum(map(test, text)) / len(text) if text else 0.0
+    marks = ".,;:!?'\"()-"
+    sign = lambda c: not c.isalnum() and not c.isspace()
+    return {
+        "log_words": math.log(1 + len(words)), "mean_word": min(len(text) / len(words), 50) if words else 0.0, "symbols": of(lambda c: sign(c) and c not in marks),
+        "marks": of(lambda c: c in marks), "upper": of(str.isupper), "digits": of(str.isdigit), "letters": of(str.isalpha),
+        "distinct_words": len(set(words)) / len(words) if words else 0.0, "log_distinct": math.log(1 + len(set(words))), "distinct_lines": len(set(lines)) / len(lines) if lines else 0.0,
+        "log_lines": math.log(1 + len(lines)), "words_a_line": math.log(1 + len(words) / len(lines)) if lines else 0.0,
+    }
+
+
+def test_scores_equal_the_rules_by_hand(spark):
+    """Every score is the model's rules and weights evaluated one after the other in plain Python."""
+    rng = random.Random(31)
+    good = [sentence(rng, rng.randrange(5, 120)) + "." for _ in range(150)]
+    bad = ["".join(rng.choice("$#@% ABC09!\n") for _ in range(rng.randrange(1, 400))) for _ in range(150)]
+    rows = [(n, t, "s") for n, t in enumerate([*good, *bad, "", None, "one", "a\n\nb b\n"])]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(n, int(n < 150)) for n in range(300)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert model.rules and model.linear
+    for r in quality.with_score(docs, model, name="p").collect():
+        stats = statistics_by_hand(r.text)
+        total = model.intercept + sum(w * stats[n] for n, w in model.linear)
+        for rule, weight in model.rules:
+            total += weight * all(stats[n] <= b if upper else stats[n] > b for n, upper, b in rule.bounds)
+        assert r.p == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9), r.text
