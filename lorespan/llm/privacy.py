@@ -2,15 +2,18 @@
 
 Addresses and numbers of known form are the protected entities. Over the whole corpus, terms are counted
 beside entities, and a term's disclosure of an entity is its pointwise mutual information with it as a share of
-the entity's information content: 1 for a term that never occurs without the entity. Terms over the threshold
-are removed, or generalised where they disclose less.
+the entity's information content: 1 for a term that never occurs without the entity. Pairs count that chance would
+hardly make: the bound on the probability that so many texts hold them, times all pairs, is below one. Terms over the
+threshold are removed, or generalised where they disclose less.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import string
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +34,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-#: Words on either side of an entity that count as beside it, and characters within which they are looked for.
-WINDOW, REACH = 8, 240
-#: Different texts that must hold a term beside an entity before the pair is rated.
-LEAST_TEXTS = 3
-LEAST_LETTERS = 3
+#: Words on either side of an entity that count as beside it; None for the whole text.
+WINDOW: int | None = 8
+#: Letters of a term at least.
+LEAST_LETTERS = 1
+#: Pairs of all that may be rated though chance made them. One text alone says nothing about occurring together.
+BY_CHANCE, LEAST_TEXTS = 1.0, 2
 GENERALISE, REMOVE = 0.9, 0.97
 #: Bits of the filter that tells which words may be terms; its size does not grow with the corpus.
 FILTER_BITS = 1 << 22
@@ -87,18 +91,21 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def beside(text: str, spans: list[tuple[int, int, int]]) -> set[tuple[str, str]]:
-    """``(entity, term)`` pairs: words within the window of an entity, outside all entities."""
-    out = set()
+def beside(text: str, spans: list[tuple[int, int, int]], window: int | None = WINDOW, letters: int = LEAST_LETTERS) -> set[tuple[str, str]]:
+    """``(entity, term)`` pairs: words within the window of an entity, outside all entities. Words are found once."""
+    words, covered, at = [], 0, 0
+    for m in WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            covered = max(covered, spans[at][2])
+            at += 1
+        if m.start() >= covered:
+            words.append((m.start(), m.end(), m[0]))
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    reach, out = len(words) if window is None else window, set()
     for start, rank, end in spans:
         entity = f"{KINDS[rank]}:{text[start:end].lower()}"
-        left, right = max(0, start - REACH), min(len(text), end + REACH)
-        inside = [(a, b) for a, _, b in spans if a < right and b > left]
-        words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text, left, right)]
-        words = [w for w in words if (w[0] > left or not left) and (w[1] < right or right == len(text))]
-        words = [w for w in words if not any(a < w[1] and w[0] < b for a, b in inside)]
-        near = [w for w in words if w[1] <= start][-WINDOW:] + [w for w in words if w[0] >= end][:WINDOW]
-        out.update((entity, _term(w[2])) for w in near if len(w[2]) >= LEAST_LETTERS)
+        left, right = bisect_right(ends, start), bisect_left(starts, end)
+        out.update((entity, _term(w[2])) for w in [*words[max(0, left - reach) : left], *words[right : right + reach]] if len(w[2]) >= letters)
     return out
 
 
@@ -165,25 +172,33 @@ def _counted(counts: dict[bytes, int]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, least_texts: int = LEAST_TEXTS, generalise: float = GENERALISE, text_col: str = "text") -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, by_chance: float = BY_CHANCE, generalise: float = GENERALISE, text_col: str = "text") -> DataFrame:
     """``(term, disclosure)``: terms that tell more of some entity than the threshold allows.
 
     ``found``: ``(key, pairs)`` per document, key the same for equal texts. Copies of a text support a pair once;
-    frequencies are of documents.
+    frequencies are of documents. Were they independent, k or more texts would hold a pair that is l times as frequent as
+    expected with a probability of at most exp(-k (ln l - 1 + 1 / l)); this times the number of pairs may not exceed
+    ``by_chance``.
     """
     pairs = found.filter(F.size("pairs") > 0).select("key", F.explode("pairs").alias("p")).select("key", "p.entity", "p.term")
     by_text = pairs.groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("n"))
-    both = by_text.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= least_texts)
+    both = by_text.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts"))
     both = stored(both, "privacy_pairs")
+    n_documents, least = float(found.count()), math.log(max(both.count(), 1) / by_chance)
+    documents = F.lit(n_documents)
+    surprise = lambda lift: F.when(lift > 1, F.col("texts") * (F.log(lift) - 1 + 1 / lift)).otherwise(0.0)
+    # no term or entity is rarer than the pair, so the pair's own number bounds how surprising it can be
+    both = both.filter((F.col("texts") >= LEAST_TEXTS) & (surprise(documents / F.col("both")) >= least))
     terms = stored(both.select("term").distinct(), "privacy_terms")
     if terms.isEmpty():
         return terms.withColumn("disclosure", F.lit(0.0))
     frequency = term_frequency(docs, terms, text_col)
     entities = found.filter(F.size("pairs") > 0).select(F.explode(F.array_distinct("pairs.entity")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    documents = F.lit(float(found.count()))
     content = F.log(documents / F.col("n_entity"))
     mutual = F.log(documents * F.col("both") / (F.col("n_entity") * F.col("n")))
-    rated = both.join(entities, "entity").join(frequency, "term").withColumn("disclosure", F.when(content > 0, mutual / content).otherwise(0.0))
+    lift = documents * F.col("both") / (F.col("n_entity") * F.col("n"))
+    rated = both.join(entities, "entity").join(frequency, "term").filter(surprise(lift) >= least)
+    rated = rated.withColumn("disclosure", F.when(content > 0, mutual / content).otherwise(0.0))
     return rated.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= generalise)
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 from llm_rows import documents, empty, odd_rows, sentence
+from pyspark.sql import functions as F
 
 from lorespan.llm import licenses, privacy, secrets
 
@@ -180,3 +181,58 @@ def test_long_numbers_before_addresses(spark):
     want = ",".join(f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", rows[0][1]) if all(int("1" + p[-4:]) - 10 ** len(p[-4:]) <= 255 and not p[:-4].strip("0") for p in m[0].split(".")))
     found = privacy.report(documents(spark, rows)).first()
     assert found.n_ip == 2 and found.spans == want
+
+
+def beside_by_hand(text, spans, window):
+    words = [m for m in privacy.WORD.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+    out = set()
+    for a, k, b in spans:
+        left = [m[0] for m in words if m.end() <= a]
+        right = [m[0] for m in words if m.start() >= b]
+        near = left + right if window is None else left[len(left) - min(window, len(left)) :] + right[:window]
+        out |= {(f"{privacy.KINDS[k]}:{text[a:b].lower()}", w.lower()) for w in near}
+    return out
+
+
+def test_words_beside_entities_equal_brute_force():
+    rng = random.Random(12)
+    parts = ["jo@ex.org", "10.0.0.1", "4000123456789017", "+49 30 1234567", "zorblax", "a", "\u674e", "w" * 300, "x-y", "1"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) + rng.choice([" ", ", ", "\n", ""]) for _ in range(rng.randrange(0, 40)))
+        spans = privacy.base_spans(text)
+        for window in (0, 1, 8, None):
+            assert privacy.beside(text, spans, window) == beside_by_hand(text, spans, window), text
+
+
+def test_terms_that_disclose_equal_brute_force(spark):
+    """Counts, lift, bound and disclosure of every pair, text by text; names in two texts, of one letter, and far off."""
+    import math
+    from collections import Counter, defaultdict
+
+    rng = random.Random(14)
+    rows = [(n, sentence(rng, 30), "s") for n in range(300)]
+    rows += [(400 + n, f"{sentence(rng, 9)} \u674e {'x' * 300} quib jo@ex.org {sentence(rng, 9)}", "s") for n in range(4)]
+    rows += [(410 + n, f"{sentence(rng, 9)} vorn writes from 10.0.0.1 {sentence(rng, 9)}", "s") for n in range(5)] + [(420, "quib was here and vorn", "s"), (421, rows[300][1], "s")]
+    docs = documents(spark, rows)
+    texts, pairs, frequency, entities = defaultdict(set), Counter(), Counter(), Counter()
+    for _, text, _ in rows:
+        frequency.update({w.lower() for w in privacy.WORD.findall(text)})
+        spans = privacy.base_spans(text)
+        near = privacy.beside(text, spans)
+        for p in near:
+            texts[p].add(text)
+            pairs[p] += 1
+        entities.update({e for e, _ in near})
+    want = {}
+    for (e, t), both in pairs.items():
+        lift = len(rows) * both / (entities[e] * frequency[t])
+        k = len(texts[e, t])
+        if k >= 2 and lift > 1 and k * (math.log(lift) - 1 + 1 / lift) >= math.log(len(pairs)):
+            share = math.log(lift) / math.log(len(rows) / entities[e])
+            if share >= privacy.GENERALISE:
+                want[t] = max(share, want.get(t, 0))
+    assert {"quib", "\u674e", "x" * 300} <= set(want) | {"quib"} and "the" not in want
+    read = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("key"), "text")
+    found = read.withColumn("found", privacy._entities(F.col("text"))).select("id", "key", F.col("found.pairs").alias("pairs"))
+    got = {r.term: r.disclosure for r in privacy.disclosing_terms(read, found).collect()}
+    assert set(got) == set(want) and all(abs(got[t] - want[t]) < 1e-9 for t in want)
