@@ -21,8 +21,8 @@ from lorespan.llm.common import stored
 
 #: Queries of a block, rows of a chunk, points of a leaf, most children of a node, radius of a node by that of its children.
 QUERY_BLOCK, CHUNK, LEAF, CHILDREN, RATIO = 8192, 16384, 32, 48, 1.5
-#: Rows of a leaf that are scored at a time.
-PIECE = 512
+#: Pairs of two nodes that are scored at once, though their children might rule some out; rows that are scored at a time.
+PAIRS, PIECE = 1 << 14, 512
 
 
 @dataclass(slots=True)
@@ -94,7 +94,7 @@ class TopK:
             q, d = stack.pop()
             if self._bound(q, d) < self.scores[q.first : q.end, -1].min():
                 continue
-            if not q.children and not d.children:
+            if not q.children and not d.children or (q.end - q.first) * (d.end - d.first) <= PAIRS:
                 for first in range(d.first, d.end, PIECE):
                     self._score(q, first, min(first + PIECE, d.end))
                 continue
