@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lorespan.operators import ledger, prose, telemetry
+from lorespan.operators import ledger, prose, search, telemetry
 from lorespan.sources import corpus as corpus_source
 from lorespan.sources.index_store import IndexStore
 from lorespan.streaming import flows
@@ -74,6 +74,11 @@ def test_index_feed(spark, tmp_path):
         flows.drain(spark.readStream.schema(schema).parquet(folder), sink, str(tmp_path / "ck"))
     assert [(r.file, r.name) for r in store.relation("symbols").collect()] == [("a", "Five")]
     assert [r.file for r in store.file_meta().collect()] == ["a"]
+    # the feed keeps what searches and lookups read
+    index = store.text_index()
+    names = lambda q: [r.name for r in search.search(index, search.literal_terms(spark, q)).collect()]
+    assert set(names("five")) == set(names("six")) == {"Five", "six"} and names("four one two") == []
+    assert [tuple(r) for r in store.calls().collect()] == [("six", "a", 1, 0)]
 
 
 def test_stream_without_input_has_an_empty_result(spark, tmp_path):
