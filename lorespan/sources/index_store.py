@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from lorespan.functions import text
 from lorespan.operators import search
 from lorespan.operators.lifecycle import stale_files
+from lorespan.session import stored
 
 RELATIONS = {
     "symbols": "name string, kind string, file string, start_line int, end_line int, signature string, language string, no int",
@@ -120,7 +121,8 @@ class IndexStore:
         rows = {name: df.select(*_COLUMNS[name]) for name, df in relations.items()}
         symbols = self._write(search.measured_symbols(rows["symbols"]), "symbols", version, run)
         lines = self._write(search.measured_lines(rows["call_lines"]), "call_lines", version, run)
-        self._write(by_name(rows["imports"]), "imports", version, run)
+        # dealing by range looks at its rows twice; files are read once
+        self._write(by_name(stored(rows["imports"], "imports")), "imports", version, run)
         calls = text.unfold(lines, ["file", "line"], F.transform("refs", lambda r: r["name"]), "no", "symbol_name")
         self._write(by_name(calls.select("symbol_name", "file", "line", "no")), "named_calls", version, run)
         posted = [self._write(search.by_token(df), name, version, run) for name, df in search.postings(symbols, lines).items()]
@@ -147,9 +149,9 @@ class IndexStore:
         """Live files, of all versions or of those before one."""
         return self._latest(before).drop("version", "run", "live", *search.TOTALS)
 
-    def _live(self, name: str) -> DataFrame:
+    def _live(self, name: str, runs: list[tuple[int, str]] | None = None) -> DataFrame:
         """Rows that no later version replaces. Only what was refreshed since the base is looked at for that."""
-        runs = self._runs()
+        runs = self._runs() if runs is None else runs
         rows = self._read(name, STORED[name], runs)
         later = runs[1:]
         if later:
@@ -168,7 +170,7 @@ class IndexStore:
         runs = self._runs()
         totals = search.summed(self._read("totals", STORED["totals"], runs))
         words = self._read("vocabulary", STORED["vocabulary"], runs).select("tok")
-        live = {name: self._live(name) for name in ("symbols", "call_lines", "symbol_postings", "line_postings", "name_postings")}
+        live = {name: self._live(name, runs) for name in ("symbols", "call_lines", "symbol_postings", "line_postings", "name_postings")}
         return search.TextIndex(**live, vocabulary=words if len(runs) == 1 else words.distinct(), totals=totals)
 
     def _named(self, name: str, names: DataFrame | None) -> DataFrame:
@@ -215,11 +217,11 @@ def refresh(store: IndexStore, corpus: DataFrame, gone: DataFrame, version: int,
     The run compares with the versions before its own, so repeating it gives the same result. The list
     of stale files is written first: extraction then reads only those, and hashes nothing again.
     """
-    stored = store.file_meta(before=version)
+    known = store.file_meta(before=version)
     todo = corpus
     if incremental:
         listing = f"{store.root}/stale/version={version}"
-        stale_files(corpus, stored).select("file", "content_hash").write.mode("overwrite").parquet(listing)
+        stale_files(corpus, known).select("file", "content_hash").write.mode("overwrite").parquet(listing)
         todo = corpus.drop("content_hash").join(store.spark.read.schema("file string, content_hash string").parquet(listing), "file")
-    dropped = stored.select("file").join(gone.select("file"), "file", "left_semi")
+    dropped = known.select("file").join(gone.select("file"), "file", "left_semi")
     store.write_version(version, meta(todo), dropped, {name: run(todo) for name, run in extract.items()})
