@@ -13,6 +13,8 @@ from lorespan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Pieces of text that a worker remembers where no other stage needs its memory.
+PIECES = 400_000
 #: Documents with a lower score are taken for bad ones.
 LEAST_SCORE = 0.3
 
@@ -28,7 +30,7 @@ def query(name: str) -> Callable[[Query], Query]:
 @query("op4_token_files")
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as flat files in the order of doc_id and read back from them."""
-    return token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).read()
+    return token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), remembered=PIECES).read()
 
 
 @query("op5_source_mixing")

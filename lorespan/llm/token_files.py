@@ -182,13 +182,13 @@ def _map(store: pafs.FileSystem, path: str) -> pa.NativeFile:
     return pa.memory_map(path) if isinstance(store, pafs.LocalFileSystem) else store.open_input_file(path)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, folder: str | None = None) -> TokenFiles:
+def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, folder: str | None = None, remembered: int | None = None) -> TokenFiles:
     """Encodes whole texts and writes them in ascending order of ids; returns the files.
 
     Each document ends with ``end_id``; null and empty texts are that id alone. Null ids come first, equal ids
     stand beside each other by a hash of their texts; repeated rows are written as often as they come. A
     partition is written under a temporary name and then renamed, so a task that runs again replaces its own
-    files with equal ones.
+    files with equal ones. ``remembered`` pieces of text are kept by a worker (``REMEMBERED`` if not given).
     """
     spark = docs.sparkSession
     folder = folder or scratch_dir(spark, "tokens")
@@ -197,7 +197,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _folder(folder)
         store.create_dir(root, recursive=True)
-        task, words = TaskContext.get(), encoder(tokenizer)
+        task, words = TaskContext.get(), encoder(tokenizer, remembered)
         part, end = task.partitionId(), np.array([end_id], dtype=words.kind).tobytes()
         name, offsets, row = f"{root}/part-{part:05d}", [0], 0
         temporary = f"{name}-{task.taskAttemptId()}.tmp"
