@@ -105,12 +105,12 @@ def test_totals_of_all_versions_add_up(spark, refreshed):
 
 
 def test_compacted_index_equals_a_fresh_one(spark, refreshed, tmp_path):
-    _, files = refreshed
+    other, files = refreshed
     store = fresh(spark, {**files, "d/1.txt": "old tokens\n", "d/x.txt": "gone"}, str(tmp_path / "index"))
     run(store, files, 2, gone=["d/x.txt"])
     store.compact(3)
     store.vacuum()
-    same_as_fresh(spark, store, files, str(tmp_path / "fresh"))
+    assert hits(spark, store) == hits(spark, other) != []
     run(store, {"d/1.txt": "after compaction 401\n"}, 4)
     same_as_fresh(spark, store, {**files, "d/1.txt": "after compaction 401\n"}, str(tmp_path / "again"))
 
