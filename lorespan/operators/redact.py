@@ -51,6 +51,15 @@ LITERAL = {
     "go": r"\"(?:\\.|[^\"\\\n])*\"|`[^`]*`",
     "rust": r"\"(?:\\.|[^\"\\])*\"",
 }
+# The same in a form that Java matches by loops: it tries the alternatives of a repeated group by recursion, a step per
+# character, and a long literal overflows the stack. Alternatives begin with different characters, so nothing is given back.
+_DOUBLE, _SINGLE = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"", r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+JAVA_LITERAL = {
+    "python": _PREFIX_PY + r"(?:\"\"\"[^\"]*+(?:\"{1,2}+[^\"]++)*+\"\"\"|'''[^']*+(?:'{1,2}+[^']++)*+'''|" + f"{_DOUBLE}|{_SINGLE})",
+    "javascript": f"{_DOUBLE}|{_SINGLE}|`[^`]*`",
+    "go": f"{_DOUBLE}|`[^`]*`",
+    "rust": r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"",
+}
 # Literals that hold expressions are left alone: a marked prefix, or a substitution inside.
 INTERPOLATED = {"python": r"^[rRbBuU]*[fF]", "javascript": r"^`(?:[^`]*)\$\{"}
 
@@ -127,7 +136,7 @@ def _redact_line(line: Column, lang: str, policy: Policy, found: Column | None =
 
     ``found`` is the line's entity type when something else than the detectors decided it.
     """
-    pattern = LITERAL[lang]
+    pattern = JAVA_LITERAL[lang]
     if lang == "python":
         pattern = pattern.replace(_PREFIX_PY, "(?:[rRbBuUfF]{0,2})", 1)
     entity = detect(F.substring_index(line, _HIDDEN, 1), policy) if found is None else found
