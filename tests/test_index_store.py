@@ -182,3 +182,28 @@ def test_many_spans_and_calls_of_one_file(spark):
     found = resolve.with_enclosing_test(sites, spans.unionByName(whole), F.lit("python")).groupBy(F.col("enclosing_test") == "TestAll").count().collect()
     assert time.perf_counter() - start < 30
     assert {tuple(r) for r in found} == {(True, 20_000), (False, 80_000)}
+
+
+def test_the_index_is_laid_out_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Each task sorts a bounded stretch of the rows and writes it as a segment of its own."""
+    rng = random.Random(5)
+    files = {f"{n}.txt": text_of(rng, 60) for n in range(30)}
+    small = fresh(spark, files, str(tmp_path / "small"))
+    index = small.text_index()
+    for df in (search.by_token(index.line_postings), index_store.by_name(small.calls())):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(index_store, "SEGMENTS", dict.fromkeys(index_store.SEGMENTS, 2000))
+    monkeypatch.setattr(index_store, "ROW_GROUP", 2000)
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    store = fresh(spark, files, str(tmp_path / "index"))
+    assert spark.conf.get(size) == before
+    segments = spark.read.parquet(f"{store.root}/symbol_postings").groupBy(F.input_file_name().alias("segment")).agg(F.count_if(F.col("tok") == "token").alias("n")).collect()
+    assert len(segments) > 4 and all(r.n for r in segments)
+    same_as_fresh(spark, store, files, str(tmp_path / "again"))
+
+
+def test_imports_of_some_names(spark, refreshed):
+    store, _ = refreshed
+    names = spark.createDataFrame([("token",), ("none",), ("token",)], "symbol_name string")
+    assert table(store.imports(names)) == table(store.imports().filter("symbol_name = 'token'")) != []
