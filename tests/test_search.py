@@ -1,6 +1,7 @@
 """Ranks against the formula worked by hand, query building, merge rules, limits."""
 
 import math
+import tempfile
 from collections import Counter
 
 import pytest
@@ -174,3 +175,24 @@ def test_on_code(spark, tmp_path):
     listed = search.hits_by_file(search.search(index, search.literal_terms(spark, "tax"))).collect()
     assert [r.first_place for r in listed] == sorted(r.first_place for r in listed)
     assert sum(r.hits for r in listed) == len(names("tax"))
+
+
+def test_texts_are_not_shuffled_for_the_hits(spark):
+    """Definitions and call lines meet the few rows that are shown where they lie, however large their texts are."""
+    symbols = spark.range(400).selectExpr(
+        "concat('n', id) AS name", "'function' AS kind", "concat('f', id, '.py') AS file", "1 AS start_line", "2 AS end_line",
+        "concat('w', id % 7, ' ', repeat(sha2(string(id), 512), 8)) AS signature", "'python' AS language", "0 AS no",
+    )
+    lines = symbols.selectExpr("file", "1 AS line", "signature AS context", "array(named_struct('name', name, 'full_name', name)) AS refs")
+    index = search.TextIndex.build(spark, symbols, lines, tempfile.mkdtemp())
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(name, "20000")
+    try:
+        for find in (search.search_symbols, search.search_calls, search.search):
+            found = find(index, search.literal_terms(spark, "w3 n17"))
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            shuffled = [x for x in plan.splitlines() if "Join" in x and "SortMerge" in x]
+            assert not [x for x in shuffled if "file" in x or "LeftSemi" in x], plan
+            assert found.count() == 15
+    finally:
+        spark.conf.set(name, before)
