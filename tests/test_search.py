@@ -1,6 +1,7 @@
 """Ranks against the formula worked by hand, query building, merge rules, limits."""
 
 import math
+import random
 import tempfile
 from collections import Counter
 
@@ -196,3 +197,37 @@ def test_texts_are_not_shuffled_for_the_hits(spark):
             assert found.count() == 15
     finally:
         spark.conf.set(name, before)
+
+
+def test_scan_finds_what_postings_find(spark, monkeypatch):
+    """Queries that most rows meet, in both ways: phrases, prefixes, numbers, repeated and null keys. What is written for
+    the bounds does not grow with rows x queries."""
+    rng = random.Random(3)
+    words = ["en", "ent", "enter", "a", "ab", "abc", "of", "off", "12", "123", "é", "src", "x_y", "Zed", "zed", "to"]
+    symbols, calls = [], []
+    for f in range(200):
+        file = f"{rng.choice(words)}/{rng.choice(words)}{f if f % 9 else 0}.txt"
+        for n in range(rng.randint(1, 9)):
+            text_ = " ".join(rng.choices(words, k=rng.randint(0, 9)))
+            symbols.append((rng.choice(words), "function", file, n + 1, n + 1, text_, "en", n))
+            names = rng.choices([*words, "a.b", "ab-en"], k=rng.randint(0, 5))
+            calls.append((file, n + 1, f"{text_}-{rng.choice(words)}", [(x, x) for x in names]))
+    symbols += [*symbols[:5], ("q", "function", None, 1, 1, "en a", "en", 0)]
+    calls.append((None, 1, "en ab", [("en", "en")]))
+    asked = [(i, " ".join(rng.choices([*words, "en/a", "ab.en x", "of-off-to", "404"], k=rng.randint(0, 7)))) for i in range(20)]
+    terms = search.query_terms(spark.createDataFrame(asked, "query_id bigint, query string"))
+    index = search.TextIndex.of(spark.createDataFrame(symbols, RELATIONS["symbols"]), spark.createDataFrame(calls, RELATIONS["call_lines"]))
+    written, stored = {}, search.stored
+
+    def counting(df, name):
+        out = stored(df, name)
+        if name == "search_bounds":
+            written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "stored", counting)
+    # tuples of text compare nulls too
+    found = [sorted(str([f"{v:.7f}" if isinstance(v, float) else v for v in r]) for r in search.search(index, terms, 3, whole).collect()) for whole in (False, True)]
+    assert found[0] == found[1] and len(found[0]) > 40
+    of_lines, *scanned = written["search_bounds"]
+    assert len(scanned) == 2 and scanned[1] < of_lines / 2
