@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ K1, B = 1.2, 0.75
 #: Ids of a seed that the index is asked for: its rarest ones. What it returns orders documents and leaves none out.
 ASKED = 32
 #: Pieces of text that a task remembers the ids of; beyond it pieces are encoded again.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Bytes of texts that are encoded together, and the text that goes beyond them.
+TOGETHER = 4 << 20
 PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -49,11 +52,13 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
         end = np.array([end_id], dtype=words.kind).tobytes()
         for batch in batches:
             id_kind = batch.schema.field(0).type
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            starts = [0, *(np.flatnonzero(np.diff(held // TOGETHER)) + 1).tolist()] if len(held) else []
+            for start, stop in zip(starts, [*starts[1:], len(held)], strict=False):
+                part = batch.slice(start, stop - start)
                 found = []
-                for text in part.column(1).to_pylist():
-                    data = words.encode(text) + end
+                for data in words.encode_all(part.column(1).to_pylist()):
+                    data += end
                     own, times = np.unique(np.frombuffer(data, dtype=kind), return_counts=True)
                     counts[own] += 1
                     read += 1

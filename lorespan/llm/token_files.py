@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -108,10 +109,44 @@ class Encoder:
         self.spaced = _Pieces(self.tokenizer, " ", self.kind, remembered, self.bare)
         self.line_end = self.bare["\n"]
 
+    def _whole(self, text: str) -> bool:
+        return not self.parted or any(x in text for x in UNEVEN) or bool(self.special and self.special.search(text))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each text; a piece that several of them hold is looked up once."""
+        out: list[bytes] = [b""] * len(texts)
+        parted = []
+        for i, text in enumerate(texts):
+            if text and self._whole(text):
+                out[i] = self.encode(text)
+            elif text:
+                parted.append(i)
+        if not parted:
+            return out
+        # the line end that marks a text's first piece is left out of its ids
+        cut = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in parted], pa.large_string()), " ")
+        pieces = cut.flatten().dictionary_encode()
+        bare, spaced, line_end = self.bare, self.spaced, self.line_end
+        known = [
+            spaced[p] if p[:1] != "\n" else line_end + bare[p[1:]] if len(p) > 1 else line_end
+            for p in pieces.dictionary.to_numpy(zero_copy_only=False)
+        ]
+        sizes = np.array([len(ids) for ids in known], dtype=np.int64) // self.kind.itemsize
+        code = pieces.indices.to_numpy(zero_copy_only=False)
+        n = sizes[code]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(known), dtype=self.kind)[place]
+        bounds = np.concatenate(([0], ends))[cut.offsets.to_numpy()]
+        skipped = len(self.line_end) // self.kind.itemsize
+        for i, start, end in zip(parted, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = ids[start + skipped : end].tobytes()
+        return out
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.parted or any(x in text for x in UNEVEN) or self.special and self.special.search(text):
+        if self._whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
         spaced, lines = self.spaced.__getitem__, []
         for line in text.split("\n"):

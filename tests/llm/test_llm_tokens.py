@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -49,3 +50,16 @@ def test_files_read_back_in_the_order_of_ids(spark):
 
 def test_empty_table(spark):
     assert token_files.write_tokens(empty(spark), PATH).read().collect() == []
+
+
+def test_texts_encoded_together_share_lookups():
+    rng = random.Random(1)
+    texts = ["", None, " ", "\n", "a", "a\n", "\na", " a", "a ", "a b\nc d ", "\n\n", "a  b", "é\nü. x", "\t", "a \nb", "日本 語\nx", "it's\nit's"]
+    texts += ["".join(rng.choices("ab é,.'1 \n\x1f", k=rng.randint(0, 12))) for _ in range(500)]
+    words = token_files.Encoder(PATH, remembered=0)
+    assert words.encode_all(texts) == [words.encode(t) for t in texts]
+    assert words.encode_all([]) == [] and words.encode_all([None]) == [b""]
+    asked, units = [], words.spaced.units
+    words.spaced.units = lambda piece: asked.append(piece) or units(piece)
+    words.encode_all(["x unheard word", "y unheard of"] * 50)
+    assert len(asked) == 3
