@@ -207,3 +207,27 @@ def test_imports_of_some_names(spark, refreshed):
     store, _ = refreshed
     names = spark.createDataFrame([("token",), ("none",), ("token",)], "symbol_name string")
     assert table(store.imports(names)) == table(store.imports().filter("symbol_name = 'token'")) != []
+
+
+def test_a_full_name_is_not_written_twice(spark, tmp_path):
+    """Full names that are the name itself are left out of the files and come back, beside others and nulls."""
+    refs = [("f", "f"), ("join", "os.path.join"), ("g", None), (None, None), (None, "x.y")]
+    lines = spark.createDataFrame([("a.py", 1, "f(os.path.join(g()))", refs), ("a.py", 2, "", []), ("b.py", 1, None, None)], RELATIONS["call_lines"])
+    files = spark.createDataFrame([("a.py", "1"), ("b.py", "2")], "file string, content_hash string").selectExpr("*", "1.0D AS last_indexed", "'python' AS language", "2 AS line_count")
+    store = IndexStore(spark, str(tmp_path / "index")).create()
+    none = {name: spark.createDataFrame([], RELATIONS[name]) for name in ("symbols", "imports")}
+    store.write_version(1, files, spark.createDataFrame([], "file string"), {"call_lines": lines, **none})
+    assert table(store.relation("call_lines")) == table(lines)
+    assert store.relation("call_lines").schema.simpleString() == lines.schema.simpleString()
+    written = spark.read.parquet(f"{store.root}/call_lines").selectExpr("inline(refs)").filter("name = 'f' OR name IS NULL AND same")
+    assert [r.full_name for r in written.collect()] == [None, None]
+    store.compact(2)
+    assert table(store.relation("call_lines")) == table(lines)
+
+
+def test_postings_of_calls_hold_no_length(spark, refreshed):
+    """Searches take it from the line of a call."""
+    index = refreshed[0].text_index()
+    assert "dl" in index.symbol_postings.columns and "dl" in index.call_lines.columns
+    for name in ("line_postings", "name_postings"):
+        assert "dl" not in spark.read.parquet(f"{refreshed[0].root}/{name}").columns and "dl" not in getattr(index, name).columns
