@@ -138,3 +138,57 @@ def test_no_test_files_gives_no_row(spark):
 def test_module_of_root_file(spark):
     symbols = symbol(spark, ("a", "function", "m.py", 1, 1), ("b", "function", "p/q/m.py", 1, 1), ("c", "function", "p/m.py", 1, 1), ("d", "function", "p/m.py", 2, 2))
     assert [tuple(r) for r in overview.module_summary(symbols).collect()] == [("p", 2, 3), (".", 1, 1)]
+
+
+def shuffled(df):
+    """Names of the columns that the shuffles of a query hold, once it has run."""
+    df.collect()
+    todo, out = [df._jdf.queryExecution().executedPlan()], set()
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        elif kind == "ShuffleExchangeExec":
+            out |= {plan.output().apply(i).name() for i in range(plan.output().size())}
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return out
+
+
+def test_definitions_are_not_shuffled_to_be_found(spark, tmp_path):
+    """Few names are asked for, and the definitions are more than Spark would broadcast."""
+    rows = spark.range(20_000).select(
+        F.format_string("n%d", F.col("id") % 500).alias("name"), F.lit("function").alias("kind"), F.format_string("%d.py", F.col("id") % 300).alias("file"),
+        F.col("id").cast("int").alias("start_line"), F.col("id").cast("int").alias("end_line"), F.sha2(F.col("id").cast("string"), 512).alias("signature"),
+        F.lit("python").alias("language"), F.col("id").cast("int").alias("no"),
+    )
+    rows.write.parquet(str(tmp_path / "symbols"))
+    symbols, asked = spark.read.parquet(str(tmp_path / "symbols")), ask(spark, "n7", "N8", "none")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "50k")
+        assert not {"file", "kind", "signature"} & shuffled(resolve.candidates(asked, symbols))
+        found = resolve.definitions(asked, symbols)
+        assert not {"signature", "kind"} & shuffled(found)
+    finally:
+        spark.conf.set(limit, before)
+    rows = symbols.collect()
+    for r in found.collect():
+        want = sorted((d.file, d.start_line, d.signature) for d in rows if d.name == r.asked.lower())
+        assert ((r.file, r.start_line, r.signature) == want[0]) if want else r.kind == "unknown"
+        assert r.n_candidates == len(want)
+
+
+def test_first_definition_of_equal_places_and_nulls(spark):
+    """Definitions of one place differ by text only, requests of one id are answered together."""
+    symbols = spark.createDataFrame([
+        ("f", "function", None, 2, 3, "def f(b)", "python", None), ("f", "function", None, 2, 3, "def f(a)", "rust", None), ("f", "function", "a.py", 1, 1, "x", None, 0),
+        ("F", "class", "b.py", 1, 1, None, "go", 1), ("F", "class", "b.py", 1, 1, "class F", "go", 1),
+    ], RELATIONS["symbols"])
+    requests = spark.createDataFrame([(1, "f"), (2, "F"), (3, "F"), (3, "f"), (None, "f"), (4, None)], "request_id bigint, name string")
+    found = sorted((r.request_id, r.asked, r.file, r.signature, r.language, r.tier, r.n_candidates) for r in resolve.definitions(requests, symbols).collect() if r.request_id and r.request_id < 4)
+    none = ("", "def f(a)", "rust", 1)
+    assert found == [(1, "f", *none, 3), (2, "F", "b.py", "", "go", 1, 2), (3, "F", *none, 5), (3, "f", *none, 5)]
