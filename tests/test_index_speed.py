@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lorespan.functions import text
-from lorespan.operators import prose, search
+from lorespan.operators import prose, scan, search
 from lorespan.sources import index_store
 
 ODD = list("aZ9é _-'İßΣⅠ中\t\n\r\x0b\x1c\x85 ́\x00") + ["\r\n", " ", "b", "É"]
@@ -47,6 +48,25 @@ def test_a_line_is_parted_once(spark):
     assert re.findall(r"Sort \[(.*?)\], false", plan(index_store.by_name(calls)))[0].count("ASC") == 1  # numbers only
 
 
+def test_scores_follow_the_terms_of_a_row(monkeypatch):
+    """Each term of a row adds to the queries that have it, however few parts are held at once."""
+    rng = np.random.default_rng(2)
+    n_rows, n_terms, ids = 20, 300, ["a", "b", "c"]
+    weights = [{int(t): float(rng.random()) for t in rng.choice(n_terms, 40, replace=False)} for _ in ids]
+    row, term = np.divmod(np.sort(rng.choice(n_rows * n_terms, 900, replace=False)), n_terms)
+    low, high = rng.random(900), rng.random(900)
+    for most in (1, 50, 1 << 20):
+        monkeypatch.setattr(scan, "PARTS", most)
+        found = scan._Asked(ids, weights, n_terms, 5).scores(n_rows, row, term, low, high)
+        for scores, part in zip(found, (low, high), strict=True):
+            told = np.zeros((n_rows, 3))
+            for r, t, p in zip(row, term, part, strict=True):
+                for q in range(3):
+                    told[r, q] += p * weights[q].get(int(t), 0.0)
+            assert np.allclose(scores, told)
+    assert not scan._Asked(ids, weights, n_terms, 5).scores(2, row[:0], term[:0], low[:0])[0].any()
+
+
 def test_few_hits_are_not_written_down(spark):
     """The best of few queries are broadcast within the plan, those of many are written first."""
     symbols = spark.createDataFrame([("token", "function", "a.txt", 1, 1, "token x", "en", 0)], index_store.RELATIONS["symbols"])
